@@ -94,15 +94,16 @@ def _labelled(labels: DataFrame, good: bool, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = 16, max_labelled: int = 20_000, lost: float = 20.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, bits: int = 16, max_labelled: int = 20_000, lost: float = 50.0) -> Model:
     """Counts both multinomials and fits the threshold.
 
     lost: how many caught bad documents one lost good document weighs in the choice of threshold.
     """
     spark, size = docs.sparkSession, 1 << bits
-    good = frozenset(r[0] for r in _labelled(labels, True, max_labelled).collect())
-    bad = frozenset(r[0] for r in _labelled(labels, False, max_labelled).collect()) - good
-    if not good or not bad:
+    ordered = [r[0] for r in _labelled(labels, True, max_labelled).collect()]
+    good, held_out = frozenset(ordered[::2]), frozenset(ordered[1::2])  # the threshold is fitted on rows the target has not seen
+    bad = frozenset(r[0] for r in _labelled(labels, False, max_labelled).collect()) - good - held_out
+    if not good or not held_out or not bad:
         return Model(np.zeros(size), -np.inf)
     trusted = spark.sparkContext.broadcast(good)  # at most max_labelled ids
 
@@ -124,14 +125,14 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 16, max_labelled: int =
     if not target.sum():
         return Model(np.zeros(size), -np.inf)
     ratio = np.log((target + 1) / (target.sum() + size)) - np.log((raw + 1) / (raw.sum() + size))
-    shared = spark.sparkContext.broadcast(ratio)
+    shared, checked = spark.sparkContext.broadcast(ratio), spark.sparkContext.broadcast(held_out)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [(llr(t, shared.value), k in trusted.value) for k, t in zip(batch.column(0).to_pylist(), texts(batch)) if not base_counts(t)[-1]]
+            kept = [(llr(t, shared.value), k in checked.value) for k, t in zip(batch.column(0).to_pylist(), texts(batch)) if not base_counts(t)[-1]]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.float64()), pa.array([x[1] for x in kept], pa.bool_())], names=["llr", "good"])
 
-    ids = spark.createDataFrame([(x,) for x in sorted(good | bad)], "doc_id long")
+    ids = spark.createDataFrame([(x,) for x in sorted(held_out | bad)], "doc_id long")
     seen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(score, "llr double, good boolean").toPandas()
     return Model(ratio, _threshold(seen["llr"].to_numpy(), seen["good"].to_numpy().astype(bool), lost))
 
