@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchside.llm import decontaminate, linededup, packing, quality, simhash
+from pitchside.llm import decontaminate, linededup, packing, quality, simhash, substrings
 from pitchside.llm.common import table
 from pitchside.llm.vocabulary import default_vocabulary
 
@@ -34,6 +34,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.drop_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality_rules(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -75,5 +80,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
 
+OP7_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, sha256(array_to_string(list_slice(w, s, s + 34), ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+rep AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+pos AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM win JOIN rep USING (g)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) FILTER (pos.p IS NULL) AS t, count(pos.p) AS n_removed
+         FROM words LEFT JOIN pos ON words.doc_id = pos.doc_id AND words.p = pos.p GROUP BY words.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op5_decontamination": OP5_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op5_decontamination": OP5_SQL, "op7_substring_dedup": OP7_SQL}
