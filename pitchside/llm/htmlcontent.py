@@ -2,7 +2,8 @@
 
 Every block element has a hidden label, article or not. Its features (tag, words of class, id and
 role, amount of its own text, share of links, punctuation) give evidence as log-likelihood ratios;
-a potential couples each element's label to its parent's. Sum-product messages upward and then
+a potential, one for
+running text and one for sections, couples each element's label to its parent's. Sum-product messages upward and then
 downward give every element's marginal, and the text of elements with a marginal over one half is
 the article. Features and potentials are counted on labelled pages.
 
@@ -17,7 +18,7 @@ columns are ignored. Scripts, styles and other silent elements never hold text.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,6 +30,9 @@ from pitchside.llm.common import texts
 from pitchside.llm.dom import Node, Tree, parse
 from pitchside.llm.labelledpages import labelled_pages
 
+#: Elements of running text, which follow their parent more closely than sections do.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th figure figcaption".split())
+
 
 def features(nodes: list[Node]) -> list[list[str]]:
     """The features of each node. Link shares are of the whole element, so they are summed up from below."""
@@ -41,9 +45,10 @@ def features(nodes: list[Node]) -> list[list[str]]:
     for i, n in enumerate(nodes):
         share = linked[i] / total[i] if total[i] else 0
         tail = next((t.strip() for _, t in reversed(n.text) if t.strip()), "")
-        found = [f"tag {n.tag}", f"links {'none' if share == 0 else 'few' if share < 0.3 else 'half' if share < 0.7 else 'all'}", *(f"name {x}" for x in n.names)]
-        if own[i]:
-            found += [f"text {'1' if own[i] < 12 else '2' if own[i] < 40 else '3' if own[i] < 120 else '4'}", f"end {'stop' if tail[-1:] in '.!?…' and tail else 'open'}"]
+        links = "none" if share == 0 else "few" if share < 0.3 else "half" if share < 0.7 else "all"
+        size = "0" if not own[i] else "1" if own[i] < 12 else "2" if own[i] < 40 else "3" if own[i] < 120 else "4"
+        shape = f"{links} {size} {'stop' if tail and tail[-1] in '.!?…' else 'open'}"
+        found = [f"tag {n.tag} {shape}", f"any {n.tag}", *(f"name {x}" for x in n.names)]  # one joint feature, as its parts depend on each other
         out.append(found)
     return out
 
@@ -67,9 +72,8 @@ class ContentModel:
     """Counted potentials, and inference with them."""
 
     def __init__(self, pages: list[str], smooth: float = 0.5):
-        seen: dict[str, list[float]] = defaultdict(lambda: [smooth, smooth])
-        classes, steps = [0, 0], [[smooth, smooth], [smooth, smooth]]
-        groups: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+        seen: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+        classes, steps = [smooth, smooth], {kind: [[smooth, smooth], [smooth, smooth]] for kind in (True, False)}
         for page in pages:
             tree = LabelledTree()
             tree.feed(page)
@@ -77,29 +81,27 @@ class ContentModel:
             for node, label, found in zip(tree.nodes, tree.labels, features(tree.nodes)):
                 classes[label] += 1
                 if node.parent >= 0:
-                    steps[tree.labels[node.parent]][label] += 1
+                    steps[node.tag in FLOW][tree.labels[node.parent]][label] += 1
                 for f in found:
                     seen[f][label] += 1
-                    groups[f.split()[0]][label] += 1
-        kinds = Counter(f.split()[0] for f in seen)
-        self.ratio = {}
-        for f, (zero, one) in seen.items():
-            g = f.split()[0]
-            # a name is one of many things an element may be called: its base is all elements of the label
-            base = [c + 1.0 for c in classes] if g == "name" else [x + smooth * kinds[g] for x in groups[g]]
-            self.ratio[f] = math.log(one / base[1]) - math.log(zero / base[0])
-        self.step = [[math.log(x / sum(row)) for x in row] for row in steps]
+        self.ratio = {f: math.log((one + smooth) / classes[1]) - math.log((zero + smooth) / classes[0]) for f, (zero, one) in seen.items()}
+        self.step = {kind: [[math.log(x / sum(row)) for x in row] for row in table] for kind, table in steps.items()}
+
+    def evidence(self, found: list[str]) -> float:
+        """Log-likelihood ratio of an element's features; the tag alone where its shape was never seen."""
+        shape, tag, *names = found
+        return self.ratio.get(shape, self.ratio.get(tag, 0.0)) + sum(self.ratio.get(f, 0.0) for f in names)
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """P(article) of each node, by messages from the leaves to the page and back."""
         n = len(nodes)
         up = [[0.0, 0.0] for _ in range(n)]  # evidence at and below a node, by its label
         for i, found in enumerate(features(nodes)):
-            up[i][1] += sum(self.ratio.get(f, 0.0) for f in found)
+            up[i][1] += self.evidence(found)
         message = [(0.0, 0.0)] * n
-        (s00, s01), (s10, s11) = self.step
         for i in range(n - 1, 0, -1):
             a, b = up[i]
+            (s00, s01), (s10, s11) = self.step[nodes[i].tag in FLOW]
             message[i] = (_add(s00 + a, s01 + b), _add(s10 + a, s11 + b))
             parent = up[nodes[i].parent]
             parent[0] += message[i][0]
@@ -109,6 +111,7 @@ class ContentModel:
         out = [0.0] * n
         for i in range(1, n):
             p = nodes[i].parent
+            (s00, s01), (s10, s11) = self.step[nodes[i].tag in FLOW]
             # the parent's belief without what this child told it
             a = up[p][0] + down[p][0] - message[i][0]
             b = up[p][1] + down[p][1] - message[i][1]

@@ -98,6 +98,8 @@ class Writer:
         before = [self.other(k) for k in ("notice", "header", "nav", "form", "ad") if r.random() < (0.75 if k == "nav" else 0.4)]
         after = [self.other(k) for k in ("comments", "aside", "ad", "share", "footer", "notice") if r.random() < (0.75 if k == "footer" else 0.35)]
         body = self.article()
+        if r.random() < 0.06:  # an article without an element of its own
+            body = "".join(f'<{t} data-label="1">{x}</{t}>' for t, x in [("h1", self.words(2, 8)), *(("p", self.sentences(r.randint(2, 6))) for _ in range(r.randint(2, 8)))])
         if r.random() < 0.4:
             side = self.other("aside")
             body = self.element("div", ["wrapper", "container", "page", "row", "layout"], 0, r.choice([body + side, side + body]))
