@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchside.plans import leaders
+from pitchside.plans import leaders, suite
 
-MODULES = [leaders]
+MODULES = [leaders, suite]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
