@@ -71,9 +71,10 @@ def slices(batch: pa.RecordBatch, most_bytes: int = 16_000_000, text: str = "tex
 
 def chunks(column: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """The pieces between white space: each one's number, the distinct pieces, and where each text's pieces start (and the end)."""
-    split = pc.ascii_split_whitespace(pc.ascii_trim(column.fill_null("").cast(pa.large_string()), SPACE))
+    trimmed = pc.ascii_trim(column.cast(pa.large_string()), SPACE)
+    split = pc.ascii_split_whitespace(pc.if_else(pc.greater(pc.binary_length(trimmed), 0), trimmed, None))  # an empty text has no piece
     found = split.flatten().dictionary_encode()
-    counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = pc.list_value_length(split).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     return found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist(), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 

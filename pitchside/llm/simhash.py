@@ -101,6 +101,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs reduced to one document of each group: the one with the smallest id."""
+    """docs reduced to one document of each group: the one with the smallest id.
+
+    Rows that repeat its id and text count as the same document. Groups in which no row has an id
+    keep their different texts.
+    """
     keep = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id", "text"])
