@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchside.llm import decontaminate, htmlcontent, linededup, lmscore, packing, pii, quality, simhash, substrings
+from pitchside.llm import decontaminate, htmlcontent, linededup, lmscore, packing, pii, quality, simhash, substrings, warc
 from pitchside.llm.common import table
 from pitchside.llm.vocabulary import default_vocabulary
 
@@ -38,6 +38,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both derivative records of every page; the texts of blocks as strings, since all are UTF-8."""
+    out = warc.derivatives(warc.page_responses(table(spark, sf_dir, "pages")))
+    return out.withColumn("content_length", F.octet_length("block").cast("long")).withColumn("block", F.col("block").cast("string"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.drop_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
