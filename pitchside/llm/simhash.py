@@ -97,6 +97,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     lowest = named.groupBy("component").agg(F.min("first_id").alias("low"))
     linked = named.select("fp", "component").join(lowest, "component").select("fp", "low")
     ids = distinct.join(linked, "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id"))
+    ids = written(ids, "component-ids")  # a join of two plain shuffles, so that a group of exact copies can be split
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
