@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import SPACE, ascii_lower
+from pitchside.llm.common import SPACE, ascii_lower, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -44,7 +44,8 @@ def with_drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     long_lines = F.filter(lines_of(F.col("text")), lambda x: F.char_length(x) >= min_chars)
     once = keyed.select("_id", F.explode(F.array_distinct(F.transform(long_lines, line_key))).alias("_key")).filter(F.char_length("_key") >= min_chars)
     common = once.select("_id", *hashes(F.col("_key"))).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("_id").alias("_last")).filter(F.col("n") >= min_docs)
-    drops = lines.join(common.drop("n"), ["h1", "h2"]).filter("_id <> _last").groupBy("_k", "_id").agg(F.collect_set("_pos").alias("_drop"))
+    common = written(common.drop("n"), "common-lines")  # a join of two plain shuffles, so that a very common line can be split
+    drops = lines.join(common, ["h1", "h2"]).filter("_id <> _last").groupBy("_k", "_id").agg(F.collect_set("_pos").alias("_drop"))
     return keyed.join(drops, ["_k", "_id"], "left").drop("_k", "_id").withColumn("_lines", lines_of(F.col("text")))
 
 
