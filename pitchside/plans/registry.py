@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchside.plans import leaders, suite
+from pitchside.plans import leaders, reports, suite
 
-MODULES = [leaders, suite]
+MODULES = [leaders, suite, reports]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

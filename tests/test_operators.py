@@ -5,7 +5,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pitchside.functions import parsers, text
-from pitchside.operators import merge, player_analytics, team_analytics
+from pitchside.operators import coach_reports, merge, period_flow, player_analytics, team_analytics
 from pitchside.operators.core import mid_rank, two_sided
 from pitchside.sources.tables import VersionedTable
 from pitchside.streaming.ingest import ingest_files
@@ -112,3 +112,18 @@ def test_stream_is_idempotent(spark, tmp_path):
     assert sorted(tuple(r) for r in target.read().collect()) == want
     run("c1")
     assert sorted(tuple(r) for r in target.read().collect()) == want and len(target.versions()) == 2
+
+
+def test_practice_rules_need_three_recent_and_some_before(spark):
+    fields = "team_id long, game_id long, game_date date, goals long, goals_against long, assists long, ground_balls long, saves long, fo_won long, fo_taken long"
+    day = lambda i: date(2026, 3, i)
+    rows = [(1, i, day(i), 5, i, 4, 20 - i, 30, 5, 10) for i in range(1, 6)] + [(2, i, day(i), 5, 2, None, 3, None, 4, 10) for i in range(1, 3)]
+    found = {(r.team_id, r.area) for r in coach_reports.practice_focus(spark.createDataFrame(rows, fields)).collect()}
+    assert found == {(1, "Ground Balls"), (1, "Defense"), (2, "Faceoffs"), (2, "Ball Movement / Passing"), (2, "Goalie Training")}
+
+
+def test_running_scores_fill_periods_and_first_largest_lead_counts(spark):
+    periods = spark.createDataFrame([(1, 1, True, 2), (1, 3, False, 4), (1, 5, True, 1), (1, None, True, 9)], "game_id long, period int, at_home boolean, goals int")
+    scores = period_flow.running_scores(periods)
+    assert [tuple(r)[1:] for r in scores.orderBy("period").collect()] == [(0, 0, 0), (1, 2, 0), (2, 2, 0), (3, 2, 4), (4, 2, 4), (5, 3, 4)]
+    assert tuple(period_flow.largest_leads(scores).first()) == (1, 3, 4, 2, 1)
