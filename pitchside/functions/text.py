@@ -65,3 +65,11 @@ def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance over the longer length; 1 for two empty strings."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+
+
+def split_names(name: Column) -> Column:
+    """The people of a cell like `A. Bee, C. Dee and E. Eff`; the whole cell unless every part looks like a name."""
+    whole = squeeze(name)
+    parts = F.filter(F.split(whole, r"(?i)\s*,\s+and\s+|\s*,\s*|\s+and\s+"), lambda p: p != "")
+    each = F.forall(parts, lambda p: p.rlike(r"^[A-Z][A-Za-z'.-]+"))
+    return F.when(whole == "", F.array().cast("array<string>")).when((F.size(parts) > 1) & each, parts).otherwise(F.array(whole))
