@@ -1,4 +1,4 @@
-"""Same person or team under two spellings, and reports over them (survey A5, A6, A18, A27, A29, D4, D5, D9, W16)."""
+"""Same person or team under two spellings, and reports over them (survey A5, A6, A18, A27, A29, D4, D9, W16)."""
 
 from __future__ import annotations
 
