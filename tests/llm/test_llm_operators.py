@@ -391,6 +391,16 @@ def test_byte_rows_sum_to_one():
     assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+def test_rare_byte_after_a_frequent_context_keeps_a_probability():
+    context = int.from_bytes(b"ht ", "big")
+    counts = np.array([3, 200_000_000])
+    depth, _, odds, logs = contexttree.subtree(np.array([context] * 2), np.array([ord("]"), ord("e")]), counts)
+    following = np.zeros(256)
+    following[[ord("]"), ord("e")]] = counts
+    row = contexttree.Root(following, logs).table(odds.astype(np.float32))[depth == 3][0]
+    assert np.isfinite(row).all() and math.isclose(row[ord("]")], math.log10(3.5 / (counts.sum() + 1)) + 5 * math.log10(3.5 / 4), abs_tol=1e-4)  # five bits after the one that differs
+
+
 # ---- op10
 
 
