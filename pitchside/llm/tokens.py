@@ -21,9 +21,11 @@ from pitchside.llm.common import chunks
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
 END_ID = 2
-#: Texts that need no normalisation but lower-casing character by character: letters below U+0250
-#: whose lower case is one letter, digits, ASCII signs without the apostrophe (contractions).
-PLAIN = re.compile("[\t-\r !-&(-~À-ÖØ-öø-įĲ-ňŊ-ɏ]*")
+#: Letters from U+00C0 to U+024F whose lower case is one letter of that range; that of Ə or Ɣ, say, is not.
+_LETTERS = "".join(c for c in map(chr, range(0xC0, 0x250)) if c not in "×÷ŉ" and len(c.lower()) == 1 and "À" <= c.lower() <= "ɏ")
+#: Texts that need no normalisation but lower-casing character by character: those letters, digits,
+#: ASCII signs without the apostrophe (contractions).
+PLAIN = re.compile(f"[\t-\r !-&(-~{_LETTERS}]*")
 #: Their pre-tokens: runs of letters, single digits, runs of signs.
 RUNS = re.compile("[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^a-zÀ-ÖØ-öø-ɏ0-9\t-\r ]+")
 
