@@ -91,16 +91,33 @@ RUN = re.compile(rf"(?<!\w)(?:{_UNIT})(?:[ ,-]{{1,2}}(?:{_UNIT}))+(?!\w)", re.I)
 UNIT = re.compile(rf"(?:{_UNIT})(?!\w)", re.I)
 _WORD = r"\s?(at|arroba|arobase|ät|@|dot|punkt|point|punto|\.)\s?"
 BRACKETED = re.compile(rf" ?(?:\[{_WORD}\]|\({_WORD}\)|\{{{_WORD}\}}) ?", re.I)
-#: How a spoken domain has to end, so that prose is left alone.
-TOP_LEVEL = "com|org|net|edu|gov|info|biz|io|ai|eu|uk|de|fr|es|it|nl|at|ch|us|ca|au|jp|in|br|mx"
+#: How a domain with a spoken at and spoken dots has to end, so that prose is left alone: country codes and the most common others.
+TOP_LEVEL = frozenset(
+    """com org net edu gov mil int info biz io name pro aero coop museum jobs mobi travel tel cat asia post arpa dev app page new cloud online site store shop tech blog xyz club live life world today news media agency email
+    company digital design studio solutions services systems software network global group team work works space website press wiki zone top vip win fun one plus link click guru expert academy school university college education
+    health care clinic dental law legal finance financial bank insurance consulting capital ventures partners energy earth eco bio farm garden restaurant cafe bar pizza hotel tours football tennis golf sport games game video film
+    photo photos photography pics gallery art music band audio love family kids baby dog house homes estate properties land city town berlin hamburg koeln cologne bayern wien zuerich paris london wales scot irish nyc tokyo amsterdam brussels vlaanderen gent
+    swiss quebec madrid barcelona eus gal bzh alsace corsica ruhr saarland tirol moscow istanbul africa lat kiwi ngo ong foundation charity church gmbh ltd llc inc
+    ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr
+    ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz
+    na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz
+    ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw""".split()
+)
+#: Of these, words that prose has after "the dot"; with a spoken at they end no domain whose label before is an article.
+WORDY = frozenset("am as be do et id is la me my no pa re se so to new page live life world today news work works space top win fun one plus link love family house land city town school university college health care game games video art music band group team bar name post bank law cat dog".split())
+ARTICLES = frozenset("the this that a each every one".split())
+_AT, _DOT = "at|arroba|arobase", "dot|punkt|point|punto"
+#: With an at and a dot of any style; whether it is an address, and where it ends, is up to `_domain_end`.
 SPOKEN = re.compile(
-    rf"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9_%+-]|\.(?=\w)| (?:dot|punkt|punto) (?=\w))*(?: at | arroba | arobase )[A-Za-z0-9-]+(?: (?:dot|punkt|point|punto) [A-Za-z0-9-]+)* (?:dot|punkt|point|punto) (?:{TOP_LEVEL})(?!\w)", re.I
+    rf"(?<![\w.+-])([A-Za-z0-9](?:[A-Za-z0-9_%+-]|\.(?=\w)| (?:dot|punkt|punto) (?=\w))*)( (?:{_AT}) | ?@ ?)([A-Za-z0-9-]+(?:(?: (?:{_DOT}) |\.)[A-Za-z0-9-]+)+)", re.I
 )
-SPOKEN_WORD = re.compile(r" (at|arroba|arobase|dot|punkt|point|punto) ", re.I)
+LABEL_END = re.compile(rf"(?: (?:{_DOT}) |\.)([A-Za-z0-9-]+)(?!\w)", re.I)
+ENDING = re.compile(r"[A-Za-z]{2,}|xn--[A-Za-z0-9-]+", re.I)
+SPOKEN_WORD = re.compile(rf" ({_AT}|{_DOT}) | ?(@) ?", re.I)
 #: A text without any of these has nothing to rewrite.
 SIGN = re.compile(
     rf"[{''.join(LOOKALIKES)}{INVISIBLE}！-～٠-٩۰-۹०-९]|[\[({{]\s?(?:at|arroba|arobase|ät|@|dot|punkt|point|punto|\.)\s?[\])}}]"
-    rf"| (?:at|arroba|arobase) [a-z0-9-]{{1,63}} (?:dot|punkt|point|punto) |(?<!\w)(?:{'|'.join([*SPELLED, *REPEATS])})[ ,-]{{1,2}}(?:{_UNIT})[ ,-]{{1,2}}(?:{_UNIT})[ ,-]{{1,2}}(?:{_UNIT})(?!\w)",
+    rf"|(?: (?:{_AT}) |@ ?)[a-z0-9.-]{{1,253}} (?:{_DOT}) | (?:dot|punkt|punto) [a-z0-9_%+.-]{{1,64}} (?:{_AT}) [a-z0-9-]+\.[a-z]|(?<!\w)(?:{'|'.join([*SPELLED, *REPEATS])})[ ,-]{{1,2}}(?:{_UNIT})[ ,-]{{1,2}}(?:{_UNIT})[ ,-]{{1,2}}(?:{_UNIT})(?!\w)",
     re.I,
 )
 
@@ -171,17 +188,43 @@ def spelled_digits(tape: Tape, least: int = 4) -> Tape:
     return tape.rewrite(edits)
 
 
+def _domain_end(tape: Tape, m: re.Match) -> int | None:
+    """Where the address that a match of SPOKEN starts ends; None if it is none.
+
+    Any ending will do where the at is a sign, a dot of the domain stands for a bracketed one, or the
+    local part has dots or underscores; else it has to be a known one.
+    """
+    local, at, start = m.group(1), m.group(2), m.start(3)
+    sign = "@" in at
+    bracketed = any(c == "." and tape.spans[i][1] - tape.spans[i][0] > 1 for i, c in enumerate(m.group(3), start))
+    free = sign or bracketed or re.search(r"[A-Za-z]\.[A-Za-z]|_", local) is not None
+    spoken = bracketed or " " in local
+    known = other = None
+    before = re.match(r"[A-Za-z0-9-]+", m.group(3)).group()
+    for x in LABEL_END.finditer(tape.text, start, m.end()):
+        spoken = spoken or x.group()[0] == " "
+        label = x.group(1)
+        if (sign or spoken) and label.lower() in TOP_LEVEL and (sign or not (label.lower() in WORDY and before.lower() in ARTICLES)):
+            known = x.end() if spoken else 0  # 0: a plain address, with prose after it
+        if spoken and free and ENDING.fullmatch(label):
+            other = x.end()
+        before = label
+    return other if known is None else known or None
+
+
 def at_and_dot(tape: Tape) -> Tape:
-    """Bracketed signs anywhere; spoken ones only in an address as a whole."""
+    """Bracketed signs anywhere; spoken ones only in an address as a whole, of which some signs may be plain or bracketed."""
     edits = []
     for m in BRACKETED.finditer(tape.text):
         word = (m.group(1) or m.group(2) or m.group(3)).lower()
         edits.append((m.start(), m.end(), [("@" if word in ("at", "arroba", "arobase", "ät", "@") else ".", m.start(), m.end())]))
     tape = tape.rewrite(edits)
-    edits = []
-    for m in SPOKEN.finditer(tape.text):
-        for w in SPOKEN_WORD.finditer(tape.text, m.start(), m.end()):
-            edits.append((w.start(), w.end(), [("@" if w.group(1).lower() in ("at", "arroba", "arobase") else ".", w.start(), w.end())]))
+    edits, at = [], 0
+    while m := SPOKEN.search(tape.text, at):
+        end = _domain_end(tape, m)
+        at = end or m.start(3)
+        for w in SPOKEN_WORD.finditer(tape.text, m.start(), end) if end else ():
+            edits.append((w.start(), w.end(), [("@" if w.group(2) or w.group(1).lower() in ("at", "arroba", "arobase") else ".", w.start(), w.end())]))
     return tape.rewrite(edits)
 
 
