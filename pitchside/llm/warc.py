@@ -6,8 +6,9 @@ WARC-Refers-To, keep its target, date and payload digest, and carry a digest of
 metadata record also names its conversion in WARC-Concurrent-To. Identifiers are name-based, so a
 task that runs again writes the same records.
 
-Everything is row by row, without a shuffle. `read_records` splits uncompressed files at record
-starts, so that a file is read by many tasks; `write_records` writes records that can be read again.
+Everything is row by row, without a shuffle. `read_records` splits uncompressed files of any version
+1.x at record starts, so that a file is read by many tasks; only files with a record start inside a
+record go through a shuffle, one task each. `write_records` writes records that can be read again.
 
 Defined cases: a null block is empty; a block without an HTTP head is all body, with status 0. A null
 target or date leaves its header out. Bodies that are no text, or cannot be decoded (unknown or broken
@@ -25,14 +26,18 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitchside.llm.common import written
 from pitchside.llm.dom import parse
 
 VERSION = "WARC/1.0"
+#: Files are split at this text; it never overlaps itself. What follows it at a record start.
+SPLIT, START = b"WARC/1.", re.compile(rb"[0-9]+\r\n")
 RECORD = "record_id string, warc_type string, target_uri string, warc_date string, refers_to string, concurrent_to string, content_type string, payload_digest string, block_digest string, block binary"
 NAMES = [x.split()[0] for x in RECORD.split(", ")]
 HEADERS = {"record_id": "WARC-Record-ID", "warc_type": "WARC-Type", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "refers_to": "WARC-Refers-To", "concurrent_to": "WARC-Concurrent-To", "content_type": "Content-Type", "payload_digest": "WARC-Payload-Digest", "block_digest": "WARC-Block-Digest"}
@@ -166,21 +171,80 @@ def write_records(records: DataFrame, path: str) -> None:
     serialised(records).write.option("lineSep", "\r\n\r\n").text(path)
 
 
+def _head(data: bytes) -> tuple[dict[str, str], int, int | None] | None:
+    """Fields of a record whose version's last number comes first, where its block starts, and where it ends (None without a length)."""
+    end = data.find(b"\r\n\r\n")
+    if end < 0 or not START.match(data):
+        return None
+    pairs = [x.partition(":") for x in data[:end].decode("utf-8", "replace").split("\r\n")]
+    of = {k.strip().lower(): v.strip() for k, sep, v in pairs if sep}
+    length = of.get("content-length", "")
+    return of, end + 4, end + 4 + int(length) if length.isdecimal() else None
+
+
+def _is_whole(data: bytes) -> bool:
+    """A record with nothing but its two line ends after it."""
+    head = _head(data)
+    return head is not None and head[2] is not None and len(data) >= head[2] and not data[head[2] :].strip(b"\r\n")
+
+
+def _record(data: bytes) -> tuple | None:
+    head = _head(data)
+    if head is None:
+        return None
+    row = {c: head[0].get(name.lower()) for c, name in HEADERS.items()}
+    return (*(row[c] for c in NAMES[:-1]), data[head[1] : head[2]])
+
+
+def _joined(pieces: Iterator[tuple[str, bytes]]) -> Iterator[bytes]:
+    """Records from the pieces of files in their order: pieces follow until the head and Content-Length are reached."""
+    of = buffer = need = None
+    for path, data in pieces:
+        if path != of and buffer is not None:
+            yield bytes(buffer)  # cut off by the end of its file
+            buffer = None
+        of = path
+        if buffer is None:
+            if not START.match(data):
+                continue  # before the first record, or after the end of one
+            buffer, need = bytearray(data), None
+        else:
+            buffer += SPLIT + data
+        if need is None and (head := _head(bytes(buffer))):
+            need = head[1] if head[2] is None else head[2]
+        if need is not None and len(buffer) >= need:
+            yield bytes(buffer)
+            buffer = None
+    if buffer is not None:
+        yield bytes(buffer)
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """RECORD rows of uncompressed files. Blocks end where Content-Length says; a block that holds a record start of its own is cut there."""
-    raw = spark.read.option("lineSep", f"{VERSION}\r\n").text(path).filter("length(value) > 0").select(F.col("value").cast("binary").alias("raw"))
-    fields = {name.lower(): c for c, name in HEADERS.items()}
+    """RECORD rows of uncompressed files. Blocks end where Content-Length says, or at the next record start where there is none."""
+    pieces = spark.read.option("lineSep", SPLIT.decode()).text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("n"), F.col("value").cast("binary").alias("raw")
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def odd_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for cell in batch.column(0):
-                head, _, rest = cell.as_py().partition(b"\r\n\r\n")
-                pairs = [x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")]
-                of = {k.strip().lower(): v.strip() for k, sep, v in pairs if sep}
-                row = {c: of.get(n) for n, c in fields.items()}
-                rows.append((*(row[c] for c in NAMES[:-1]), rest[: int(of.get("content-length", len(rest)))]))
-            types = [pa.string()] * 9 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 10, types)], names=NAMES)
+            odd = {p.as_py() for p, part, raw in zip(*batch.columns) if (data := raw.as_py() or b"") and not _is_whole(data) or not data and part.as_py()}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(odd), pa.string())], names=["path"])
+
+    def rows_of(records: Iterator[bytes]) -> pa.RecordBatch:
+        rows = [row for row in map(_record, records) if row]
+        types = [pa.string()] * 9 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 10, types)], names=NAMES)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield rows_of(x.as_py() for x in batch.column(0))
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = _joined((p.as_py(), raw.as_py() or b"") for batch in batches for p, raw in zip(*batch.columns))
+        while some := list(islice(records, 100)):
+            yield rows_of(some)
 
-    return raw.mapInArrow(run, RECORD)
+    odd = written(pieces.select("path", "part", "raw").mapInArrow(odd_paths, "path string").distinct(), "odd-files")
+    plain = pieces.join(odd, "path", "left_anti").select("raw").mapInArrow(alone, RECORD)
+    ordered = pieces.join(odd, "path", "left_semi").repartition("path").sortWithinPartitions("path", "part", "n")
+    return plain.unionByName(ordered.select("path", "raw").mapInArrow(together, RECORD))
