@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+MATHML = frozenset("math annotation annotation-xml maction menclose merror mfenced mfrac mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+#: Other notations of a formula, which the page does not show beside it.
+NOTES = frozenset(("annotation", "annotation-xml"))
+INLINE = MATHML | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose character data is no text of the page.
-SILENT = frozenset("script style noscript template svg math iframe object canvas audio video title head".split())
+SILENT = frozenset("script style noscript template svg iframe title head".split())
 #: A start tag of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: A start tag of the key ends an open element of these, up to the nearest of the others.
@@ -33,7 +36,7 @@ def attribute_words(attrs: list[tuple[str, str | None]]) -> tuple[str, ...]:
     found = []
     for name, value in attrs:
         if name in ("class", "id", "role", "itemprop") and value:
-            found += [w.lower() for w in WORD.findall(value[:400])]
+            found += [w.lower() for w in WORD.findall(value)]
     return tuple(found)
 
 
@@ -44,7 +47,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("#page", (), -1, False)]
         self.open: list[tuple[str, int]] = [("#page", 0)]  # inline elements stand for their block's node
-        self.links = self.block = 0
+        self.links = self.notes = self.block = 0
 
     def parse_marked_section(self, i, report=1):
         return self.parse_bogus_comment(i, report)
@@ -55,6 +58,7 @@ class Tree(HTMLParser):
     def _close(self, at: int) -> None:
         for tag, _ in self.open[at:]:
             self.links -= tag == "a"
+            self.notes -= tag in NOTES
         del self.open[at:]
 
     def _close_to(self, tags: tuple[str, ...], walls: tuple[str, ...]) -> None:
@@ -86,6 +90,9 @@ class Tree(HTMLParser):
         if tag not in VOID:
             self.open.append((tag, node))
             self.links += tag == "a"
+            self.notes += tag in NOTES
+        if tag in ("mtr", "mtd"):
+            self.nodes[node].text.append((self.block, " "))  # cells of a matrix
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -106,7 +113,7 @@ class Tree(HTMLParser):
 
     def handle_data(self, data):
         node = self.nodes[self.open[-1][1]]
-        if not node.silent and data:
+        if not node.silent and not self.notes and data:
             node.text.append((self.block, data))
             if self.links > 0:
                 node.linked += len(data.strip())
