@@ -1,4 +1,4 @@
-"""Text and name functions as builtin column chains (survey F1, F4, F7, F8, F20-F29, S7)."""
+"""Text and name functions as builtin column chains (survey F1, F4, F7, F21, F23, F25, S7)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""League standings, streak texts, podium, radar axes and closing runs (survey A31, W4, W8, W15, L6, L7)."""
+"""League standings, streak texts, podium, radar axes and closing runs (survey A31, W4, W8, W15, L6)."""
 
 from __future__ import annotations
 

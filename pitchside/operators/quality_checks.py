@@ -1,4 +1,4 @@
-"""Data-quality findings, reconciliation and entity resolution (survey D3, D13, D23-D26, A17, A19, A20, A30, J17, J18, W7)."""
+"""Data-quality findings, reconciliation and entity resolution (survey D3, D24-D26, A17, A19, A20, A30, J17, J18, W7)."""
 
 from __future__ import annotations
 
