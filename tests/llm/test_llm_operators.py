@@ -318,19 +318,32 @@ def test_pages(spark):
 # ---- op9
 
 
-def slow_tree(texts):
-    """Weighted probabilities by the definition, one node at a time, over bits of one byte after up to three bytes."""
+def cut(data):
+    """Units: up to and with each white space; the rest with an end byte."""
+    return [m.group() for m in re.finditer(rb"(?s)[^\x20\x09-\x0D]*(?:[\x20\x09-\x0D]|\x00$)", data + b"\0")]
+
+
+def slow_tree(units):
+    """Weighted probabilities by the definition, one node at a time, over bits of one byte after up to eight bytes of its unit.
+
+    A context that reaches the start of its unit ends there, with None.
+    """
     counts = defaultdict(lambda: [0, 0])
-    for t in texts:
-        data = b"\0\0\0" + t + b"\0"
-        for i in range(3, len(data)):
-            for d in range(4):
+
+    def context(u, i):
+        return (*reversed(u[:i]), None)[:8]
+
+    for u, n in units.items():
+        for i, byte in enumerate(u):
+            ctx = context(u, i)
+            for d in range(len(ctx) + 1):
                 for level in range(8):
-                    counts[(data[i - d : i][::-1], data[i] >> (8 - level) if level else 0, level)][data[i] >> (7 - level) & 1] += 1
+                    counts[(ctx[:d], byte >> (8 - level), level)][byte >> (7 - level) & 1] += n
 
     def kt(a, b):
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
 
+    is_leaf = lambda ctx: len(ctx) == 8 or ctx[-1:] == (None,)
     children = defaultdict(set)
     for ctx, prefix, level in counts:
         if ctx:
@@ -338,7 +351,7 @@ def slow_tree(texts):
     weighted = {}
     for key in sorted(counts, key=lambda k: -len(k[0])):
         own = kt(*counts[key])
-        weighted[key] = own if len(key[0]) == 3 else np.logaddexp(own, sum(weighted[(c, *key[1:])] for c in children[key])) + math.log(0.5)
+        weighted[key] = own if is_leaf(key[0]) else np.logaddexp(own, sum(weighted[(c, *key[1:])] for c in children[key])) + math.log(0.5)
 
     def one(ctx, prefix, level, d=0):
         key = (ctx[:d], prefix, level)
@@ -347,58 +360,79 @@ def slow_tree(texts):
             return 0.5
         a, b = counts[key]
         own = (b + 0.5) / (a + b + 1)
-        if d == 3:
+        if is_leaf(ctx[:d]):
             return own
         share = math.exp(kt(a, b) + math.log(0.5) - weighted[key])
         return share * own + (1 - share) * one(ctx, prefix, level, d + 1)
 
-    def score(t):
-        data, out = b"\0\0\0" + t + b"\0", 0.0
-        for i in range(3, len(data)):
+    def score(u):
+        out = 0.0
+        for i, byte in enumerate(u):
             for level in range(8):
-                p = one(data[i - 3 : i][::-1], data[i] >> (8 - level) if level else 0, level)
-                out += math.log10(p if data[i] >> (7 - level) & 1 else 1 - p)
+                p = one(context(u, i), byte >> (8 - level), level)
+                out += math.log10(p if byte >> (7 - level) & 1 else 1 - p)
         return out
 
     return score
 
 
-@pytest.mark.parametrize("block_rows,hot_words", [(100_000, 500_000), (40, 3)])
-def test_scores(docs, corpus, empty, block_rows, hot_words):
+@pytest.mark.parametrize("hot_units,hot_cells,batch_rows", [(500_000, 1_000_000, 100_000), (3, 40, 50), (0, 0, 1)])
+def test_scores(docs, corpus, empty, hot_units, hot_cells, batch_rows):
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    small = [(i, t) for i, t in corpus if t is None or len(t) < 500]
-    frame = docs.filter("text IS NULL OR length(text) < 500")
-    raw = {k: lower(t).encode() for k, (_, t) in enumerate(small)}
-    tokens = Counter()
-    for i, t in small:
+    raw = [cut(lower(t).encode()) for _, t in corpus]
+    assert [b"".join(x) for x in raw] == [lower(t).encode() + b"\0" for _, t in corpus]
+    tokens, units = Counter(), Counter()
+    for (i, t), x in zip(corpus, raw):
         if not held(i):
             tokens.update([*split(lower(t)), None])
+            units.update(x)
     total, kinds = sum(tokens.values()), len(tokens)
-    score = slow_tree([raw[k] for k, (i, _) in enumerate(small) if not held(i)])
+    of = slow_tree(units)
+    score = {u: of(u) for u in {u for x in raw for u in x}}
     want = []
-    for k, (i, t) in enumerate(small):
+    for (i, t), x in zip(corpus, raw):
         w = [*split(lower(t)), None]
-        want.append((i, held(i), len(w), sum(tokens[x] > 0 for x in w), total, math.fsum(math.log10((tokens[x] + 1) / (total + kinds + 1)) for x in w), score(raw[k])))
-    got = rows_of(lmscore.score_documents(frame, hot_words, block_rows), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+        want.append((i, held(i), len(w), sum(tokens[y] > 0 for y in w), total, math.fsum(math.log10((tokens[y] + 1) / (total + kinds + 1)) for y in w), math.fsum(score[u] for u in x)))
+    got = rows_of(lmscore.score_documents(docs, hot_units, hot_cells, batch_rows), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     order = lambda x: (repr(x[0]), x[2], round(x[5], 6))
     for a, b in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
-        assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-5, atol=1e-5), (a, b)
+        assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-8, atol=1e-7), (a, b)
     assert lmscore.score_documents(empty).count() == 0
 
 
-def test_byte_rows_sum_to_one():
-    table = contexttree.byte_table(np.random.default_rng(1).uniform(0.01, 0.99, (5, 255)))
-    assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-4)
+def test_rows_without_ids_are_told_apart(spark):
+    texts = [f"word{i}" * (1 + i % 3) for i in range(3000)]
+    got = lmscore.score_documents(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string"))
+    assert got.filter("score < 0 AND n_tokens = 2").count() == 3000
+
+
+def test_without_training_rows_every_bit_is_a_half(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = lmscore.score_documents(spark.createDataFrame([(i, "ab c") for i in ids], "doc_id long, text string"))
+    assert {(r.n_known, r.train_tokens, r.base_score, round(r.bits_per_byte, 9)) for r in got.collect()} == {(0, 0, 0.0, 8.0)}
+
+
+def test_byte_probabilities_sum_to_one():
+    every = np.arange(256)
+    ctx = np.repeat(np.array([0x6162FFFFFFFFFFFF, 0x61FFFFFFFFFFFFFF], dtype=np.uint64), 256)[np.argsort(np.repeat([1, 0], 256), kind="stable")]
+    n = np.where(np.tile(every, 2) == 101, 7, 0)
+    levels, *_ = contexttree.grown(ctx, np.tile(every, 2), n)
+    top = levels[0]
+    key = (ctx[top.first] >> np.uint64(32)).astype(np.int64) << 8 | top.heap(np.tile(every, 2))
+    half = np.full(len(key), 0.25)
+    found = contexttree.log_probabilities(ctx, np.tile(every, 2), n, (key, half, half, np.full(len(key), 0.5)))
+    assert np.allclose((10.0 ** found.reshape(2, 256)).sum(axis=1), 1)
 
 
 def test_rare_byte_after_a_frequent_context_keeps_a_probability():
-    context = int.from_bytes(b"ht ", "big")
-    counts = np.array([3, 200_000_000])
-    depth, _, odds, logs = contexttree.subtree(np.array([context] * 2), np.array([ord("]"), ord("e")]), counts)
-    following = np.zeros(256)
-    following[[ord("]"), ord("e")]] = counts
-    row = contexttree.Root(following, logs).table(odds.astype(np.float32))[depth == 3][0]
-    assert np.isfinite(row).all() and math.isclose(row[ord("]")], math.log10(3.5 / (counts.sum() + 1)) + 5 * math.log10(3.5 / 4), abs_tol=1e-4)  # five bits after the one that differs
+    ctx = np.full(2, int.from_bytes(b"ht\xff\xff\xff\xff\xff\xff", "big"), dtype=np.uint64)
+    byte, n = np.array([ord("]"), ord("e")]), np.array([3, 200_000_000])
+    levels, *_ = contexttree.grown(ctx, byte, n)
+    key = (ctx[levels[0].first] >> np.uint64(32)).astype(np.int64) << 8 | levels[0].heap(byte)
+    none = np.zeros(len(key))
+    found = contexttree.log_probabilities(ctx, byte, n, (key, none, none, none + 1))
+    # the bits before the one that differs, that one, and five that follow
+    assert math.isclose(found[0], 2 * math.log10((n.sum() + 0.5) / (n.sum() + 1)) + math.log10(3.5 / (n.sum() + 1)) + 5 * math.log10(3.5 / 4), abs_tol=1e-6)
 
 
 # ---- op10
