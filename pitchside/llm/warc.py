@@ -41,7 +41,9 @@ SPLIT, START = b"WARC/1.", re.compile(rb"[0-9]+\r\n")
 RECORD = "record_id string, warc_type string, target_uri string, warc_date string, refers_to string, concurrent_to string, content_type string, payload_digest string, block_digest string, block binary"
 NAMES = [x.split()[0] for x in RECORD.split(", ")]
 HEADERS = {"record_id": "WARC-Record-ID", "warc_type": "WARC-Type", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "refers_to": "WARC-Refers-To", "concurrent_to": "WARC-Concurrent-To", "content_type": "Content-Type", "payload_digest": "WARC-Payload-Digest", "block_digest": "WARC-Block-Digest"}
-META = re.compile(rb"<meta[^>]{0,200}charset\s*=\s*[\"']?([A-Za-z0-9_:.-]+)", re.I)
+#: A page's own charset, anywhere before its body.
+META = re.compile(rb"<meta\b[^<>]*?\bcharset\s*=\s*[\"']?([A-Za-z0-9_:.-]+)", re.I)
+BODY = re.compile(rb"<body\b|</head\b", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -97,7 +99,8 @@ def plain_text(kind: str, data: bytes) -> str | None:
     if mime and mime not in ("text/html", "application/xhtml+xml", "text/plain"):
         return None
     named = re.search(r"charset\s*=\s*\"?([\w:.-]+)", rest, re.I)
-    found = META.search(data[:4096])
+    body = BODY.search(data)
+    found = META.search(data, 0, body.start() if body else len(data))
     charset = named.group(1) if named else found.group(1).decode() if found else "utf-8"
     try:
         codecs.lookup(charset)
