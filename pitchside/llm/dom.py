@@ -1,4 +1,7 @@
-"""Block elements of an HTML page as a tree, with the text that is directly theirs."""
+"""Block elements of an HTML page as a tree; each run of text between block tags is a leaf of it.
+
+Open elements are also listed by tag, so that every tag and its implied ends take constant time, however deep the page.
+"""
 
 from __future__ import annotations
 
@@ -23,12 +26,18 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "text", "linked", "silent")
+    """An element, or with the tag #text a block of text: its pieces, and how many characters of them are inside links."""
+
+    __slots__ = ("tag", "names", "parent", "silent", "pieces", "linked")
 
     def __init__(self, tag: str, names: tuple[str, ...], parent: int, silent: bool):
         self.tag, self.names, self.parent, self.silent = tag, names, parent, silent
-        self.text: list[tuple[int, str]] = []  # runs of text with the number of the block that they belong to
-        self.linked = 0  # characters inside links
+        self.pieces: list[str] = []
+        self.linked = 0
+
+    def text(self) -> str:
+        """White space is one space, none at the ends."""
+        return " ".join("".join(self.pieces).split())
 
 
 def attribute_words(attrs: list[tuple[str, str | None]]) -> tuple[str, ...]:
@@ -41,13 +50,16 @@ def attribute_words(attrs: list[tuple[str, str | None]]) -> tuple[str, ...]:
 
 
 class Tree(HTMLParser):
-    """nodes[0] is the page; parents come before their children. blocks: (node, text) in page order."""
+    """nodes[0] is the page; parents come before their children, blocks of text in page order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("#page", (), -1, False)]
         self.open: list[tuple[str, int]] = [("#page", 0)]  # inline elements stand for their block's node
-        self.links = self.notes = self.block = 0
+        self.places: dict[str, list[int]] = {}  # where in `open` the elements of a tag are
+        self.blocks = [0]  # where in `open` block elements are
+        self.links = self.notes = 0
+        self.leaf: Node | None = None  # the block of text that goes on
 
     def parse_marked_section(self, i, report=1):
         return self.parse_bogus_comment(i, report)
@@ -55,19 +67,34 @@ class Tree(HTMLParser):
     def unknown_decl(self, data):
         pass
 
+    def _push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag not in INLINE:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, node))
+        self.links += tag == "a"
+        self.notes += tag in NOTES
+
     def _close(self, at: int) -> None:
         for tag, _ in self.open[at:]:
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
             self.links -= tag == "a"
             self.notes -= tag in NOTES
         del self.open[at:]
 
+    def _last(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
     def _close_to(self, tags: tuple[str, ...], walls: tuple[str, ...]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] in walls:
-                return
-            if self.open[k][0] in tags:
-                self._close(k)
-                return
+        at = self._last(tags)
+        if at > self._last(walls):
+            self._close(at)
+
+    def _append(self, node: Node) -> int:
+        self.nodes.append(node)
+        return len(self.nodes) - 1
 
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_P:
@@ -78,21 +105,17 @@ class Tree(HTMLParser):
             self._close_to(("head",), ())
         node = self.open[-1][1]
         if tag not in INLINE:
-            self.block += 1
+            self.leaf = None
             if tag not in VOID:
-                parent = self.nodes[node]
-                self.nodes.append(Node(tag, attribute_words(attrs), node, parent.silent or tag in SILENT))
-                node = len(self.nodes) - 1
-        elif tag in ("br", "wbr", "img"):
+                self._push(tag, self._append(Node(tag, attribute_words(attrs), node, self.nodes[node].silent or tag in SILENT)))
+            return
+        if tag in VOID:
             if tag == "br":
-                self.nodes[node].text.append((self.block, " "))
+                self._add(" ")
             return
-        if tag not in VOID:
-            self.open.append((tag, node))
-            self.links += tag == "a"
-            self.notes += tag in NOTES
+        self._push(tag, node)
         if tag in ("mtr", "mtd"):
-            self.nodes[node].text.append((self.block, " "))  # cells of a matrix
+            self._add(" ")  # cells of a matrix
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -100,33 +123,33 @@ class Tree(HTMLParser):
             self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        if tag in VOID:
-            return
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                if tag not in INLINE:
-                    self.block += 1
-                self._close(k)
-                return
-            if tag in INLINE and self.open[k][0] not in INLINE:
-                return  # a stray inline end tag closes no block
+        at = self._last((tag,))
+        if not at or tag in VOID or (tag in INLINE and at < self.blocks[-1]):
+            return  # a stray inline end tag closes no block
+        if tag not in INLINE:
+            self.leaf = None
+        self._close(at)
+
+    def _add(self, data: str) -> None:
+        if self.leaf is not None:
+            self.leaf.pieces.append(data)
 
     def handle_data(self, data):
-        node = self.nodes[self.open[-1][1]]
-        if not node.silent and not self.notes and data:
-            node.text.append((self.block, data))
-            if self.links > 0:
-                node.linked += len(data.strip())
+        node = self.open[-1][1]
+        if self.nodes[node].silent or self.notes:
+            return
+        shown = len(data.strip())
+        if self.leaf is None and shown:
+            self.leaf = Node("#text", (), node, False)
+            self._append(self.leaf)
+        self._add(data)
+        if self.links > 0 and self.leaf is not None:
+            self.leaf.linked += shown
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Nodes, and the page's blocks of text: runs between block tags with white space made one space."""
+    """Nodes, and the page's blocks of text: (node, text) in page order."""
     tree = Tree()
     tree.feed(html)
     tree.close()
-    runs: dict[int, tuple[int, list[str]]] = {}
-    for i, node in enumerate(tree.nodes):
-        for number, text in node.text:
-            runs.setdefault(number, (i, []))[1].append(text)
-    blocks = [(node, " ".join("".join(parts).split())) for _, (node, parts) in sorted(runs.items())]
-    return tree.nodes, [(n, t) for n, t in blocks if t]
+    return tree.nodes, [(i, n.text()) for i, n in enumerate(tree.nodes) if n.tag == "#text"]

@@ -1,11 +1,11 @@
 """HTML extraction by a tree-structured graphical model over the DOM.
 
-Every block element has a hidden label, article or not. Its features (tag, words of class, id and
-role, amount of its own text, share of links, punctuation) give evidence as log-likelihood ratios;
-a potential, one for
-running text and one for sections, couples each element's label to its parent's. Sum-product messages upward and then
-downward give every element's marginal, and the text of elements with a marginal over one half is
-the article. Features and potentials are counted on labelled pages.
+Every block element and, below it, every block of text has a hidden label, article or not. Its
+features (tag, words of class, id and role, share of links; for text its amount, share of links and
+punctuation) give evidence as log-likelihood ratios; a potential, one for each kind of node, couples
+each label to the parent's. Sum-product messages upward and then downward give every node's marginal,
+and the blocks of text with a marginal over one half are the article, wherever they stand, also
+directly in the body. Features and potentials are counted on labelled pages.
 
 Evidence and potentials are those of a directed tree: P(label of the page) times the product of
 P(child | parent) and of P(feature | label).
@@ -34,38 +34,57 @@ from pitchside.llm.labelledpages import labelled_pages
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th figure figcaption".split())
 
 
+def kind(nodes: list[Node], i: int) -> str:
+    """Which potential couples a node to its parent."""
+    n = nodes[i]
+    loose = "loose " if nodes[n.parent].tag in ("#page", "html", "body") else ""
+    return f"{loose}text" if n.tag == "#text" else f"{loose}flow" if n.tag in FLOW else "section"
+
+
+KINDS = ("flow", "section", "text", "loose flow", "loose text")
+
+
 def features(nodes: list[Node]) -> list[list[str]]:
-    """The features of each node. Link shares are of the whole element, so they are summed up from below."""
-    own = [sum(len(t.strip()) for _, t in n.text) for n in nodes]
-    total, linked = own[:], [n.linked for n in nodes]
+    """The features of each node, the most telling first, then what stands for it where that was never seen. Link shares are of the whole element."""
+    texts = [n.text() if n.tag == "#text" else "" for n in nodes]
+    total, linked = list(map(len, texts)), [n.linked for n in nodes]
     for i in range(len(nodes) - 1, 0, -1):
         total[nodes[i].parent] += total[i]
         linked[nodes[i].parent] += linked[i]
     out = []
     for i, n in enumerate(nodes):
         share = linked[i] / total[i] if total[i] else 0
-        tail = next((t.strip() for _, t in reversed(n.text) if t.strip()), "")
         links = "none" if share == 0 else "few" if share < 0.3 else "half" if share < 0.7 else "all"
-        size = "0" if not own[i] else "1" if own[i] < 12 else "2" if own[i] < 40 else "3" if own[i] < 120 else "4"
-        shape = f"{links} {size} {'stop' if tail and tail[-1] in '.!?…' else 'open'}"
-        found = [f"tag {n.tag} {shape}", f"any {n.tag}", *(f"name {x}" for x in n.names)]  # one joint feature, as its parts depend on each other
-        out.append(found)
+        if n.tag == "#text":
+            size = "1" if total[i] < 12 else "2" if total[i] < 40 else "3" if total[i] < 120 else "4" if total[i] < 400 else "5"
+            shape = f"{links} {size} {'stop' if texts[i][-1] in '.!?…' else 'open'}"
+            out.append([f"text {nodes[n.parent].tag} {shape}", f"text {shape}"])  # one joint feature, as its parts depend on each other
+        else:
+            out.append([f"tag {n.tag} {links}", f"any {n.tag}", *(f"name {x}" for x in n.names)])
     return out
 
 
 class LabelledTree(Tree):
-    """A tree whose nodes have the labels of labelled pages."""
+    """A tree whose nodes have the labels of labelled pages; a comment with a label is for the text after it in the same element."""
 
     def __init__(self):
         super().__init__()
         self.labels = [0]
+        self.given: str | None = None
+        self.of_text: dict[int, int] = {}
+
+    def _append(self, node):
+        label = self.of_text.get(node.parent) if node.tag == "#text" else self.given
+        self.labels.append(self.labels[node.parent] if label is None else int(label))
+        return super()._append(node)
+
+    def handle_comment(self, data):
+        if data.startswith("label "):
+            self.of_text[self.open[-1][1]] = int(data[6:])
 
     def handle_starttag(self, tag, attrs):
-        before = len(self.nodes)
+        self.given = dict(attrs).get("data-label")
         super().handle_starttag(tag, attrs)
-        if len(self.nodes) > before:
-            given = dict(attrs).get("data-label")
-            self.labels.append(int(given) if given is not None else self.labels[self.nodes[-1].parent])
 
 
 class ContentModel:
@@ -73,22 +92,22 @@ class ContentModel:
 
     def __init__(self, pages: list[str], smooth: float = 0.5):
         seen: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
-        classes, steps = [smooth, smooth], {kind: [[smooth, smooth], [smooth, smooth]] for kind in (True, False)}
+        classes, steps = [smooth, smooth], {k: [[smooth, smooth], [smooth, smooth]] for k in KINDS}
         for page in pages:
             tree = LabelledTree()
             tree.feed(page)
             tree.close()
-            for node, label, found in zip(tree.nodes, tree.labels, features(tree.nodes)):
+            for i, (node, label, found) in enumerate(zip(tree.nodes, tree.labels, features(tree.nodes))):
                 classes[label] += 1
-                if node.parent >= 0:
-                    steps[node.tag in FLOW][tree.labels[node.parent]][label] += 1
+                if i:
+                    steps[kind(tree.nodes, i)][tree.labels[node.parent]][label] += 1
                 for f in found:
                     seen[f][label] += 1
         self.ratio = {f: math.log((one + smooth) / classes[1]) - math.log((zero + smooth) / classes[0]) for f, (zero, one) in seen.items()}
-        self.step = {kind: [[math.log(x / sum(row)) for x in row] for row in table] for kind, table in steps.items()}
+        self.step = {k: [[math.log(x / sum(row)) for x in row] for row in table] for k, table in steps.items()}
 
     def evidence(self, found: list[str]) -> float:
-        """Log-likelihood ratio of an element's features; the tag alone where its shape was never seen."""
+        """Log-likelihood ratio of a node's features; the second alone where the first was never seen."""
         shape, tag, *names = found
         return self.ratio.get(shape, self.ratio.get(tag, 0.0)) + sum(self.ratio.get(f, 0.0) for f in names)
 
@@ -99,19 +118,20 @@ class ContentModel:
         for i, found in enumerate(features(nodes)):
             up[i][1] += self.evidence(found)
         message = [(0.0, 0.0)] * n
+        steps = [self.step[kind(nodes, i)] if i else None for i in range(n)]
         for i in range(n - 1, 0, -1):
             a, b = up[i]
-            (s00, s01), (s10, s11) = self.step[nodes[i].tag in FLOW]
+            (s00, s01), (s10, s11) = steps[i]
             message[i] = (_add(s00 + a, s01 + b), _add(s10 + a, s11 + b))
             parent = up[nodes[i].parent]
             parent[0] += message[i][0]
             parent[1] += message[i][1]
-        up[0][1] -= 1e9  # the page as a whole is not the article
+        up[0][1] -= 1e9  # the page as a whole is not the article; its blocks of text have labels of their own
         down = [(0.0, 0.0)] * n
         out = [0.0] * n
         for i in range(1, n):
             p = nodes[i].parent
-            (s00, s01), (s10, s11) = self.step[nodes[i].tag in FLOW]
+            (s00, s01), (s10, s11) = steps[i]
             # the parent's belief without what this child told it
             a = up[p][0] + down[p][0] - message[i][0]
             b = up[p][1] + down[p][1] - message[i][1]

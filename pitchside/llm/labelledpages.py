@@ -93,6 +93,16 @@ class Writer:
         tag = r.choice(["article", "article", "main", "div", "section"])
         return self.element(tag, CONTENT_NAMES if tag in ("div", "section") or r.random() < 0.4 else [], 1, "".join(parts))
 
+    def loose(self) -> str:
+        """An article whose text stands directly in the body, between line breaks, paragraphs or headings, with short notes before or after."""
+        r = self.r
+        parts = []
+        for _ in range(r.randint(1, 6)):
+            text = self.sentences(r.randint(2, 7))
+            parts.append(text if r.random() < 0.6 else f'<p data-label="1">{text}</p>' if r.random() < 0.8 else f'<h2 data-label="1">{self.words(2, 6)}</h2>')
+        note = lambda: "<!--label 0-->" + r.choice([self.words(1, 5), self.links(r.randint(2, 5), False), f"&copy; {self.words(1, 4)}"]) + "<hr>" if r.random() < 0.4 else ""
+        return note() + "<!--label 1-->" + r.choice(["<br><br>", "\n", "<br>"]).join(parts) + "<hr>" + note() + "<!--label 0-->"
+
     def page(self) -> str:
         r = self.r
         before = [self.other(k) for k in ("notice", "header", "nav", "form", "ad") if r.random() < (0.75 if k == "nav" else 0.4)]
@@ -100,6 +110,8 @@ class Writer:
         body = self.article()
         if r.random() < 0.06:  # an article without an element of its own
             body = "".join(f'<{t} data-label="1">{x}</{t}>' for t, x in [("h1", self.words(2, 8)), *(("p", self.sentences(r.randint(2, 6))) for _ in range(r.randint(2, 8)))])
+        elif r.random() < 0.1:
+            body = self.loose()
         if r.random() < 0.4:
             side = self.other("aside")
             body = self.element("div", ["wrapper", "container", "page", "row", "layout"], 0, r.choice([body + side, side + body]))

@@ -299,7 +299,7 @@ def test_marginals_equal_enumeration():
     total, one = 0.0, [0.0] * len(nodes)
     for labels in product((0, 1), repeat=len(nodes) - 1):
         labels = (0, *labels)
-        weight = sum(model.evidence(f) for f, y in zip(found, labels) if y) + sum(model.step[n.tag in htmlcontent.FLOW][labels[n.parent]][labels[i]] for i, n in enumerate(nodes) if i)
+        weight = sum(model.evidence(f) for f, y in zip(found, labels) if y) + sum(model.step[htmlcontent.kind(nodes, i)][labels[n.parent]][labels[i]] for i, n in enumerate(nodes) if i)
         total += math.exp(weight)
         for i, y in enumerate(labels):
             one[i] += y * math.exp(weight)
