@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -75,8 +77,11 @@ DETECT: dict[str, Callable[[str], list[Span]]] = {"email": emails, "ip": ips, "c
 LOOKALIKES = {
     "а": "a", "ɑ": "a", "α": "a", "с": "c", "ԁ": "d", "е": "e", "ɡ": "g", "һ": "h", "і": "i", "ι": "i", "ј": "j", "ӏ": "l", "ո": "n", "о": "o", "ο": "o", "р": "p", "ԛ": "q", "ѕ": "s", "υ": "u", "ѵ": "v", "ν": "v", "ѡ": "w", "х": "x", "у": "y",
     "А": "A", "Α": "A", "В": "B", "Β": "B", "С": "C", "Е": "E", "Ε": "E", "Ζ": "Z", "Н": "H", "Η": "H", "І": "I", "Ι": "I", "Ј": "J", "К": "K", "Κ": "K", "М": "M", "Μ": "M", "Ν": "N", "О": "O", "Ο": "O", "Р": "P", "Ρ": "P", "Ѕ": "S", "Т": "T", "Τ": "T", "Υ": "Y", "Х": "X", "Χ": "X",
+    "。": ".", "｡": ".", "․": ".", "﹒": ".", "﹫": "@",
 }
 INVISIBLE = "­​‌‍⁠﻿"
+#: Kinds of Unicode decompositions that keep what a character means; raised and lowered digits do not.
+FORMS = ("<font>", "<wide>", "<small>", "<circle>", "<narrow>")
 #: Spelled digits in English, German, French and Spanish.
 SPELLED = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
@@ -107,18 +112,16 @@ TOP_LEVEL = frozenset(
 WORDY = frozenset("am as be do et id is la me my no pa re se so to new page live life world today news work works space top win fun one plus link love family house land city town school university college health care game games video art music band group team bar name post bank law cat dog".split())
 ARTICLES = frozenset("the this that a each every one".split())
 _AT, _DOT = "at|arroba|arobase", "dot|punkt|point|punto"
-#: With an at and a dot of any style; whether it is an address, and where it ends, is up to `_domain_end`.
-SPOKEN = re.compile(
-    rf"(?<![\w.+-])([A-Za-z0-9](?:[A-Za-z0-9_%+-]|\.(?=\w)| (?:dot|punkt|punto) (?=\w))*)( (?:{_AT}) | ?@ ?)([A-Za-z0-9-]+(?:(?: (?:{_DOT}) |\.)[A-Za-z0-9-]+)+)", re.I
-)
+#: An at and a domain of any style; where the address starts and ends is up to `_local_start` and `_domain_end`.
+SPOKEN = re.compile(rf"( (?:{_AT}) | ?@ ?)([A-Za-z0-9-]+(?:(?: (?:{_DOT}) |\.)[A-Za-z0-9-]+)+)", re.I)
+DOT_BEFORE = tuple(f" {w} " for w in ("dot", "punkt", "punto"))
 LABEL_END = re.compile(rf"(?: (?:{_DOT}) |\.)([A-Za-z0-9-]+)(?!\w)", re.I)
 ENDING = re.compile(r"[A-Za-z]{2,}|xn--[A-Za-z0-9-]+", re.I)
 SPOKEN_WORD = re.compile(rf" ({_AT}|{_DOT}) | ?(@) ?", re.I)
-#: A text without any of these has nothing to rewrite.
-SIGN = re.compile(
-    rf"[{''.join(LOOKALIKES)}{INVISIBLE}！-～٠-٩۰-۹०-९]|[\[({{]\s?(?:at|arroba|arobase|ät|@|dot|punkt|point|punto|\.)\s?[\])}}]"
-    rf"|(?: (?:{_AT}) |@ ?)[a-z0-9.-]{{1,253}} (?:{_DOT}) | (?:dot|punkt|punto) [a-z0-9_%+.-]{{1,64}} (?:{_AT}) [a-z0-9-]+\.[a-z]|(?<!\w)(?:{'|'.join([*SPELLED, *REPEATS])})[ ,-]{{1,2}}(?:{_UNIT})[ ,-]{{1,2}}(?:{_UNIT})[ ,-]{{1,2}}(?:{_UNIT})(?!\w)",
-    re.I,
+#: Bracketed or spoken signs, or a run of spelled digits.
+SPELLED_SIGNS = (
+    rf"[\[({{]\s?(?:at|arroba|arobase|ät|@|dot|punkt|point|punto|\.)\s?[\])}}]"
+    rf"|(?: (?:{_AT}) |@ ?)[a-z0-9.-]+ (?:{_DOT}) | (?:dot|punkt|punto) [a-z0-9_%+.-]+ (?:{_AT}) [a-z0-9-]+\.[a-z]|(?<!\w)(?:{'|'.join([*SPELLED, *REPEATS])})[ ,-]{{1,2}}(?:{_UNIT})[ ,-]{{1,2}}(?:{_UNIT})[ ,-]{{1,2}}(?:{_UNIT})(?!\w)"
 )
 
 
@@ -147,16 +150,28 @@ class Tape:
         return self.spans[span[0]][0], self.spans[span[1] - 1][1]
 
 
+@cache
 def plain_character(c: str) -> str:
-    if "！" <= c <= "～":
-        return chr(ord(c) - 0xFEE0)
+    """The ASCII character that one stands for: look-alikes, decimal digits of all scripts, and compatibility forms (wide, small, circled, mathematical)."""
     if c in INVISIBLE:
         return ""
-    if not c.isascii() and c.isdecimal():
+    if c.isascii():
+        return c
+    if c.isdecimal():
         return str(int(c))
+    form, *of = unicodedata.decomposition(c).split() or [""]
+    if form in FORMS and len(of) == 1 and int(of[0], 16) < 128:
+        return chr(int(of[0], 16))
     return LOOKALIKES.get(c, c)
 
 
+@cache
+def signs() -> re.Pattern:
+    """A text without a match has nothing to rewrite: no character that stands for another, no bracketed or spoken sign, no spelled digits."""
+    changed = "".join(c for c in map(chr, chain(range(128, 0xD800), range(0xE000, 0x20000))) if plain_character(c) != c)
+    return re.compile(rf"[{re.escape(changed)}]|{SPELLED_SIGNS}", re.I)
+
+
 def characters(tape: Tape) -> Tape:
     """Homoglyphs, other decimal digits and invisible characters."""
     edits = []
@@ -188,19 +203,37 @@ def spelled_digits(tape: Tape, least: int = 4) -> Tape:
     return tape.rewrite(edits)
 
 
-def _domain_end(tape: Tape, m: re.Match) -> int | None:
-    """Where the address that a match of SPOKEN starts ends; None if it is none.
+def _local_start(text: str, at: int, floor: int) -> int | None:
+    """Where the local part before an at starts: letters, digits and signs, and plain or spoken dots before one of them."""
+    i, starts = at, []
+    while i > floor:
+        c, inside = text[i - 1], i < at and (text[i].isalnum() or text[i] == "_")
+        if c in LOCAL and (c != "." or inside):
+            i -= 1
+        elif inside and (word := next((w for w in DOT_BEFORE if text[max(floor, i - len(w)) : i].lower() == w), None)):
+            starts.append(i)
+            i -= len(word)
+        else:
+            break
+    before = text[i - 1 : i]
+    if not (before.isalnum() or before in ("_", ".", "+", "-") and before):
+        starts.append(i)
+    return next((s for s in reversed(starts) if s < at and text[s].isascii() and text[s].isalnum()), None)
+
+
+def _domain_end(tape: Tape, local: str, m: re.Match) -> int | None:
+    """Where the address with this local part and a match of SPOKEN ends; None if it is none.
 
     Any ending will do where the at is a sign, a dot of the domain stands for a bracketed one, or the
     local part has dots or underscores; else it has to be a known one.
     """
-    local, at, start = m.group(1), m.group(2), m.start(3)
-    sign = "@" in at
-    bracketed = any(c == "." and tape.spans[i][1] - tape.spans[i][0] > 1 for i, c in enumerate(m.group(3), start))
+    start = m.start(2)
+    sign = "@" in m.group(1)
+    bracketed = any(c == "." and tape.spans[i][1] - tape.spans[i][0] > 1 for i, c in enumerate(m.group(2), start))
     free = sign or bracketed or re.search(r"[A-Za-z]\.[A-Za-z]|_", local) is not None
     spoken = bracketed or " " in local
     known = other = None
-    before = re.match(r"[A-Za-z0-9-]+", m.group(3)).group()
+    before = re.match(r"[A-Za-z0-9-]+", m.group(2)).group()
     for x in LABEL_END.finditer(tape.text, start, m.end()):
         spoken = spoken or x.group()[0] == " "
         label = x.group(1)
@@ -221,9 +254,10 @@ def at_and_dot(tape: Tape) -> Tape:
     tape = tape.rewrite(edits)
     edits, at = [], 0
     while m := SPOKEN.search(tape.text, at):
-        end = _domain_end(tape, m)
-        at = end or m.start(3)
-        for w in SPOKEN_WORD.finditer(tape.text, m.start(), end) if end else ():
+        start = _local_start(tape.text, m.start(), at)
+        end = None if start is None else _domain_end(tape, tape.text[start : m.start()], m)
+        at = end or m.start(2)
+        for w in SPOKEN_WORD.finditer(tape.text, start, end) if end else ():
             edits.append((w.start(), w.end(), [("@" if w.group(2) or w.group(1).lower() in ("at", "arroba", "arobase") else ".", w.start(), w.end())]))
     return tape.rewrite(edits)
 
@@ -231,7 +265,7 @@ def at_and_dot(tape: Tape) -> Tape:
 def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """Base spans and all spans, by kind and start."""
     base = {k: DETECT[k](text) for k in KINDS}
-    if not SIGN.search(text):
+    if not signs().search(text):
         return base, base
     tape = at_and_dot(spelled_digits(characters(Tape(text))))
     found = {}
