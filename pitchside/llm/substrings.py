@@ -85,13 +85,13 @@ def segments(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return first, count, gram[at[first]].view(np.int64), content.view(np.int64)
 
 
-KEYS = "doc_id long, tag int"
+KEYS = "k1 long, k2 long"
 SEGMENT = f"{KEYS}, place long, anchor long, content long"  # place: first window * 32 + number of windows
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id and text with what tells rows apart: the id (null: the smallest long) and a hash of the text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.hash("text").alias("tag"), "text")
+    """doc_id and text with what tells rows apart: 128 bits of hash of both (equal rows share a key and what is found for it)."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(7), "text", "doc_id").alias("k2"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def all_segments(docs: DataFrame) -> DataFrame:
@@ -106,13 +106,13 @@ def all_segments(docs: DataFrame) -> DataFrame:
             rows = np.repeat(np.arange(len(batch)), each)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(cat[0] * 32 + cat[1]), pa.array(cat[2]), pa.array(cat[3])], names=names)
 
-    return docs.mapInArrow(run, SEGMENT)
+    return docs.select("k1", "k2", "text").mapInArrow(run, SEGMENT)
 
 
 def segment_words(docs: DataFrame, chosen: DataFrame, deep: bool) -> DataFrame:
-    """The words of chosen segments (doc_id, tag, place, anchor, content); with deep, a hash of each of their windows."""
-    lists = chosen.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "anchor", "content")).alias("segments"))
-    joined = docs.join(lists, ["doc_id", "tag"]).select("text", "segments")
+    """The words of chosen segments (k1, k2, place, anchor, content); with deep, a hash of each of their windows."""
+    lists = chosen.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "anchor", "content")).alias("segments"))
+    joined = docs.join(lists, ["k1", "k2"]).select("text", "segments")
     schema = "anchor long, content long, nth int, w1 long, w2 long" if deep else "anchor long, content long, n int, words string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,12 +194,13 @@ def tree_groups(found: DataFrame, batch_words: int = 2_000_000) -> DataFrame:
 
 
 def window_masks(docs: DataFrame, group_segments: int = 20_000) -> DataFrame:
-    """(doc_id, tag, places, masks): the segments of each row with repeated windows. docs: keyed."""
+    """(k1, k2, found): the segments (place, mask) of each row key with repeated windows. docs: keyed."""
     rows = all_segments(docs)
-    twice = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # what joins look up is written first: joins of two plain shuffles, so that a very common anchor can be split
+    twice = written(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "anchors")
     shared = written(rows.join(twice, "anchor", "left_semi").select(*[x.split()[0] for x in SEGMENT.split(", ")]), "segments")
-    kinds = written(shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "tag", "place")).alias("one")), "segment-kinds")
-    groups = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    kinds = written(shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "place")).alias("one")), "segment-kinds")
+    groups = written(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "anchor-kinds")
     chosen = written(kinds.join(groups, "anchor").select("one.*", "anchor", "content", (F.col("kinds") > group_segments).alias("deep")), "branching")
     trees = tree_groups(segment_words(docs, chosen.filter("NOT deep"), deep=False))
     if chosen.filter("deep").isEmpty():
@@ -210,14 +211,14 @@ def window_masks(docs: DataFrame, group_segments: int = 20_000) -> DataFrame:
         masks = trees.union(leaves.join(paths, ["w1", "w2"]).groupBy("anchor", "content").agg(F.sum(F.expr("shiftleft(1L, nth)")).alias("mask")))
     seen = kinds.join(masks, ["anchor", "content"], "left")
     verdict = seen.select("anchor", "content", F.when(F.col("copies") > 1, -1).otherwise(F.coalesce("mask", F.lit(0))).cast("long").alias("mask")).filter("mask <> 0")
-    hits = shared.join(verdict, ["anchor", "content"]).select("doc_id", "tag", "place", "mask")
-    return hits.groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places"), F.collect_list("mask").alias("masks"))
+    hits = shared.join(written(verdict, "verdicts"), ["anchor", "content"])
+    return hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "mask")).alias("found"))  # a set, as repeated rows share a key
 
 
-def removed(n_words: int, places: list[int], masks: list[int]) -> np.ndarray:
+def removed(n_words: int, found: list[tuple[int, int]]) -> np.ndarray:
     """Which words lie in a repeated window."""
     edge = np.zeros(n_words + 1, dtype=np.int64)
-    for place, mask in zip(places, masks):
+    for place, mask in found:
         first, n = divmod(place, 32)
         at = first + np.array([j for j in range(n) if mask >> j & 1], dtype=np.int64)
         np.add.at(edge, at, 1)
@@ -228,16 +229,16 @@ def removed(n_words: int, places: list[int], masks: list[int]) -> np.ndarray:
 def drop_repeats(docs: DataFrame, group_segments: int = 20_000) -> DataFrame:
     """(doc_id, n_words, n_removed, text): what is left of each row, words joined by one space."""
     rows = keyed(docs)
-    joined = rows.join(window_masks(rows, group_segments), ["doc_id", "tag"], "left").select("doc_id", "text", "places", "masks")
+    joined = rows.join(window_masks(rows, group_segments), ["k1", "k2"], "left").select("doc_id", "text", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b)):
             out = []
-            for key, text, places, masks in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for key, text, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = (text or "").encode().split()
-                gone = removed(len(words), places or [], masks or [])
-                kept = b" ".join([w for w, x in zip(words, gone) if not x] if places else words)
-                out.append((None if key == -(2**63) else key, len(words), int(gone.sum()), kept.decode()))
+                gone = removed(len(words), [(x["place"], x["mask"]) for x in found or []])
+                kept = b" ".join([w for w, x in zip(words, gone) if not x] if found else words)
+                out.append((key, len(words), int(gone.sum()), kept.decode()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, [pa.int64()] * 3 + [pa.string()])], names=["doc_id", "n_words", "n_removed", "text"])
 
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
