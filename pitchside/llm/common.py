@@ -23,8 +23,13 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where that is unset, one of our own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own_folder()
 
 
 def written(frame: DataFrame, tag: str) -> DataFrame:
@@ -38,6 +43,11 @@ def written(frame: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def spread(frame: DataFrame, *by: str) -> DataFrame:
+    """Dealt over all shuffle partitions, for small tables that grow a lot in the next step."""
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import per_document, written
+from pitchside.llm.common import per_document, spread, written
 from pitchside.llm.components import components
 
 SHINGLE, RADIUS, STEP = 3, 3, 1 << 18
@@ -70,7 +70,7 @@ TWO_BITS = [_signed(1 << i | 1 << j) for half in (range(32), range(32, 64)) for
 
 def crowded(fps: DataFrame) -> DataFrame:
     """Those of the distinct fingerprints (fp) that share a half, but for one bit, with another."""
-    keys = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).selectExpr(
+    keys = spread(fps, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).selectExpr(
         "fp", "(CASE WHEN i < 32 THEN fp & 4294967295L ELSE shiftrightunsigned(fp, 32) END & ~shiftleft(1L, i % 32)) | shiftleft(CAST(i AS BIGINT), 32) AS key"
     )
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
@@ -80,7 +80,7 @@ def crowded(fps: DataFrame) -> DataFrame:
 def ball_links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect all within the radius."""
     even, odd = F.array(*map(F.lit, [0, *ONE_BIT, *TWO_BITS])), F.array(*map(F.lit, ONE_BIT))
-    balls = fps.select("fp", F.explode(F.when(F.expr("bit_count(fp) % 2 = 0"), even).otherwise(odd)).alias("mask")).selectExpr("fp", "fp ^ mask AS variant")
+    balls = spread(fps, "fp").select("fp", F.explode(F.when(F.expr("bit_count(fp) % 2 = 0"), even).otherwise(odd)).alias("mask")).selectExpr("fp", "fp ^ mask AS variant")
     met = balls.groupBy("variant").agg(
         F.min(F.when(F.expr("bit_count(fp ^ variant) <= 1"), F.col("fp"))).alias("a"), F.collect_list("fp").alias("members")
     )
