@@ -5,9 +5,9 @@ each window length there is a shift table over blocks of two words, which says h
 may jump, buckets of windows by their last block, and a direct comparison of the whole window.
 
 Bounds: the benchmark is cut into blocks of rows of at most ``block_chars`` characters by the
-running sum of their lengths; one block's tables at a time are built and broadcast, and every
-document is searched for each block. Evaluation sets are far smaller than one block, so there is
-one pass; with several, the hits of a document are merged by its row.
+running sum of their lengths (an item longer than that is a block of its own); one block's tables at a
+time are built and broadcast, some 115 bytes for each character, so about 230 MB for a full block, and
+every document is searched for each block. With several blocks, the hits of a document are merged by its row.
 
 Defined cases: null and empty texts have no words, hence no windows and no hits. Repeated items
 count as one id each time the id differs; equal windows of several items count for all of them. An
@@ -125,7 +125,7 @@ def summary(n: int, spans: list[tuple[int, int]], items: set) -> tuple:
 FIELDS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block_chars: int = 32_000_000, only_clean: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, block_chars: int = 2_000_000, only_clean: bool = False) -> DataFrame:
     """One row per row of docs with FIELDS; or, with only_clean, the rows of docs that are not contaminated."""
     blocks = _blocks(benchmark, block_chars)
     first, second = next(blocks), next(blocks, None)
