@@ -466,3 +466,33 @@ def test_threshold_rejects_bad_and_keeps_good():
     scores, good = np.array([-2.0, -1.9, -0.2, 0.0, 0.1]), np.array([False, False, True, True, True])
     assert -1.9 < quality._threshold(scores, good, 50) < -0.2
     assert quality._threshold(np.array([1.0, 1.0]), np.array([True, False]), 50) == -np.inf
+
+
+# ---- repeated rows and ids, against the SQL
+
+
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op5_decontamination", "op7_substring_dedup"])
+def test_sql_on_repeated_ids(spark, tmp_path, name):
+    """Rows that repeat an id are documents of their own, in the query and in its SQL."""
+    import duckdb
+
+    from pitchside.llm import registry
+
+    line = "A line of forty characters or more, which repeats."
+    passage = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, f"{line}\na"), (1, f"{line}\nb"), (2, line), (2, line), (3, f"x\n{line}"), (3, passage), (4, f"{passage} more"), (None, f"{line}\nc"), (None, passage), (5, None)]
+    if name == "op5_decontamination":
+        rows = [r for r in rows if r not in ((2, line),)]
+        rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    if name == "op7_substring_dedup":
+        rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("i1", passage), ("i2", "short item"), (None, "x"), ("i3", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    con_rows = con.execute(registry.oracle_sql()[name])
+    columns = [c[0] for c in con_rows.description]
+    want = sorted(con_rows.fetchall(), key=repr)
+    assert rows_of(registry.queries()[name](spark, str(tmp_path)), *columns) == want
