@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it; keeps plans of nested text rules small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def straight_quotes(s: Column) -> Column:
     return F.translate(s, "‘’“”", "''\"\"")
 
@@ -69,7 +76,10 @@ def similarity(a: Column, b: Column) -> Column:
 
 def split_names(name: Column) -> Column:
     """The people of a cell like `A. Bee, C. Dee and E. Eff`; the whole cell unless every part looks like a name."""
-    whole = squeeze(name)
+    return let(squeeze(name), _people)
+
+
+def _people(whole: Column) -> Column:
     parts = F.filter(F.split(whole, r"(?i)\s*,\s+and\s+|\s*,\s*|\s+and\s+"), lambda p: p != "")
     each = F.forall(parts, lambda p: p.rlike(r"^[A-Z][A-Za-z'.-]+"))
     return F.when(whole == "", F.array().cast("array<string>")).when((F.size(parts) > 1) & each, parts).otherwise(F.array(whole))

@@ -7,28 +7,32 @@ from pyspark.sql import functions as F
 
 from pitchside.operators.core import counted, ranked, total, two_sided
 
-#: Sort keys by metric: column and whether it runs downward.
+#: Sort keys by metric: column and whether it runs downward; then the name without case.
 TEAM_ORDER = {
     "wins": [("wins", True), ("win_pct", True), ("goal_diff", True)],
-    "win_pct": [("win_pct", True), ("wins", True), ("goal_diff", True)],
-    "goals_for": [("goals_for", True), ("wins", True)],
-    "goals_against": [("goals_against", False), ("wins", True)],
-    "gpg": [("gpg", True), ("wins", True)],
-    "gapg": [("gapg", False), ("wins", True)],
+    "losses": [("losses", True), ("games", True)],
+    "win_pct": [("win_pct", True), ("wins", True)],
+    "goals_for": [("goals_for", True), ("games", False)],
+    "goals_against": [("goals_against", False), ("games", False)],
     "goal_diff": [("goal_diff", True), ("wins", True)],
-    "games": [("games", True), ("wins", True)],
+    "gpg": [("gpg", True), ("games", False)],
+    "gapg": [("gapg", False), ("games", False)],
 }
 PLAYER_ORDER = {
-    "goals": ["goals", "assists"],
-    "assists": ["assists", "goals"],
-    "points": ["points", "goals"],
-    "ground_balls": ["ground_balls", "points"],
-    "caused_turnovers": ["caused_turnovers", "points"],
-    "saves": ["saves", "points"],
-    "fo_pct": ["fo_pct", "fo_taken"],
-    "ppg": ["ppg", "points"],
+    "points": [("points", True), ("goals", True), ("games", False)],
+    "goals": [("goals", True), ("assists", True)],
+    "assists": [("assists", True), ("goals", True)],
+    "ground_balls": [("ground_balls", True), ("games", False)],
+    "caused_turnovers": [("caused_turnovers", True), ("games", False)],
+    "saves": [("saves", True), ("games", False)],
+    "fo_pct": [("fo_pct", True), ("fo_taken", True)],
+    "ppg": [("ppg", True), ("points", True)],
 }
-RATIOS = ("fo_pct", "ppg")
+
+
+def _sorted_by(order: list[tuple[str, bool]], name: str, key: str) -> list:
+    """Downward keys have nulls last; the key makes the order total."""
+    return [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_first() for c, down in order] + [F.lower(name), F.col(key)]
 
 
 def _top(frame: DataFrame, order: list, limit: int) -> DataFrame:
@@ -37,7 +41,7 @@ def _top(frame: DataFrame, order: list, limit: int) -> DataFrame:
 
 
 def team_leaders(games: DataFrame, teams: DataFrame, metric: str = "wins", limit: int = 25, season: int | None = None) -> DataFrame:
-    """Teams by one metric. Postponed contests weigh nothing; ties leave win_pct's denominator."""
+    """Teams with a contest by one metric. Postponed contests weigh nothing; ties leave win_pct's denominator, which must not be zero for that metric."""
     sides = two_sided(games if season is None else games.filter(F.col("season") == season))
     played = ~F.col("postponed")
     agg = sides.groupBy("team_id").agg(
@@ -50,7 +54,7 @@ def team_leaders(games: DataFrame, teams: DataFrame, metric: str = "wins", limit
     )
     decided = F.col("wins") + F.col("losses")
     wide = (
-        agg.filter("games > 0")
+        agg.filter(decided > 0 if metric == "win_pct" else F.col("games") > 0)
         .join(teams.select("team_id", "name"), "team_id")
         .withColumns(
             {
@@ -61,30 +65,28 @@ def team_leaders(games: DataFrame, teams: DataFrame, metric: str = "wins", limit
             }
         )
     )
-    order = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_first() for c, down in TEAM_ORDER[metric]] + [F.col("name"), F.col("team_id")]
-    return _top(wide, order, limit).select("rank", "team_id", "name", "games", "wins", "losses", "ties", "goals_for", "goals_against", "goal_diff", "win_pct", "gpg", "gapg")
+    return _top(wide, _sorted_by(TEAM_ORDER[metric], "name", "team_id"), limit).select("rank", "team_id", "name", "games", "wins", "losses", "ties", "goals_for", "goals_against", "goal_diff", "win_pct", "gpg", "gapg")
 
 
 def hot_streak(stats: DataFrame, last: int = 3, over: int = 2) -> DataFrame:
-    """Players whose goals and assists in their last games sum to more than a bound."""
-    recent = ranked(stats.select("player_id", (F.col("goals") + F.col("assists")).alias("pts"), "game_date", "game_id"), ["player_id"], [F.desc("game_date"), F.desc("game_id")])
-    return recent.filter(F.col("rn") <= last).groupBy("player_id").agg((F.sum("pts") > over).alias("hot"))
+    """Players whose goals in their last contests that were played sum to more than a bound."""
+    per_game = stats.filter(~F.col("postponed")).groupBy("player_id", "game_id").agg(F.max("game_date").alias("game_date"), F.sum("goals").alias("goals"))
+    recent = ranked(per_game, ["player_id"], [F.desc("game_date"), F.desc("game_id")])
+    return recent.filter(F.col("rn") <= last).groupBy("player_id").agg((F.sum("goals") > over).alias("hot"))
 
 
 def player_leaders(stats: DataFrame, metric: str = "points", limit: int = 25, min_games: int = 1, min_attempts: int = 20, season: int | None = None) -> DataFrame:
-    """Players by one metric, filtered on sums (never on a raw row of the group)."""
+    """Players with enough games by one metric, filtered on sums (never on a raw row of the group); zeros are ranked, too."""
     rows = stats if season is None else stats.filter(F.col("season") == season)
     cols = ["goals", "assists", "ground_balls", "caused_turnovers", "saves", "fo_won", "fo_taken"]
     agg = rows.groupBy("player_id", "player_name", "team_id").agg(
-        F.countDistinct("game_id").alias("games"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in cols], F.coalesce(F.sum(F.col("goals") + F.col("assists")), F.lit(0)).alias("points")
+        F.count(F.lit(1)).alias("games"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in cols], F.coalesce(F.sum(F.col("goals") + F.col("assists")), F.lit(0)).alias("points")
     )
-    wide = agg.withColumns({"fo_pct": F.when(F.col("fo_taken") > 0, F.col("fo_won") / F.col("fo_taken")), "ppg": F.col("points") / F.col("games")})
+    wide = agg.withColumns({"fo_pct": F.when(F.col("fo_taken") > 0, F.col("fo_won") / F.col("fo_taken")), "ppg": F.col("points") / F.col("games")}).filter(F.col("games") >= min_games)
     if metric == "fo_pct":
         wide = wide.filter(F.col("fo_taken") >= min_attempts)
-    elif metric in RATIOS:
-        wide = wide.filter(F.col("games") >= min_games)
-    else:
-        wide = wide.filter(F.col(metric) > 0)
-    order = [F.col(c).desc_nulls_last() for c in PLAYER_ORDER[metric]] + [F.lower("player_name"), F.col("player_id")]
-    top = wide.orderBy(*order).limit(limit).join(hot_streak(stats), "player_id", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    order = _sorted_by(PLAYER_ORDER[metric], "player_name", "player_id")
+    best = wide.orderBy(*order).limit(limit)
+    # only the leaders' rows are ranked for the hot flag: at most `limit` ids are broadcast
+    top = best.join(hot_streak(stats.join(F.broadcast(best.select("player_id")), "player_id", "left_semi")), "player_id", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "player_id", "player_name", "team_id", "games", *cols[:2], "points", *cols[2:], "fo_pct", "ppg", "hot")

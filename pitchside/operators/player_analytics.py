@@ -53,9 +53,9 @@ def momentum(frame: DataFrame, key: str, order: list[Column], step: Column) -> D
 
 
 def milestones(stats: DataFrame) -> DataFrame:
-    """Each player's best game by each of three counts; of equal ones the latest."""
-    long = stats.select("player_id", "game_id", "game_date", F.expr("stack(3, 'goals', goals, 'assists', assists, 'saves', saves) AS (stat, value)"))
-    return first_per(long.filter("value > 0"), ["player_id", "stat"], [F.desc("value"), F.desc("game_date"), F.desc("game_id")])
+    """Each player's best game by goals, assists and points, also where that is zero; of equal ones the latest."""
+    long = stats.select("player_id", "game_id", "game_date", F.expr("stack(3, 'goals', goals, 'assists', assists, 'points', goals + assists) AS (stat, value)"))
+    return first_per(long, ["player_id", "stat"], [F.desc("value"), F.desc("game_date"), F.desc("game_id")])
 
 
 def concentration(stats: DataFrame, share: float = 0.6, least: int = 10) -> DataFrame:
@@ -69,9 +69,22 @@ def percentiles(frame: DataFrame, key: str, value: str) -> DataFrame:
     return frame.withColumn("pct", mid_rank(F.col(value), [key]))
 
 
-def compare_players(stats: DataFrame, a: int, b: int) -> DataFrame:
-    """Category by category: both sums, who leads, and by how much."""
-    sums = stats.filter(F.col("player_id").isin(a, b)).agg(*[F.coalesce(F.sum(F.when(F.col("player_id") == p, F.col(c))), F.lit(0)).alias(f"{c}_{s}") for c in COUNTS for p, s in ((a, "a"), (b, "b"))])
-    rows = F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"{c}_a").alias("a"), F.col(f"{c}_b").alias("b")) for c in COUNTS])
+#: What two players are compared by, in order: five sums, points, and three rates by game.
+CATEGORIES = ["goals", "assists", "points", "ground_balls", "caused_turnovers", "saves", "points_per_game", "goals_per_game", "assists_per_game"]
+
+
+def compare_players(stats: DataFrame, a: int, b: int, leads: int = 3) -> DataFrame:
+    """Category by category: both values, who leads and by how much; `lead` ranks a leader's categories by that, the first few only.
+
+    Rates have two places, .5 going up. A player without games has zeros.
+    """
+    sums = stats.filter(F.col("player_id").isin(a, b)).groupBy("player_id").agg(F.count(F.lit(1)).alias("games"), *[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in COUNTS[:5]]).withColumn("points", F.col("goals") + F.col("assists"))
+    rates = {f"{c}_per_game": half_up(F.col(c) / F.col("games"), 2) for c in ("points", "goals", "assists")}
+    long = sums.withColumns(rates).select("player_id", F.posexplode(F.array(*CATEGORIES)).alias("at", "value"))
+    of = lambda p: F.coalesce(F.max(F.when(F.col("player_id") == p, F.col("value"))), F.lit(0.0))
+    both = long.groupBy("at").agg(of(a).alias("a"), of(b).alias("b"))
     leader = F.when(F.col("a") > F.col("b"), "a").when(F.col("a") < F.col("b"), "b").otherwise("tie")
-    return sums.select(F.inline(rows)).select("category", "a", "b", leader.alias("leader"), F.abs(F.col("a") - F.col("b")).alias("diff"))
+    names = F.get(F.array(*map(F.lit, CATEGORIES)), F.col("at"))
+    rows = both.select("at", names.alias("category"), "a", "b", leader.alias("leader"), F.abs(F.col("a") - F.col("b")).alias("diff"))
+    ranked_rows = ranked(rows, ["leader"], [F.desc(F.round("diff", 9)), F.col("at")])  # nine rows
+    return ranked_rows.withColumn("lead", F.when((F.col("leader") != "tie") & (F.col("rn") <= leads), F.col("rn"))).drop("rn", "at")

@@ -74,12 +74,12 @@ def calendar(games: DataFrame) -> DataFrame:
 
 
 def calendar_grid(games: DataFrame) -> DataFrame:
-    """Every day from the Monday before the first to the Sunday after the last contest, with a colour bin."""
+    """Every day from the Monday before the first to the Sunday after the last contest, with a colour bin: none, 1-2, 3-4, more."""
     days = calendar(games)
     span = days.agg(F.trunc(F.min("game_date"), "week").alias("lo"), F.date_add(F.trunc(F.max("game_date"), "week"), 6).alias("hi")).filter("lo IS NOT NULL")
     grid = span.select(F.explode(F.sequence("lo", "hi")).alias("game_date"))
     n = F.coalesce("games", F.lit(0))
-    return grid.join(days, "game_date", "left").select("game_date", n.alias("games"), F.when(n == 0, 0).when(n <= 5, 1).when(n <= 15, 2).otherwise(3).alias("bin"))
+    return grid.join(days, "game_date", "left").select("game_date", n.alias("games"), F.when(n == 0, 0).when(n <= 2, 1).when(n <= 4, 2).otherwise(3).alias("bin"))
 
 
 def seasons(games: DataFrame) -> DataFrame:

@@ -63,6 +63,7 @@ def player_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.to_date("o_orderdate").alias("game_date"),
             F.year("o_orderdate").cast("long").alias("season"),
             "goals", "assists", "ground_balls", "caused_turnovers", "saves", "fo_won", "fo_taken",
+            (F.col("o_orderstatus") == "P").alias("postponed"),
         )
     )
 
@@ -96,7 +97,7 @@ per_game AS (
 stats AS (
   SELECT game_id, c_custkey AS player_id, c_name AS player_name, CAST(c_nationkey AS BIGINT) AS team_id,
          CAST(o_orderdate AS DATE) AS game_date, CAST(year(o_orderdate) AS BIGINT) AS season,
-         goals, assists, ground_balls, caused_turnovers, saves, fo_won, fo_taken
+         goals, assists, ground_balls, caused_turnovers, saves, fo_won, fo_taken, o_orderstatus = 'P' AS postponed
   FROM per_game JOIN orders ON game_id = o_orderkey JOIN customer ON o_custkey = c_custkey
 )"""
 

@@ -5,8 +5,27 @@ from __future__ import annotations
 from pitchside.operators import leaderboards
 from pitchside.plans import bindings as B
 
-TEAM_METRICS = list(leaderboards.TEAM_ORDER)
-PLAYER_METRICS = list(leaderboards.PLAYER_ORDER)
+#: The orders in SQL, written out here and not taken from the operators.
+TEAM_SQL = {
+    "wins": "wins DESC, win_pct DESC NULLS LAST, goal_diff DESC",
+    "losses": "losses DESC, games DESC",
+    "win_pct": "win_pct DESC, wins DESC",
+    "goals_for": "goals_for DESC, games",
+    "goals_against": "goals_against, games",
+    "goal_diff": "goal_diff DESC, wins DESC",
+    "gpg": "gpg DESC, games",
+    "gapg": "gapg, games",
+}
+PLAYER_SQL = {
+    "points": "points DESC, goals DESC, games",
+    "goals": "goals DESC, assists DESC",
+    "assists": "assists DESC, goals DESC",
+    "ground_balls": "ground_balls DESC, games",
+    "caused_turnovers": "caused_turnovers DESC, games",
+    "saves": "saves DESC, games",
+    "fo_pct": "fo_pct DESC NULLS LAST, fo_taken DESC",
+    "ppg": "ppg DESC, points DESC",
+}
 
 
 def _team(metric: str):
@@ -14,7 +33,7 @@ def _team(metric: str):
 
 
 def _team_sql(metric: str) -> str:
-    order = ", ".join(f"{c} {'DESC NULLS LAST' if down else 'ASC NULLS FIRST'}" for c, down in leaderboards.TEAM_ORDER[metric])
+    order, keep = TEAM_SQL[metric], "wins + losses > 0" if metric == "win_pct" else "games > 0"
     return f"""WITH {B.GAMES_SQL}, {B.TEAMS_SQL}, {B.SIDES_SQL},
 agg AS (
   SELECT team_id,
@@ -28,9 +47,9 @@ agg AS (
 wide AS (
   SELECT a.*, name, CASE WHEN wins + losses > 0 THEN wins * 1.0::DOUBLE / (wins + losses) END AS win_pct,
     goals_for * 1.0::DOUBLE / games AS gpg, goals_against * 1.0::DOUBLE / games AS gapg, goals_for - goals_against AS goal_diff
-  FROM agg a JOIN teams USING (team_id) WHERE games > 0)
-SELECT CAST(row_number() OVER (ORDER BY {order}, name, team_id) AS INTEGER) AS rank, team_id, name, games, wins, losses, ties, goals_for, goals_against, goal_diff, win_pct, gpg, gapg
-FROM wide ORDER BY {order}, name, team_id LIMIT 10"""
+  FROM agg a JOIN teams USING (team_id) WHERE {keep})
+SELECT CAST(row_number() OVER (ORDER BY {order}, lower(name), team_id) AS INTEGER) AS rank, team_id, name, games, wins, losses, ties, goals_for, goals_against, goal_diff, win_pct, gpg, gapg
+FROM wide ORDER BY {order}, lower(name), team_id LIMIT 10"""
 
 
 def _player(metric: str):
@@ -38,12 +57,11 @@ def _player(metric: str):
 
 
 def _player_sql(metric: str) -> str:
-    order = ", ".join(f"{c} DESC NULLS LAST" for c in leaderboards.PLAYER_ORDER[metric])
-    keep = "fo_taken >= 20" if metric == "fo_pct" else ("games >= 1" if metric in leaderboards.RATIOS else f"{metric} > 0")
+    order, keep = PLAYER_SQL[metric], "fo_taken >= 20" if metric == "fo_pct" else "games >= 1"
     return f"""WITH {B.STATS_SQL},
-recent AS (SELECT player_id, goals + assists AS pts, row_number() OVER (PARTITION BY player_id ORDER BY game_date DESC, game_id DESC) AS rn FROM stats),
-hot AS (SELECT player_id, sum(pts) AS last3 FROM recent WHERE rn <= 3 GROUP BY player_id),
-agg AS (SELECT player_id, player_name, team_id, count(DISTINCT game_id) AS games,
+recent AS (SELECT player_id, goals, row_number() OVER (PARTITION BY player_id ORDER BY game_date DESC, game_id DESC) AS rn FROM stats WHERE NOT postponed),
+hot AS (SELECT player_id, sum(goals) AS last3 FROM recent WHERE rn <= 3 GROUP BY player_id),
+agg AS (SELECT player_id, player_name, team_id, count(*) AS games,
   CAST(sum(goals) AS BIGINT) AS goals, CAST(sum(assists) AS BIGINT) AS assists, CAST(sum(goals + assists) AS BIGINT) AS points,
   CAST(sum(ground_balls) AS BIGINT) AS ground_balls, CAST(sum(caused_turnovers) AS BIGINT) AS caused_turnovers,
   CAST(sum(saves) AS BIGINT) AS saves, CAST(sum(fo_won) AS BIGINT) AS fo_won, CAST(sum(fo_taken) AS BIGINT) AS fo_taken
@@ -53,5 +71,5 @@ SELECT CAST(row_number() OVER (ORDER BY {order}, lower(player_name), w.player_id
 FROM wide w LEFT JOIN hot USING (player_id) WHERE {keep} ORDER BY {order}, lower(player_name), w.player_id LIMIT 25"""
 
 
-QUERIES = {f"a04_team_leaders_{m}": _team(m) for m in TEAM_METRICS} | {f"a03_player_leaders_{m}": _player(m) for m in PLAYER_METRICS}
-ORACLES = {f"a04_team_leaders_{m}": _team_sql(m) for m in TEAM_METRICS} | {f"a03_player_leaders_{m}": _player_sql(m) for m in PLAYER_METRICS}
+QUERIES = {f"a04_team_leaders_{m}": _team(m) for m in TEAM_SQL} | {f"a03_player_leaders_{m}": _player(m) for m in PLAYER_SQL}
+ORACLES = {f"a04_team_leaders_{m}": _team_sql(m) for m in TEAM_SQL} | {f"a03_player_leaders_{m}": _player_sql(m) for m in PLAYER_SQL}

@@ -46,8 +46,8 @@ def _orders(spark, d):
 
 
 def _upload(spark, d):
-    """The first parts again with a changed size, and as many that do not exist."""
-    p = B.table(spark, d, "part").filter("p_partkey <= 100")
+    """All parts again, every second with a changed size, and as many that do not exist."""
+    p = B.table(spark, d, "part")
     changed = p.select(F.col("p_partkey").cast("long").alias("k"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).cast("long").alias("size"))
     return changed.unionByName(changed.select((-F.col("k") - 1).alias("k"), "size"))
 
@@ -57,7 +57,7 @@ def _parts(spark, d):
 
 
 ORDERS = "WITH g AS (SELECT o_orderkey AS game_id, CAST(o_orderdate AS DATE) AS game_date, CAST(c_nationkey AS BIGINT) AS home_id, CAST(o_custkey % 25 AS BIGINT) AS away_id FROM orders JOIN customer ON o_custkey = c_custkey)"
-UPLOAD = """WITH c AS (SELECT CAST(p_partkey AS BIGINT) AS k, CAST(CASE WHEN p_partkey % 2 = 0 THEN p_size + 1 ELSE p_size END AS BIGINT) AS size FROM part WHERE p_partkey <= 100),
+UPLOAD = """WITH c AS (SELECT CAST(p_partkey AS BIGINT) AS k, CAST(CASE WHEN p_partkey % 2 = 0 THEN p_size + 1 ELSE p_size END AS BIGINT) AS size FROM part),
 b AS (SELECT * FROM c UNION ALL SELECT -k - 1, size FROM c), t AS (SELECT CAST(p_partkey AS BIGINT) AS k, CAST(p_size AS BIGINT) AS size FROM part)"""
 
 

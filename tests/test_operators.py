@@ -68,23 +68,7 @@ def test_redirect_keeps_what_was_there(spark):
     assert sorted(tuple(r) for r in merge.redirect(rows, mapping, "player", ["game", "player"], [F.col("goals")]).collect()) == [(1, 10, 5), (2, 10, 2)]
 
 
-@pytest.mark.parametrize(
-    "line,want",
-    [
-        ("Lower Merion 10, Harriton 9", ("Lower Merion", 10, "Harriton", 9, 0, False, None)),
-        ("Radnor 8, Conestoga 7 (OT)", ("Radnor", 8, "Conestoga", 7, 1, False, None)),
-        ("Radnor 8, Conestoga 7, 2OT", ("Radnor", 8, "Conestoga", 7, 2, False, None)),
-        ("Radnor at Conestoga, ppd.", (None, None, None, None, None, True, None)),
-        ("no result here", (None, None, None, None, None, False, "no score pattern")),
-    ],
-)
-def test_score_lines(spark, line, want):
-    assert tuple(spark.createDataFrame([(line,)], "l string").select(parsers.score_line(F.col("l")).alias("p")).first().p) == want
-
-
-def test_quarter_and_ranking_lines(spark):
-    q = spark.createDataFrame([("Radnor 3 2 1 4 - 10",), ("Radnor 3 2 1 4 - 11",)], "l string").select(parsers.quarter_line(F.col("l")).alias("p")).collect()
-    assert (q[0].p.team_hint, q[0].p.periods, q[0].p.validates, q[1].p.validates) == ("Radnor", [3, 2, 1, 4], True, False)
+def test_dead_letters(spark):
     good, bad = parsers.split_parsed(spark.createDataFrame([("1. Radnor",), ("Radnor",), ("101 Radnor",)], "l string"), parsers.ranking_line(F.col("l")))
     assert [(r["rank"], r.team) for r in good.collect()] == [(1, "Radnor")] and bad.count() == 2
 
