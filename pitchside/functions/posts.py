@@ -27,15 +27,29 @@ MONTHS = rf"(?:{'|'.join(MONTH_NAMES)}|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|
 class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.skipped = [], []
+        self.out, self.skipped, self.open = [], [], []
+
+    def _implied_end(self, tag, within):
+        """The end of an open element that the page leaves out."""
+        if tag in self.open and not any(t in within for t in self.open[len(self.open) - self.open[::-1].index(tag) :]):
+            self.handle_endtag(tag)
 
     def handle_starttag(self, tag, attrs):
         if tag in LEFT_OUT:
             self.skipped.append(tag)
         elif tag in ("br", "hr"):
             self.out.append("\n")
+        elif tag in ("ul", "ol", "table") or tag in ENDS_LINE:
+            self._implied_end("p", ("table", "td"))
+            if tag in ("li", "tr"):
+                self._implied_end(tag, ("ul", "ol", "table"))
+            self.open.append(tag)
 
     def handle_endtag(self, tag):
+        if tag in self.open:
+            at = len(self.open) - 1 - self.open[::-1].index(tag)
+            inner, self.open = self.open[at + 1 :], self.open[:at]
+            self.out += ["\n" for t in inner if t in ENDS_LINE]
         if tag in self.skipped:
             while self.skipped.pop() != tag:
                 pass
