@@ -56,14 +56,16 @@ def first_per(frame: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return ranked(frame, keys, order, "_rn").filter("_rn = 1").drop("_rn")
 
 
-def mid_rank(value: Column, keys: list[str]) -> Column:
-    """Mid-rank percentile within the group: 0.5 for a group of one, null for a null value.
+def with_mid_rank(frame: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """Adds the mid-rank percentile within the group: 0.5 for a group of one, null for a null value.
 
     Half of (rows below plus rows at or below) over the number of rows, which differs from both
-    percent_rank and cume_dist on ties.
+    percent_rank and cume_dist on ties. Rows are counted by value first, on the map side, so that the
+    windows run over distinct values alone and a group of very many rows is no task of its own.
     """
-    w = Window.partitionBy(*keys)
-    below = F.rank().over(w.orderBy(value.asc_nulls_last())) - 1
-    upto = below + F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    n = F.count(value).over(w)
-    return F.when(value.isNull(), None).when(n <= 1, 0.5).otherwise((below + upto) / 2.0 / n)
+    valued = frame.withColumn("_v", value)
+    counts = valued.filter("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*keys)
+    upto, every = F.sum("_n").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), F.sum("_n").over(group)
+    ranks = counts.withColumns({"_upto": upto, "_all": every}).select(*keys, "_v", F.when(F.col("_all") <= 1, 0.5).otherwise((2 * F.col("_upto") - F.col("_n")) / 2.0 / F.col("_all")).alias(name))
+    return valued.join(ranks, [*keys, "_v"], "left").drop("_v")

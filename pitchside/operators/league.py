@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchside.operators.core import counted, mid_rank, safe_div, two_sided
+from pitchside.operators.core import counted, safe_div, two_sided, with_mid_rank
 from pitchside.operators.team_analytics import team_totals
 
 
@@ -48,20 +48,25 @@ def radar_axes(games: DataFrame) -> DataFrame:
     Goals count in postponed contests too, results do not. Defense shows goals allowed per game and
     ranks by its negative. The schedule axis is the mean share of wins of the opponents, 0.5 without one.
     """
-    wide = team_totals(games).withColumn("decided", F.col("wins") + F.col("losses"))
+    # both parts come from one table of pairs, so that contests are read once
+    played = ~F.col("postponed")
+    pairs = two_sided(games).groupBy("team_id", "opponent_id").agg(
+        counted(played & (F.col("gf") > F.col("ga"))).alias("wins"), counted(played & (F.col("gf") < F.col("ga"))).alias("losses"), counted(played).alias("n"), F.coalesce(F.sum("gf"), F.lit(0)).alias("goals_for"), F.coalesce(F.sum("ga"), F.lit(0)).alias("goals_against")
+    )
+    wide = pairs.groupBy("team_id").agg(*[F.sum(c).alias(c) for c in ("wins", "losses", "goals_for", "goals_against")]).withColumn("decided", F.col("wins") + F.col("losses"))
     per = lambda x: safe_div(x, F.col("decided"))
     base = wide.select(
         "team_id", per(F.col("wins")).alias("win_pct"), per(F.col("goals_for")).alias("goals_for"), per(F.col("goals_against")).alias("defense"),
         per(F.col("goals_for") - F.col("goals_against")).alias("margin"), F.col("goals_for").cast("double").alias("goals_for_total"),
     )
-    met = two_sided(games).filter("NOT postponed AND team_id <> opponent_id").groupBy("team_id", "opponent_id").agg(F.count(F.lit(1)).alias("n"))
+    met = pairs.filter("n > 0 AND team_id <> opponent_id").select("team_id", "opponent_id", "n")
     schedule = met.join(base.select(F.col("team_id").alias("opponent_id"), "win_pct"), "opponent_id").groupBy("team_id").agg((F.sum(F.col("n") * F.col("win_pct")) / F.sum("n")).alias("sos"))
     axes = ["win_pct", "goals_for", "defense", "margin", "goals_for_total", "sos"]
     every = base.join(schedule, "team_id", "left").withColumn("sos", F.coalesce("sos", F.lit(0.5)))
     long = every.select("team_id", F.inline(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("value")) for a in axes])))
     # Sums of shares differ in their last bits with the order of rows; ties are taken at nine places.
     rank_by = F.round(F.when(F.col("axis") == "defense", -F.col("value")).otherwise(F.col("value")), 9) + F.lit(0.0)
-    return long.withColumn("percentile", mid_rank(rank_by, ["axis"]))
+    return with_mid_rank(long, ["axis"], rank_by, "percentile")
 
 
 def closing_runs(scores: DataFrame, least: int = 3) -> DataFrame:

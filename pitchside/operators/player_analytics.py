@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchside.operators.core import first_per, half_up, mid_rank, ranked
+from pitchside.operators.core import first_per, half_up, ranked, with_mid_rank
 
 COUNTS = ["goals", "assists", "ground_balls", "caused_turnovers", "saves", "fo_won", "fo_taken"]
 
@@ -66,7 +66,7 @@ def concentration(stats: DataFrame, share: float = 0.6, least: int = 10) -> Data
 
 
 def percentiles(frame: DataFrame, key: str, value: str) -> DataFrame:
-    return frame.withColumn("pct", mid_rank(F.col(value), [key]))
+    return with_mid_rank(frame, [key], F.col(value), "pct")
 
 
 #: What two players are compared by, in order: five sums, points, and three rates by game.

@@ -40,6 +40,12 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def game_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """game_date and season of every contest, for what needs no more: two tables and four columns are read."""
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(F.to_date("o_orderdate").alias("game_date"), F.year("o_orderdate").cast("long").alias("season"))
+
+
 def player_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order of a customer: game_id, player_id, team_id, season and seven counts."""
     li, o, c = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer"))
@@ -78,6 +84,8 @@ games AS (
        JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
 )"""
 
+DAYS_SQL = "games AS (SELECT CAST(o_orderdate AS DATE) AS game_date, CAST(year(o_orderdate) AS BIGINT) AS season FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
 TEAMS_SQL = """
 teams AS (
   SELECT CAST(n_nationkey AS BIGINT) AS team_id, n_name AS name, CAST(n_regionkey AS BIGINT) AS division FROM nation

@@ -8,7 +8,7 @@ from pitchside.functions import text as T
 from pitchside.operators import player_analytics as P
 from pitchside.operators import quality_checks as Q
 from pitchside.operators import team_analytics as A
-from pitchside.operators.core import mid_rank, two_sided
+from pitchside.operators.core import two_sided, with_mid_rank
 from pitchside.plans import bindings as B
 
 TEAM_A, TEAM_B, PLAYER_A, PLAYER_B = 3, 7, 1, 2
@@ -84,14 +84,14 @@ SUITE = {
         f"""{WITH_STATS}, best AS (SELECT player_id, CAST(sum(goals) AS BIGINT) AS total FROM stats GROUP BY player_id ORDER BY total DESC, player_id LIMIT 10)
         SELECT player_id, total, string_agg(CAST(goals AS VARCHAR), ',' ORDER BY game_date, game_id) AS series FROM stats JOIN best USING (player_id) GROUP BY player_id, total""",
     ),
-    "a15_calendar": (lambda s, d: A.calendar(B.games(s, d)), f"{WITH_GAMES} SELECT game_date, count(*) AS games FROM games GROUP BY game_date"),
+    "a15_calendar": (lambda s, d: A.calendar(B.game_days(s, d)), f"WITH {B.DAYS_SQL} SELECT game_date, count(*) AS games FROM games GROUP BY game_date"),
     "w12_calendar_grid": (
-        lambda s, d: A.calendar_grid(B.games(s, d)),
-        f"""{WITH_GAMES}, c AS (SELECT game_date, count(*) AS games FROM games GROUP BY game_date),
+        lambda s, d: A.calendar_grid(B.game_days(s, d)),
+        f"""WITH {B.DAYS_SQL}, c AS (SELECT game_date, count(*) AS games FROM games GROUP BY game_date),
         grid AS (SELECT CAST(unnest(generate_series(date_trunc('week', min(game_date))::TIMESTAMP, date_trunc('week', max(game_date))::TIMESTAMP + INTERVAL 6 DAY, INTERVAL 1 DAY)) AS DATE) AS game_date FROM c)
         SELECT game_date, coalesce(games, 0) AS games, CASE WHEN coalesce(games, 0) = 0 THEN 0 WHEN games <= 2 THEN 1 WHEN games <= 4 THEN 2 ELSE 3 END AS bin FROM grid LEFT JOIN c USING (game_date)""",
     ),
-    "a16_seasons": (lambda s, d: A.seasons(B.games(s, d)), f"{WITH_GAMES} SELECT season, count(*) AS games, season = max(season) OVER () AS newest FROM games GROUP BY season"),
+    "a16_seasons": (lambda s, d: A.seasons(B.game_days(s, d)), f"WITH {B.DAYS_SQL} SELECT season, count(*) AS games, season = max(season) OVER () AS newest FROM games GROUP BY season"),
     "a17_anomaly_groups": (
         lambda s, d: Q.grouped_anomalies(B.table(s, d, "events"), F.col("event_type"), F.col("props"), F.col("user_id").cast("string"), 20),
         "SELECT event_type AS reason, props AS line, count(*) AS n, max(CAST(user_id AS VARCHAR)) AS url FROM events GROUP BY 1, 2 ORDER BY n DESC, reason, line LIMIT 20",
@@ -139,7 +139,7 @@ SUITE = {
         f"{WITH_STATS} SELECT player_id, game_id, CAST(sum(CASE WHEN goals > 4 THEN 1 WHEN goals < 4 THEN -1 ELSE 0 END) OVER (PARTITION BY player_id ORDER BY game_date, game_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS momentum FROM stats",
     ),
     "w07_percentiles": (
-        lambda s, d: B.table(s, d, "customer").select("c_custkey", mid_rank(F.floor(F.col("c_acctbal") / 100), ["c_nationkey"]).alias("pct")),
+        lambda s, d: with_mid_rank(B.table(s, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), ["c_nationkey"], F.floor(F.col("c_acctbal") / 100), "pct").select("c_custkey", "pct"),
         """WITH x AS (SELECT c_custkey, c_nationkey, floor(c_acctbal / 100) AS v FROM customer), r AS (SELECT *, rank() OVER (PARTITION BY c_nationkey ORDER BY v) - 1 AS below, count(*) OVER (PARTITION BY c_nationkey, v) AS peers, count(*) OVER (PARTITION BY c_nationkey) AS n FROM x)
         SELECT c_custkey, CASE WHEN n <= 1 THEN 0.5::DOUBLE ELSE (below + below + peers) / 2.0::DOUBLE / n END AS pct FROM r""",
     ),

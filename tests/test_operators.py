@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pitchside.functions import parsers, text
 from pitchside.operators import coach_reports, merge, period_flow, player_analytics, team_analytics
-from pitchside.operators.core import mid_rank, two_sided
+from pitchside.operators.core import two_sided, with_mid_rank
 from pitchside.sources.tables import VersionedTable
 from pitchside.streaming.ingest import ingest_files
 
@@ -48,7 +48,7 @@ def test_streak_of_ties_and_full_length(spark):
 
 def test_mid_rank_ties_and_single(spark):
     s = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 3.0), ("b", 7.0), ("a", None)], "k string, v double")
-    got = sorted((r.k, r.v, r.p) for r in s.withColumn("p", mid_rank(F.col("v"), ["k"])).collect() if r.v is not None)
+    got = sorted((r.k, r.v, r.p) for r in with_mid_rank(s, ["k"], F.col("v"), "p").collect() if r.v is not None)
     assert got == [("a", 1.0, 1 / 3), ("a", 1.0, 1 / 3), ("a", 3.0, 2.5 / 3), ("b", 7.0, 0.5)]
 
 
