@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchside.operators.core import counted, safe_div, two_sided, with_mid_rank
@@ -77,3 +80,56 @@ def closing_runs(scores: DataFrame, least: int = 3) -> DataFrame:
     runs = ends.select("game_id", F.col("ends")[1]["period"].alias("period"), gain("home").alias("home"), gain("away").alias("away"))
     one_sided = runs.filter(((F.col("home") >= least) & (F.col("away") == 0)) | ((F.col("away") >= least) & (F.col("home") == 0)))
     return one_sided.select("game_id", "period", (F.col("home") > 0).alias("at_home"), F.greatest("home", "away").alias("goals"))
+
+
+EVENT = "game_id long, sequence int, period int, at_home boolean, scorer string, assist string, home_after int, away_after int"
+
+
+def scoring_events(periods: DataFrame, players: DataFrame) -> DataFrame:
+    """Goals one by one, made up from (game_id, period, at_home, goals) and (game_id, at_home, name, goals, assists).
+
+    Within a period the sides alternate, away first. Each goal goes to whoever of the side has most goals
+    left, its assist to whoever but the scorer has most assists left; of equal ones to who has more
+    goals in all, then by name. Goals beyond those of the players have no scorer. The choice of an assist depends on all before
+    it, so one contest (some dozens of rows) is one group.
+    """
+
+    lists = [rows.groupBy("game_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name)) for rows, columns, name in ((periods, ["period", "at_home", "goals"], "periods"), (players, ["at_home", "name", "goals", "assists"], "players"))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [row for game, of_periods, of_players in zip(batch["game_id"], batch["periods"], batch["players"]) for row in _events(game, of_periods, of_players if of_players is not None else [])]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in EVENT.split(", ")])
+
+    return lists[0].join(lists[1], "game_id", "left").select("game_id", "periods", "players").mapInPandas(run, EVENT)
+
+
+def _events(game: int, periods: list, players: list) -> Iterator[tuple]:
+    """The goals of one contest."""
+    left: dict = {False: {}, True: {}}
+    for p in sorted(players, key=lambda p: (-p["goals"], p["name"])):
+        left[bool(p["at_home"])][p["name"]] = [p["goals"], p["assists"]]
+
+    def take(side: bool, which: int, but: str | None = None) -> str | None:
+        best = max((n for n in left[side] if left[side][n][which] > 0 and n != but), key=lambda n: left[side][n][which], default=None)
+        if best is not None:
+            left[side][best][which] -= 1
+        return best
+
+    goals: dict = {}
+    for p in periods:
+        goals.setdefault(p["period"], {False: 0, True: 0})[bool(p["at_home"])] += p["goals"]
+    score, sequence = {False: 0, True: 0}, 0
+    for period in sorted(goals):
+        for nth in range(max(goals[period].values())):
+            for side in (False, True):
+                if nth < goals[period][side]:
+                    score[side] += 1
+                    scorer = take(side, 0)
+                    yield game, sequence, period, side, scorer, take(side, 1, scorer), score[True], score[False]
+                    sequence += 1
+
+
+def league_rows(rows: DataFrame, order: list[Column], league: int | None = None) -> DataFrame:
+    """Rows of one league, or of all, in an order."""
+    return (rows if league is None else rows.filter(F.col("league_id") == league)).orderBy(*order)

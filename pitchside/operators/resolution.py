@@ -1,4 +1,4 @@
-"""Entity resolution: names to teams, people to people, aliases (survey D2, D5, D7, D10-D13, D15, D17, D28, D31, J19, M6).
+"""Entity resolution: names to teams, people to people, aliases (survey D2, D5, D7, D10-D13, D15-D17, D28, D31, J19, M6).
 
 Comparisons by distance run within a team, whose roster is small, or against a dimension table. Plans are
 tables; nothing is changed until a plan is applied.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchside.functions.names import anomaly_token, bonus_key, bonus_similarity, fuzzy_key, partial_match, swapped, team_token
+from pitchside.functions.names import anomaly_token, best_similarity, bonus_key, bonus_similarity, fuzzy_key, partial_match, similarity_key, swapped, team_token
 from pitchside.functions.text import slug, split_names, squeeze, team_key
 from pitchside.operators.core import first_per, ranked
 
@@ -204,3 +204,24 @@ def fill_gaps(games: DataFrame, batch: DataFrame) -> DataFrame:
     turned = F.coalesce("reversed", F.lit(False))
     new = [F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("home_score", "away_score"), ("away_score", "home_score"))]
     return met.select(*key, "game_id", action.alias("action"), *new)
+
+
+def seed_aliases(mined: DataFrame, teams: DataFrame, aliases: DataFrame, least: float = 0.8) -> DataFrame:
+    """(alias, team_id) of mined candidates to be taken over: not rejected, sure enough, of a known team, new; of several the surest, then the smallest team."""
+    sure = mined.filter(F.col("rejected").isNull() & (F.col("confidence") >= least)).join(teams.select("team_id"), "team_id", "left_semi").join(aliases.select("alias"), "alias", "left_anti")
+    return first_per(sure, ["alias"], [F.desc("confidence"), F.col("team_id")]).select("alias", "team_id")
+
+
+def judge_unknown(names: DataFrame, teams: DataFrame) -> DataFrame:
+    """(name, n, team_id, score, verdict) of unknown names against the teams, a dimension table.
+
+    seed: the best similarity is .9 or more, or else just one team is within one edit (.9); review:
+    .6 or more; no match: less.
+    """
+    seen = names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).withColumn("_k", similarity_key(F.col("name")))
+    keyed = teams.select("team_id", similarity_key(F.col("name")).alias("_t"))
+    scored = seen.join(keyed, how="inner").select("name", "n", "team_id", F.round(best_similarity(F.col("_k"), F.col("_t")), 9).alias("score"), F.levenshtein("_k", "_t").alias("_edits"))
+    best = scored.groupBy("name", "n").agg(F.max_by(F.struct("team_id", "score"), F.struct("score", -F.col("team_id"))).alias("b"), F.sum(F.when(F.col("_edits") <= 1, 1).otherwise(0)).alias("_near"), F.min(F.when(F.col("_edits") <= 1, F.col("team_id"))).alias("_near_id"))
+    sure, near = F.col("b.score") >= 0.9, F.col("_near") == 1
+    verdict = F.when(sure | near, "seed").when(F.col("b.score") >= 0.6, "review").otherwise("no match")
+    return best.select("name", "n", F.when(~sure & near, F.col("_near_id")).otherwise(F.col("b.team_id")).alias("team_id"), F.when(~sure & near, 0.9).otherwise(F.col("b.score")).alias("score"), verdict.alias("verdict"))

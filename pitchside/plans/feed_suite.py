@@ -10,7 +10,7 @@ from pitchside.operators import feeds as D
 from pitchside.operators import merge as M
 from pitchside.operators import quality_checks as Q
 from pitchside.operators import resolution as R
-from pitchside.operators.league import standings
+from pitchside.operators.league import league_rows, scoring_events, standings
 from pitchside.plans import bindings as B
 from pitchside.plans.league_suite import PLAYED
 from pitchside.plans.suite import TOTALS, WITH_GAMES
@@ -231,6 +231,46 @@ SUITE = {
     ),
     "m05_insert_absent": (lambda s, d: M.insert_absent(_target(s, d), _batch(s, d).drop("at"), ["k"], [F.desc("size")]), f"WITH {BATCH} SELECT * FROM t UNION ALL SELECT * FROM b WHERE k NOT IN (SELECT k FROM t)"),
     "m07_replace_partition": (lambda s, d: M.replace_partition(_target(s, d), _batch(s, d).filter("at = 2 AND day < 10").drop("at"), ["day"]), f"WITH {BATCH} SELECT * FROM t WHERE day NOT IN (SELECT day FROM b WHERE day < 10) UNION ALL SELECT * FROM b WHERE day < 10"),
+    "m01_upsert": (lambda s, d: M.upsert(_target(s, d), _batch(s, d), ["k"], [F.desc("at")]), f"WITH {BATCH} SELECT k, CASE WHEN b.k IS NULL THEN t.size ELSE b.size END AS size, CASE WHEN b.k IS NULL THEN t.brand ELSE b.brand END AS brand, coalesce(b.day, t.day) AS day FROM t FULL JOIN b USING (k)"),
+    "m02_upsert_keeps": (lambda s, d: M.upsert(_target(s, d), _batch(s, d), ["k"], [F.desc("at")], {"brand": M.KEEP, "size": M.OLD}), f"WITH {BATCH} SELECT k, coalesce(t.size, b.size) AS size, coalesce(t.brand, b.brand) AS brand, coalesce(b.day, t.day) AS day FROM t FULL JOIN b USING (k)"),
+    "m03_upsert_if_given": (lambda s, d: M.upsert(_target(s, d), _batch(s, d), ["k"], [F.desc("at")], {"brand": M.REPLACE_IF_GIVEN}), f"WITH {BATCH} SELECT k, coalesce(b.size, t.size) AS size, coalesce(b.brand, t.brand) AS brand, coalesce(b.day, t.day) AS day FROM t FULL JOIN b USING (k)"),
+    "m04_upsert_longest": (
+        lambda s, d: M.upsert(_target(s, d), _batch(s, d).withColumn("brand", F.expr("CASE WHEN k % 6 = 0 THEN 'a longer brand' ELSE brand END")), ["k"], [F.desc("at")], {"brand": M.LONGEST}),
+        f"WITH {BATCH}, c AS (SELECT k, size, CASE WHEN k % 6 = 0 THEN 'a longer brand' ELSE brand END AS brand, day FROM b) SELECT k, coalesce(c.size, t.size) AS size, CASE WHEN length(c.brand) > length(t.brand) THEN c.brand ELSE coalesce(t.brand, c.brand) END AS brand, coalesce(c.day, t.day) AS day FROM t FULL JOIN c USING (k)",
+    ),
+    "d06_redirected_stats": (
+        lambda s, d: M.redirect(_stats(s, d), B.table(s, d, "part").filter("p_partkey % 2 = 0 AND p_partkey > 0").selectExpr("CAST(p_partkey AS BIGINT) AS old", "CAST(p_partkey - 1 AS BIGINT) AS new"), "id", ["game_id", "id"], []),
+        f"WITH {STATS} SELECT DISTINCT game_id, CASE WHEN id % 2 = 0 AND id > 0 THEN id - 1 ELSE id END AS id FROM stats",
+    ),
+    "d16_seeded_aliases": (
+        lambda s, d: R.seed_aliases(R.mine_aliases(_anomalies(s, d), _schedule(s, d), B.teams(s, d), _aliases(s, d), _people(s, d)).withColumn("rejected", F.expr("CASE WHEN rejected = 'too few posts' THEN NULL ELSE rejected END")), B.teams(s, d), _aliases(s, d), 0.5),
+        f"""WITH {SCHEDULE}, {ANOMALIES}, {PEOPLE}, v AS (SELECT post, alias, home_id, away_id FROM anomalies JOIN g USING (game_id)), l AS (SELECT post, alias, home_id AS team_id FROM v UNION ALL SELECT post, alias, away_id FROM v),
+        s AS (SELECT alias, team_id, count(DISTINCT post) AS posts FROM l GROUP BY 1, 2), n AS (SELECT alias, count(DISTINCT post) AS total FROM v GROUP BY 1), x AS (SELECT alias, team_id, posts, posts = total AS pure FROM s JOIN n USING (alias)),
+        y AS (SELECT *, CASE WHEN pure AND posts >= 3 THEN 3 WHEN pure AND posts >= 2 THEN 2 ELSE 1 END AS c, count(*) FILTER (pure) OVER (PARTITION BY alias) AS pures FROM x),
+        z AS (SELECT * FROM y WHERE alias NOT IN (SELECT lower(n_name) FROM nation) AND alias NOT IN (SELECT lower(name) FROM people) AND NOT regexp_matches(alias, '[0-9]') AND len(string_split(alias, ' ')) <= 3 AND NOT (pures > 1 AND pure) AND team_id IN (SELECT n_nationkey FROM nation))
+        SELECT alias, team_id FROM (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY c DESC, team_id) AS rn FROM z) WHERE rn = 1""",
+    ),
+    "d16_judged_names": (
+        lambda s, d: R.judge_unknown(B.table(s, d, "customer").selectExpr("CASE c_custkey % 3 WHEN 0 THEN concat('nation ', c_nationkey) WHEN 1 THEN concat('natio ', c_nationkey, c_nationkey) ELSE 'zz' END AS name"), B.teams(s, d).withColumn("name", F.regexp_replace("name", "_", " "))),
+        """WITH t AS (SELECT CAST(n_nationkey AS BIGINT) AS team_id, 'nation ' || n_nationkey AS t FROM nation), n AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'nation ' || c_nationkey WHEN 1 THEN 'natio ' || c_nationkey || c_nationkey ELSE 'zz' END AS name, count(*) AS n FROM customer GROUP BY 1),
+        s AS (SELECT *, levenshtein(name, t) AS e, CASE WHEN name = t THEN 1.0::DOUBLE ELSE round(greatest(1 - levenshtein(name, t)::DOUBLE / greatest(length(name), length(t)), len(list_intersect(string_split(name, ' '), string_split(t, ' ')))::DOUBLE / greatest(len(string_split(name, ' ')), len(string_split(t, ' '))), CASE WHEN contains(name, t) OR contains(t, name) THEN least(length(name), length(t))::DOUBLE / greatest(length(name), length(t)) ELSE 0 END), 9) END AS score FROM n, t),
+        r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, team_id) AS rn, count(*) FILTER (e <= 1) OVER (PARTITION BY name) AS near, min(team_id) FILTER (e <= 1) OVER (PARTITION BY name) AS near_id FROM s)
+        SELECT name, n, CASE WHEN score < 0.9 AND near = 1 THEN near_id ELSE team_id END AS team_id, CASE WHEN score < 0.9 AND near = 1 THEN 0.9 ELSE score END AS score, CASE WHEN score >= 0.9 OR near = 1 THEN 'seed' WHEN score >= 0.6 THEN 'review' ELSE 'no match' END AS verdict FROM r WHERE rn = 1""",
+    ),
+    "w11_scoring_events": (
+        lambda s, d: scoring_events(
+            B.table(s, d, "orders").selectExpr("CAST(o_orderkey AS BIGINT) AS game_id", "explode(array(named_struct('period', 1, 'at_home', true, 'goals', CAST(o_orderkey % 3 AS INT)), named_struct('period', 1, 'at_home', false, 'goals', CAST(o_orderkey % 4 AS INT)), named_struct('period', 2, 'at_home', true, 'goals', 1))) AS p").select("game_id", "p.*"),
+            B.table(s, d, "orders").selectExpr("CAST(o_orderkey AS BIGINT) AS game_id", "explode(array(named_struct('at_home', true, 'name', 'A', 'goals', 2, 'assists', 0), named_struct('at_home', true, 'name', 'B', 'goals', 1, 'assists', 9), named_struct('at_home', false, 'name', 'C', 'goals', 2, 'assists', 0))) AS p").select("game_id", "p.*"),
+        ),
+        """WITH s AS (SELECT o_orderkey AS k, 1 AS period, unnest(range(o_orderkey % 3)) AS nth, TRUE AS h FROM orders UNION ALL SELECT o_orderkey, 1, unnest(range(o_orderkey % 4)), FALSE FROM orders UNION ALL SELECT o_orderkey, 2, 0, TRUE FROM orders),
+        o AS (SELECT *, row_number() OVER w - 1 AS seq, count(*) FILTER (h) OVER w AS home, count(*) FILTER (NOT h) OVER w AS away FROM s WINDOW w AS (PARTITION BY k ORDER BY period, nth, h ROWS UNBOUNDED PRECEDING))
+        SELECT CAST(k AS BIGINT) AS game_id, CAST(seq AS INTEGER) AS sequence, CAST(period AS INTEGER) AS period, h AS at_home, CASE WHEN h THEN CASE home WHEN 1 THEN 'A' WHEN 2 THEN 'A' WHEN 3 THEN 'B' END WHEN away <= 2 THEN 'C' END AS scorer, CASE WHEN h AND home <= 2 THEN 'B' END AS assist,
+        CAST(home AS INTEGER) AS home_after, CAST(away AS INTEGER) AS away_after FROM o""",
+    ),
+    "l08_league_players": (
+        lambda s, d: league_rows(B.table(s, d, "customer").selectExpr("CAST(c_custkey AS BIGINT) AS id", "CAST(c_nationkey AS BIGINT) AS league_id", "c_acctbal AS points"), [F.desc("points"), F.col("id")], league=3),
+        "SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_nationkey AS BIGINT) AS league_id, c_acctbal AS points FROM customer WHERE c_nationkey = 3",
+    ),
     "d24_caps_and_zero_rows": (
         lambda s, d: Q.capped(B.table(s, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "CAST(l_quantity AS BIGINT) AS goals", "CAST(l_linenumber AS BIGINT) AS saves"), {"goals": 15, "saves": 3}),
         "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_quantity > 15 THEN 0 ELSE l_quantity END AS BIGINT) AS goals, CAST(CASE WHEN l_linenumber > 3 THEN 0 ELSE l_linenumber END AS BIGINT) AS saves FROM lineitem WHERE l_quantity <= 15 OR l_linenumber <= 3",

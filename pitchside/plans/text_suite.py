@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitchside.functions import names as N
-from pitchside.functions import parsers, posts
+from pitchside.functions import parsers, posts, tables
 from pitchside.functions import text as T
 from pitchside.plans import bindings as B
 
@@ -160,6 +160,26 @@ SUITE = {
         lambda s, d: _parts(s, d).withColumn("c", posts.face_off_cell(F.expr("CASE v % 3 WHEN 0 THEN concat(' ', m, ' / ', n, ' ') WHEN 1 THEN CAST(m AS STRING) ELSE 'x' END"))).select("k", "c.*"),
         f"WITH p AS ({PARTS}) SELECT k, CASE WHEN v % 3 = 2 THEN 0 ELSE m END AS won, CASE WHEN v % 3 = 0 THEN n ELSE 0 END AS taken FROM p",
     ),
+    "s17_header_aliases": (
+        lambda s, d: tables.known_columns(B.table(s, d, "part").selectExpr("p_name AS `Player`", "p_size AS ` GB `", "p_brand AS other", "p_partkey AS `FO  Won`", "p_type AS name")),
+        "SELECT p_name AS player_name, p_size AS ground_balls, p_partkey AS fo_won FROM part",
+    ),
+    "s19_pasted_players": (
+        lambda s, d: _lines(s, d, "concat_ws('\\t', '1', concat(n, ' - ', a), b, '5', m, '2', '9', '1', '4', '0')", "concat_ws('  ', m, concat(n, '-', a), b, '5', m, '2', '9', '1', '4', '0')", "concat_ws('  ', 'Rank', a, b, '5', m, '2', '9', '1', '4', '0')").select("k", F.inline(F.array_compact(F.array(tables.player_row(F.col("line")))))),
+        f"WITH p AS ({PARTS}) SELECT k, n AS jersey, a AS name, b AS team, 5::DOUBLE AS games, CAST(m AS DOUBLE) AS goals, 2::DOUBLE AS assists, 9::DOUBLE AS points, 1::DOUBLE AS penalties, 4::DOUBLE AS minutes FROM p WHERE v % 3 < 2",
+    ),
+    "s19_pasted_goalies": (
+        lambda s, d: _lines(s, d, "concat_ws('\\t', '1', concat(n, ' - ', a), b, '5', '60', m, '7.25')", "concat_ws('  ', m, a, b, '5', '60', m, '7.25')", "concat_ws('  ', '1', a)").select("k", F.inline(F.array_compact(F.array(tables.goalie_row(F.col("line")))))),
+        f"WITH p AS ({PARTS}) SELECT k, CASE WHEN v % 3 = 0 THEN n ELSE 0 END AS jersey, a AS name, b AS team, 5::DOUBLE AS games, 60::DOUBLE AS minutes, CAST(m AS DOUBLE) AS goals_allowed, 7.25::DOUBLE AS average FROM p WHERE v % 3 < 2",
+    ),
+    "s22_feed_entries": (
+        lambda s, d: _parts(s, d).select("k", F.inline(tables.feed_entries(F.expr("concat('<feed><title>x</title><entry><yt:videoId>v', k, '</yt:videoId><title>PBLA: June ', 1 + m, ', 2026 - ', a, '</title></entry><entry><yt:videoId>w</yt:videoId><title>PBLA: June 3, 2025</title></entry><entry><title>PBLA: May 3, 2026</title></entry></feed>')"), 2026))),
+        f"WITH p AS ({PARTS}) SELECT k, CAST(DATE '2026-06-01' + m AS VARCHAR) AS day, 'v' || k AS video, 'PBLA: June ' || (1 + m) || ', 2026 - ' || a AS title FROM p",
+    ),
+    "f19_school_keys": (
+        lambda s, d: _parts(s, d).select("k", F.explode(tables.school_keys(F.expr("CASE v % 3 WHEN 0 THEN concat('St. ', p_name, ' Senior High School (NJ)') WHEN 1 THEN concat('WC ', p_name, ' Prep Academy') ELSE p_name END"))).alias("key")),
+        f"WITH p AS ({PARTS}) SELECT k, unnest(CASE v % 3 WHEN 0 THEN ['st ' || p_name || ' senior high school', 'st ' || p_name, 'saint ' || p_name] WHEN 1 THEN ['wc ' || p_name || ' prep academy', 'wc ' || p_name, 'west chester ' || p_name] ELSE [p_name] END) AS key FROM p",
+    ),
     "f01_straight_text": (
         _over("concat(' “', a, '”  o’', b, ' ')", line=lambda c: T.squeeze(T.straight_quotes(c))),
         f"""WITH p AS ({PARTS}) SELECT k, '"' || a || '" o''' || b AS line FROM p""",
