@@ -119,9 +119,10 @@ LABEL_END = re.compile(rf"(?: (?:{_DOT}) |\.)([A-Za-z0-9-]+)(?!\w)", re.I)
 ENDING = re.compile(r"[A-Za-z]{2,}|xn--[A-Za-z0-9-]+", re.I)
 SPOKEN_WORD = re.compile(rf" ({_AT}|{_DOT}) | ?(@) ?", re.I)
 #: Bracketed or spoken signs, or a run of spelled digits.
-SPELLED_SIGNS = (
+SPELLED_SIGNS = re.compile(
     rf"[\[({{]\s?(?:at|arroba|arobase|ät|@|dot|punkt|point|punto|\.)\s?[\])}}]"
-    rf"|(?: (?:{_AT}) |@ ?)[a-z0-9.-]+ (?:{_DOT}) | (?:dot|punkt|punto) [a-z0-9_%+.-]+ (?:{_AT}) [a-z0-9-]+\.[a-z]|(?<!\w)(?:{'|'.join([*SPELLED, *REPEATS])})[ ,-]{{1,2}}(?:{_UNIT})[ ,-]{{1,2}}(?:{_UNIT})[ ,-]{{1,2}}(?:{_UNIT})(?!\w)"
+    rf"|(?: (?:{_AT}) |@ ?)[a-z0-9.-]+ (?:{_DOT}) | (?:dot|punkt|punto) [a-z0-9_%+.-]+ (?:{_AT}) [a-z0-9-]+\.[a-z]|(?<!\w)(?:{'|'.join([*SPELLED, *REPEATS])})[ ,-]{{1,2}}(?:{_UNIT})[ ,-]{{1,2}}(?:{_UNIT})[ ,-]{{1,2}}(?:{_UNIT})(?!\w)",
+    re.I,
 )
 
 
@@ -166,10 +167,14 @@ def plain_character(c: str) -> str:
 
 
 @cache
-def signs() -> re.Pattern:
-    """A text without a match has nothing to rewrite: no character that stands for another, no bracketed or spoken sign, no spelled digits."""
-    changed = "".join(c for c in map(chr, chain(range(128, 0xD800), range(0xE000, 0x20000))) if plain_character(c) != c)
-    return re.compile(rf"[{re.escape(changed)}]|{SPELLED_SIGNS}", re.I)
+def disguising() -> frozenset[str]:
+    """All characters that stand for another."""
+    return frozenset(c for c in map(chr, chain(range(128, 0xD800), range(0xE000, 0x20000))) if plain_character(c) != c)
+
+
+def may_hide(text: str) -> bool:
+    """A text for which this is false has nothing to rewrite: no character that stands for another, no bracketed or spoken sign, no spelled digits."""
+    return not (text.isascii() or disguising().isdisjoint(text)) or SPELLED_SIGNS.search(text) is not None
 
 
 def characters(tape: Tape) -> Tape:
@@ -265,7 +270,7 @@ def at_and_dot(tape: Tape) -> Tape:
 def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """Base spans and all spans, by kind and start."""
     base = {k: DETECT[k](text) for k in KINDS}
-    if not signs().search(text):
+    if not may_hide(text):
         return base, base
     tape = at_and_dot(spelled_digits(characters(Tape(text))))
     found = {}
