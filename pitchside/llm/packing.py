@@ -27,6 +27,7 @@ from pitchside.llm.cuttingstock import solve
 from pitchside.llm.tokens import END_ID, encoder
 
 LENGTH, UNIT = 4096, 16
+SLICE = 2_000_000  # bytes of text whose ids are in memory at once; a longer text is alone
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -36,7 +37,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        for batch in (s for b in batches for s in slices(b)):
+        for batch in (s for b in batches for s in slices(b, SLICE)):
             flat, at = enc.encode(batch.column(1))
             rows = []
             for i, key in enumerate(batch.column(0).to_pylist()):
