@@ -31,7 +31,7 @@ RUNS = re.compile("[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^a-zÀ-ÖØ-öø-ɏ0-9\t-\r ]+")
 
 
 class Encoder:
-    def __init__(self, path: str, remember: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, remember: int = 200_000, longest: int = 64):
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.remember, self.longest = self.tokenizer.model, remember, longest
         self.known: dict[str, bytes] = {}
