@@ -73,7 +73,7 @@ def _sheets(spark, d):
 
 
 def _roster(spark, d):
-    """Parts of even sizes as athletes named by their key in letters."""
+    """Parts as athletes named by their key in letters, the brand as team."""
     p = B.table(spark, d, "part").select("p_brand", F.col("p_partkey").cast("long").alias("k"))
     letters = F.translate(F.lpad(F.col("k").cast("string"), 7, "0"), "0123456789", "abcdefghij")
     return p.select(F.col("p_brand").alias("team_id"), F.col("k").alias("athlete_id"), F.col("k").alias("nth"), F.lit("Jonathan").alias("first"), F.concat(F.repeat(letters, 3), F.lit("z")).alias("last"))
