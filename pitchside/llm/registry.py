@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchside.llm import decontaminate, htmlcontent, linededup, lmscore, packing, pii, quality, simhash, substrings, warc
+from pitchside.llm import decontaminate, elkan, htmlcontent, linededup, lmscore, packing, pii, quality, simhash, substrings, warc
 from pitchside.llm.common import table
 from pitchside.llm.vocabulary import default_vocabulary
 
@@ -62,6 +62,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = elkan.clustered(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("centroid_sha256", F.sha2("centroid", 256)).drop("centroid")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -111,5 +116,30 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_re
 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
+def _rounds(n: int) -> str:
+    """The rounds of op12 after one another: `a` assigns every vector, `c` holds the centroids."""
+    nearest = "SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT r, c, list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(v, x)]) AS d FROM kept, c{}) GROUP BY r"
+    parts = []
+    for i in range(n):
+        parts.append(f"a{i} AS MATERIALIZED ({nearest.format(i)})")
+        parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c{i}.c, coalesce(m.x, c{i}.x) AS x FROM c{i} LEFT JOIN (
+    SELECT c, list(s ORDER BY pos) AS x FROM (
+      SELECT c, pos, CAST((sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS s
+      FROM (SELECT a.c, unnest(v) AS y, generate_subscripts(v, 1) AS pos FROM kept JOIN a{i} a USING (r)) GROUP BY c, pos) GROUP BY c) m ON m.c = c{i}.c)""")
+    return ",\n".join([*parts, f"last AS MATERIALIZED ({nearest.format(n)})"])
+
+
+OP12_SQL = f"""
+WITH whole AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len([1 for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64),
+kept AS MATERIALIZED (SELECT r, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM whole),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY key NULLS LAST, v) - 1 AS c, v AS x FROM (SELECT sha256('3:' || vec_id) AS key, v FROM kept) ORDER BY key NULLS LAST, v LIMIT 8),
+{_rounds(10)}
+SELECT vec_id, CAST(l.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY l.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(x, ',')) AS centroid_sha256
+FROM last l JOIN kept USING (r) JOIN c10 ON c10.c = l.c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op5_decontamination": OP5_SQL, "op7_substring_dedup": OP7_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op5_decontamination": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op12_centroid_clustering": OP12_SQL}
