@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchside.llm import decontaminate, elkan, htmlcontent, linededup, lmscore, packing, pii, quality, simhash, substrings, warc
+from pitchside.llm import decontaminate, elkan, htmlcontent, linededup, lmscore, mixing, packing, pii, quality, simhash, substrings, warc
 from pitchside.llm.common import table
 from pitchside.llm.vocabulary import default_vocabulary
 
@@ -67,6 +67,11 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("centroid_sha256", F.sha2("centroid", 256)).drop("centroid")
 
 
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.withColumn("taken", F.col("size") * F.col("copies")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
