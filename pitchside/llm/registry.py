@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchside.llm import decontaminate, elkan, htmlcontent, linededup, lmscore, mixing, packing, pii, quality, simhash, substrings, warc
+from pitchside.llm import alignment, decontaminate, elkan, htmlcontent, linededup, lmscore, mixing, packing, pii, quality, simhash, substrings, warc
 from pitchside.llm.common import table
 from pitchside.llm.vocabulary import default_vocabulary
 
@@ -62,6 +62,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), default_vocabulary("byte_bpe_50k.json"), default_vocabulary("piece_bpe_32k.model"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = elkan.clustered(table(spark, sf_dir, "embeddings"))
     return out.withColumn("centroid_sha256", F.sha2("centroid", 256)).drop("centroid")
