@@ -1,13 +1,17 @@
 """Sheets to opponents and names to rosters (survey D20, F18).
 
-Opponents are found by equi-joins on parts of tokens; names are compared within their team's roster.
+Opponents are found by equi-joins on parts of tokens, names of a roster by stages of equi-joins.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitchside.operators.near_names import candidates, within, within_own
+
 # Scores of equal tokens, of one that begins the other, and of one within the other; the least that is taken.
 EQUAL, BEGINS, WITHIN, LEAST = 100, 82, 64, 75
 
@@ -79,19 +83,38 @@ def match_roster(names: DataFrame, roster: DataFrame) -> DataFrame:
     edit and first names that share three letters and are within three edits or begin alike; edits: the
     fewest edits, at most three or a quarter of the name. The first way that fits counts, then the
     fewest edits, then the place on the roster. `roster` has team_id, athlete_id, nth, first and last.
+
+    Each way is an equi-join (the last two on pieces of names) that only sees names which no earlier one settled.
     """
     letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
     words = F.split(F.trim("name"), r"\s+")
     mine = names.select("team_id", "name").distinct().select(
-        "team_id", "name", letters(F.col("name")).alias("key"), letters(F.get(words, F.lit(0))).alias("f"), letters(F.array_join(F.slice(words, 2, 1000), "")).alias("l"), (F.size(words) >= 2).alias("two")
+        "team_id", "name", letters(F.col("name")).alias("key"), letters(F.get(words, F.lit(0))).alias("f"), letters(F.array_join(F.slice(words, 2, F.size(words)), "")).alias("l"), (F.size(words) >= 2).alias("two")
     )
     theirs = roster.select("team_id", "athlete_id", "nth", letters(F.concat("first", "last")).alias("full"), letters(F.col("first")).alias("af"), letters(F.col("last")).alias("al"))
-    both = mine.join(theirs, "team_id")  # a roster is small, and pairs do not grow with the table
-    edits, shorter = F.levenshtein("key", "full"), F.least(F.length("f"), F.length("af"))
-    alike = (F.levenshtein("f", "af") <= 3) | F.startswith("af", F.col("f").substr(F.lit(1), shorter - 1))
-    nickname = F.col("two") & (F.levenshtein("l", "al") <= 1) & (F.substring("f", 1, 3) == F.substring("af", 1, 3)) & alike
-    within = edits <= F.greatest(F.lit(3), F.floor(F.length("key") * 0.25).cast("int"))
-    way = F.when(F.col("key") == F.col("full"), 0).when(F.col("key") == F.col("al"), 1).when(nickname, 2).when(within, 3)
-    found = both.withColumn("w", way).filter("w IS NOT NULL").withColumn("d", F.when(F.col("w") == 3, edits).otherwise(0))
-    first = found.groupBy("team_id", "name").agg(F.min(F.struct("w", "d", "nth", "athlete_id")).alias("b"))
-    return first.select("team_id", "name", F.col("b.athlete_id").alias("athlete_id"), F.get(F.array(*map(F.lit, ["exact", "surname", "nickname", "edits"])), F.col("b.w")).alias("way"))
+
+    def exact(left: DataFrame) -> DataFrame:
+        return left.join(theirs.withColumn("key", F.col("full")), ["team_id", "key"]).withColumn("d", F.lit(0))
+
+    def surname(left: DataFrame) -> DataFrame:
+        return left.join(theirs.withColumn("key", F.col("al")), ["team_id", "key"]).withColumn("d", F.lit(0))
+
+    def nickname(left: DataFrame) -> DataFrame:
+        asked, listed = left.filter("two").withColumn("f3", F.substring("f", 1, 3)), theirs.withColumn("f3", F.substring("af", 1, 3))
+        met = candidates(listed.select("team_id", "f3", F.col("al").alias("text")), asked.select("team_id", "f3", F.col("l").alias("text")), ["team_id", "f3"], *within(1))
+        met = met.filter(F.levenshtein("x", "y") <= 1).select("team_id", "f3", F.col("x").alias("l"), F.col("y").alias("al"))
+        both = asked.join(met, ["team_id", "f3", "l"]).join(listed, ["team_id", "f3", "al"])
+        begin = F.col("f").substr(F.lit(1), F.least(F.length("f"), F.length("af")) - 1)
+        return both.filter((F.levenshtein("f", "af") <= 3) | F.startswith("af", begin)).withColumn("d", F.lit(0))
+
+    def edits(left: DataFrame) -> DataFrame:
+        met = candidates(theirs.select("team_id", F.col("full").alias("text")), left.select("team_id", F.col("key").alias("text")), ["team_id"], *within_own(3, 0.25))
+        met = met.withColumn("d", F.levenshtein("x", "y")).filter(F.col("d") <= F.greatest(F.lit(3), F.floor(F.length("x") * 0.25).cast("int")))
+        return left.join(met.select("team_id", F.col("x").alias("key"), F.col("y").alias("full"), "d"), ["team_id", "key"]).join(theirs, ["team_id", "full"])
+
+    done, left = [], mine
+    for way in (exact, surname, nickname, edits):
+        best = way(left).groupBy("team_id", "name").agg(F.min(F.struct("d", "nth", "athlete_id")).alias("b")).select("team_id", "name", F.col("b.athlete_id").alias("athlete_id"), F.lit(way.__name__).alias("way"))
+        done.append(best)
+        left = left.join(best.select("team_id", "name"), ["team_id", "name"], "left_anti")
+    return reduce(DataFrame.unionByName, done)

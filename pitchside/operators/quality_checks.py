@@ -6,22 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchside.functions.text import similarity
+from pitchside.operators.near_names import candidates, within_share
 
 
 def fuzzy_pairs(people: DataFrame, key: str, name: str, group: str, least: float = 0.85, block: int = 1) -> DataFrame:
-    """Similar names in different groups: an equi-join on the first letters and the length, then edit distance.
+    """Similar names in different groups that begin alike, found by shared pieces of names, then edit distance.
 
-    Each side's rows meet every length that a pair within the similarity can have, so a block is one
-    beginning and one length; people of one name are one row of the join until the last step. The smaller id comes first.
+    People of one name are one row of the join until the last step. The smaller id comes first.
     """
     n = F.lower(F.trim(name))
     base = people.select(F.col(key).alias("id"), n.alias("name"), F.col(group).alias("grp")).filter((F.length("name") >= 4) & (F.col("name").contains(" ") | (F.length("name") >= 6)))
-    names = base.select("name").distinct().select("name", F.substring("name", 1, block).alias("start"), F.length("name").alias("len"))
-    reach = F.floor(F.col("len") / least + 1e-9).cast("int")  # the longest name that is similar enough
-    short = names.select(F.col("name").alias("x"), "start", F.explode(F.sequence("len", reach)).alias("len"))
-    long = names.select(F.col("name").alias("y"), "start", "len")
-    similar = short.join(long, ["start", "len"]).filter((F.length("x") < F.length("y")) | (F.col("x") <= F.col("y")))
-    similar = similar.withColumn("sim", similarity(F.col("x"), F.col("y"))).filter(F.col("sim") >= least).select("x", "y", "sim")
+    names = base.select(F.col("name").alias("text")).distinct().withColumn("start", F.substring("text", 1, block))
+    met = candidates(names, names, ["start"], *within_share(least)).filter((F.length("x") < F.length("y")) | (F.col("x") <= F.col("y")))
+    similar = met.withColumn("sim", similarity(F.col("x"), F.col("y"))).filter(F.col("sim") >= least).select("x", "y", "sim")
     a, b = (base.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "name", "grp")]) for s in ("a", "b"))
     found = similar.join(a, F.col("x") == F.col("a_name")).join(b, F.col("y") == F.col("b_name")).filter((F.col("a_grp") != F.col("b_grp")) & ((F.col("x") != F.col("y")) | (F.col("a_id") < F.col("b_id"))))
     return found.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"), "sim")

@@ -1,6 +1,6 @@
 """Entity resolution: names to teams, people to people, aliases (survey D2, D5, D7, D10-D13, D15-D17, D28, D31, J19, M6).
 
-Comparisons by distance run within a team, whose roster is small, or against a dimension table. Plans are
+Comparisons by distance run on what meets by pieces of names, or against a dimension table. Plans are
 tables; nothing is changed until a plan is applied.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pitchside.functions.names import anomaly_token, best_similarity, bonus_key, bonus_similarity, fuzzy_key, partial_match, similarity_key, swapped, team_token
 from pitchside.functions.text import slug, split_names, squeeze, team_key
 from pitchside.operators.core import first_per, ranked
+from pitchside.operators.near_names import candidates, one_step_forms, within
 
 
 def resolve_or_create(names: DataFrame, teams: DataFrame, aliases: DataFrame, strict: bool = False) -> DataFrame:
@@ -54,19 +55,18 @@ def fuzzy_candidates(people: DataFrame, stats: DataFrame, most_edits: int = 2, l
     word counts of five or more; or two words, each the same but for a swap of neighbours or one edit,
     at least one by a swap. medium: equal last initials and first names of four or more within two edits.
 
-    The join is by team: pairs grow with the square of a roster, not of the table.
+    Each rule has an equi-join that finds its pairs of distinct keys, so pairs grow with what is alike and not
+    with the square of a roster; people of one key are one row until the last step.
     """
     keyed = people.select("id", "team_id", "name", fuzzy_key(F.col("name")).alias("key")).filter("key <> ''")
     counts = stats.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    keyed = keyed.join(counts, "id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "w": F.split("key", " ")})
-    a, b = (keyed.select("team_id", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "name", "key", "n", "w")]) for s in ("left", "right"))
-    # names whose lengths differ by more than the edits can only meet by their first names, so the last initial must agree
-    bound = (F.abs(F.length("left_key") - F.length("right_key")) <= most_edits) | (F.substring(F.element_at("left_w", -1), 1, 1) == F.substring(F.element_at("right_w", -1), 1, 1))
-    pairs = a.join(b, "team_id").filter((F.col("left_id") < F.col("right_id")) & (F.col("left_key") != F.col("right_key")) & bound)
-    x, y = F.col("left_w"), F.col("right_w")
-    edits = F.levenshtein("left_key", "right_key")
+    keyed = keyed.join(counts, "id", "left").select("id", "team_id", "key", F.coalesce("n", F.lit(0)).alias("n"))
+    keys = keyed.select("team_id", "key").distinct().withColumn("w", F.split("key", " "))
+    met = _alike_keys(keys, most_edits, least_length)
+    x, y = F.split("x", " "), F.split("y", " ")
+    edits = F.levenshtein("x", "y")
     short = F.exists(F.zip_with(x, y, lambda p, q: (p != q) & (F.least(F.length(p), F.length(q)) < least_length)), lambda v: v)
-    near = (edits <= most_edits) & (F.least(F.length("left_key"), F.length("right_key")) >= least_length) & ((F.size(x) != F.size(y)) | ~short)
+    near = (edits <= most_edits) & (F.least(F.length("x"), F.length("y")) >= least_length) & ((F.size(x) != F.size(y)) | ~short)
     first = lambda w: F.element_at(w, 1)
     medium = (F.size(x) >= 2) & (F.size(y) >= 2) & (F.substring(F.element_at(x, -1), 1, 1) == F.substring(F.element_at(y, -1), 1, 1))
     medium = medium & (F.least(F.length(first(x)), F.length(first(y))) >= 4) & (F.levenshtein(first(x), first(y)) <= 2)
@@ -78,8 +78,27 @@ def fuzzy_candidates(people: DataFrame, stats: DataFrame, most_edits: int = 2, l
 
     (ok1, swap1), (ok2, swap2) = close(1, 4), close(2, 3)
     crossed = (F.size(x) == 2) & (F.size(y) == 2) & ok1 & ok2 & (swap1 | swap2)
-    confidence = F.when(near | crossed, "high").when(medium, "medium")
-    return pairs.select("team_id", "left_id", "right_id", edits.alias("edits"), confidence.alias("confidence"), F.col("left_n").alias("left_stats"), F.col("right_n").alias("right_stats")).filter("confidence IS NOT NULL")
+    judged = met.select("team_id", "x", "y", edits.alias("edits"), F.when(near | crossed, "high").when(medium, "medium").alias("confidence")).filter("confidence IS NOT NULL")
+    a, b = (keyed.select("team_id", F.col("key").alias(k), F.col("id").alias(f"{s}_id"), F.col("n").alias(f"{s}_stats")) for k, s in (("x", "a"), ("y", "b")))
+    both = judged.join(a, ["team_id", "x"]).join(b, ["team_id", "y"])
+    turned = F.col("a_id") > F.col("b_id")
+    side = lambda of, other, name: F.when(turned, F.col(other)).otherwise(F.col(of)).alias(name)
+    ends = [side("a_id", "b_id", "left_id"), side("b_id", "a_id", "right_id"), "edits", "confidence", side("a_stats", "b_stats", "left_stats"), side("b_stats", "a_stats", "right_stats")]
+    return both.select("team_id", *ends)
+
+
+def _alike_keys(keys: DataFrame, most_edits: int, least_length: int) -> DataFrame:
+    """Distinct (team_id, x, y) with x < y: keys (team_id, key, w) that one of the rules of fuzzy_candidates may call alike."""
+    text = keys.filter(F.length("key") >= least_length).select("team_id", F.col("key").alias("text"))
+    near = candidates(text, text, ["team_id"], *within(most_edits)).filter("x < y")
+    forms = keys.filter(F.size("w") == 2).select("team_id", "key", F.explode(one_step_forms(F.element_at("w", 1))).alias("f"), "w").select("team_id", "key", "f", F.explode(one_step_forms(F.element_at("w", 2))).alias("g"))
+    a, b = (forms.select("team_id", F.xxhash64("f", "g").alias("h"), F.col("key").alias(c)) for c in ("x", "y"))
+    crossed = a.join(b, ["team_id", "h"]).filter("x < y").select("team_id", "x", "y")
+    named = keys.filter((F.size("w") >= 2) & (F.length(F.element_at("w", 1)) >= 4)).select("team_id", "key", F.element_at("w", 1).alias("text"), F.substring(F.element_at("w", -1), 1, 1).alias("initial"))
+    firsts = candidates(named, named, ["team_id", "initial"], *within(2)).filter((F.levenshtein("x", "y") <= 2) & (F.col("x") <= F.col("y")))
+    a, b = (named.select("team_id", "initial", F.col("text").alias(t), F.col("key").alias(c)) for t, c in (("x", "p"), ("y", "q")))
+    medium = firsts.join(a, ["team_id", "initial", "x"]).join(b, ["team_id", "initial", "y"]).filter("p <> q").select("team_id", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
+    return near.unionByName(crossed).unionByName(medium).distinct()
 
 
 def cross_team_plan(people: DataFrame, stats: DataFrame) -> DataFrame:
