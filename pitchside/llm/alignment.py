@@ -7,14 +7,14 @@ array with an entry per byte (each token's number repeated over its bytes), so e
 a group's tokens are those from one cut to the next, and a token of A is linked to the sequence of B's tokens
 from that of its first byte to that of its last.
 
+Neither tokenizer merges across the place between a character that is no white space and a blank. A blank and what
+follows it up to the next such place is a unit: tokens of both end where it ends. So texts are encoded, and groups and links
+built, once for each distinct unit of a run of texts, and a text has those of its units one after another.
+
 Counts of id pairs are bounded by both vocabularies. Pairs that hold at least one in `most_broadcast` of
 all links number at most that many; they are broadcast. All others are joined by a shuffle, in
 which no pair can be common. Each row's sums of both meet again by row number.
 
-Both tokenizers treat a blank and what follows it up to the next blank as a unit (a merge never spans the
-place between another character and a blank), so texts are encoded by distinct pieces between single blanks, as far as
-no piece is empty or ends in white space; all other texts are encoded whole.
-
 Defined cases: null and empty texts, and those whose tokens of A or B don't give back the bytes of the
 blank and the text (one that holds U+2581, say) have no tokens: all counts zero, no groups. Repeated
 rows are counted each. A null doc_id is kept. Very long texts are encoded alone. An empty table gives an empty
@@ -23,8 +23,11 @@ result. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
@@ -36,159 +39,200 @@ from pyspark.sql import functions as F
 from pitchside.llm.common import shared_folder, slices, written
 from pitchside.llm.tokens import ALPHABET
 
-SLICE = 2_000_000  # bytes of text that are encoded at once; a longer text is alone
+SLICE = 4_000_000  # bytes of text that are encoded at once; a longer text is alone
+LONG = 1000  # characters without a blank that go to the tokenizer that takes no longer for long ones
 MOST_BROADCAST = 400_000  # pairs, some 20 MB of a look-up table
+#: The public pattern by which byte-level BPE cuts texts before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ENDS_IN_SPACE = re.compile(r"\s\Z")
+AFTER_SIGN = re.compile(r"(?<=\S) ")
 
 
 class Both:
-    """Both tokenizers. What pieces between blanks give is remembered, a bounded number of them."""
+    """Both tokenizers, and the bytes of each of their ids."""
 
-    def __init__(self, path_a: str, path_b: str, remember: int = 200_000, longest: int = 64):
+    def __init__(self, path_a: str, path_b: str):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.a.encode_special_tokens = True
+        self.path_a, self.b = path_a, sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte = {chr(c): b for b, c in ALPHABET.items()} | {chr(b): b for b in range(256) if b not in ALPHABET}
-        entries = self.a.get_vocab(with_added_tokens=False)
-        self.bytes_a = {i: bytes(byte[c] for c in entry) for entry, i in entries.items()}
-        self.bytes_b = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))}
-        self.remember, self.longest = remember, longest
-        self.known: dict[str, tuple | None] = {}
-
-    def whole(self, texts: list[str]) -> list[tuple | None]:
-        """(ids of A, byte lengths, ids of B, byte lengths) of the blank and each text, None where bytes differ."""
-        out = []
-        for text, ids_a, ids_b in zip(texts, self.a.encode_batch([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1)):
-            want, ids_a = (" " + text).encode(), ids_a.ids
-            a, b = [self.bytes_a.get(i, b"") for i in ids_a], [self.bytes_b[i] for i in ids_b]
-            same = b"".join(a) == want and b"".join(b) == want
-            out.append(tuple(np.array(x, dtype=np.int32) for x in (ids_a, list(map(len, a)), ids_b, list(map(len, b)))) if same else None)
-        return out
-
-    def pieces(self, pieces: list[str]) -> list[tuple | None]:
-        fresh = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(fresh) > self.remember:
-            self.known.clear()
-            fresh = pieces
-        new = {}
-        for i in range(0, len(fresh), 10_000):
-            new.update(zip(fresh[i : i + 10_000], self.whole(fresh[i : i + 10_000])))
-        out = [new[p] if p in new else self.known[p] for p in pieces]
-        self.known.update((p, x) for p, x in new.items() if len(p) <= self.longest)
-        return out
-
-    def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For A's ids, A's byte ends, B's ids and B's byte ends: the flat values and where each text's start (one more entry: the end)."""
+        with open(path_a) as f:
+            vocabulary = json.load(f)
+        special = {t["content"] for t in vocabulary["added_tokens"]}
+        ranks = {bytes(byte[c] for c in entry): i for entry, i in vocabulary["model"]["vocab"].items() if entry not in special}
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        of_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        of_a = [b""] * (max(ranks.values()) + 1)
+        for x, i in ranks.items():
+            of_a[i] = x
+        self.bytes = of_a, of_b
+        self.sizes = tuple(np.array([len(x) for x in of], dtype=np.int32) for of in self.bytes)
+
+    @cached_property
+    def slow_a(self):
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path_a)
+        found.encode_special_tokens = True
+        return found
+
+    def _a(self, unit: str) -> list[int]:
+        return self.a.encode_ordinary(" " + unit) if len(unit) <= LONG else self.slow_a.encode(" " + unit, add_special_tokens=False).ids
+
+    def encode(self, units: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+        """For A and B: flat ids, byte ends within the blank and each unit, and where each unit's start; and whether both give back its bytes."""
+        want = [(" " + u).encode() for u in units]
+        out, good = [], np.ones(len(units), dtype=bool)
+        for ids, of, size in zip((list(map(self._a, units)), self.b.encode(units, num_threads=1)), self.bytes, self.sizes):
+            starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))])
+            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=starts[-1])
+            total = np.concatenate([[0], np.cumsum(size[flat], dtype=np.int64)])
+            ends = (total[1:] - np.repeat(total[starts[:-1]], np.diff(starts))).astype(np.int32)
+            good &= np.diff(total[starts]) == np.fromiter(map(len, want), dtype=np.int64, count=len(want))
+            if b"".join(map(of.__getitem__, flat.tolist())) != b"".join(want):  # some unit of these isn't given back
+                good &= np.array([b"".join(of[i] for i in x) == w for x, w in zip(ids, want)], dtype=bool)
+            out.append((flat, ends, starts))
+        return out, good
+
+    def units(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct units of all texts, each text's units in order, and where each text's start. An empty text has none."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         split = pc.split_pattern(texts, " ")
         found = split.flatten().dictionary_encode()
-        index, distinct = found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
+        index, distinct = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_pylist()
         count = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-        owner = np.repeat(np.arange(len(count)), count)
-        last = np.cumsum(count) - 1  # a text may end in white space, but for a blank
-        plain = np.array([p != "" and not ENDS_IN_SPACE.search(p) for p in distinct], dtype=bool)
-        odd = ~plain[index]
-        odd[last] &= np.array([distinct[i] == "" for i in index[last]], dtype=bool)
-        whole = np.zeros(len(count), dtype=bool)
-        whole[owner[odd]] = True
-        used = np.zeros(len(distinct), dtype=bool)
-        used[index[~whole[owner]]] = True
-        of_piece: list[tuple | None] = [None] * len(distinct)
-        for i, x in zip(np.flatnonzero(used), self.pieces([distinct[i] for i in np.flatnonzero(used)])):
-            of_piece[i] = x
-        failed = used & np.array([x is None for x in of_piece], dtype=bool)
-        whole[owner[failed[index]]] = True
-        empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        rare = np.flatnonzero(whole & ~empty)
-        units: list[tuple | None] = [*of_piece]
-        for i in rare:  # one at a time: such a text may be long
-            units += self.whole([texts[int(i)].as_py()])
-        nothing = (np.zeros(0, np.int32),) * 4
-        units = [x or nothing for x in units]
-        # the units of each text, in order: its pieces, or itself
-        keep = ~whole[owner]
-        at = np.concatenate([owner[keep], rare])
-        unit = np.concatenate([index[keep], len(of_piece) + np.arange(len(rare))]).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        at, unit = at[order], unit[order]
-        out = []
-        for k in (0, 2):
-            length = np.array([len(u[k]) for u in units], dtype=np.int64)
-            first = np.cumsum(length) - length
-            each = length[unit]
-            end = np.concatenate([[0], np.cumsum(each)])
-            take = np.repeat(first[unit] - end[:-1], each) + np.arange(end[-1])
-            ids, size = (np.concatenate([u[j] for u in units] or [nothing[0]])[take] for j in (k, k + 1))
-            starts = end[np.searchsorted(at, np.arange(len(count) + 1))]
-            total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-            ends = total[1:] - np.repeat(total[starts[:-1]], np.diff(starts))
-            out += [(ids, starts), (ends.astype(np.int32), starts)]
-        return out
+        count[pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)] = 0  # one empty piece, dropped below
+        owner = np.repeat(np.arange(len(count)), np.maximum(count, 1))
+        # a piece that is empty or ends in white space doesn't end where the next blank begins: such texts are cut by a pattern
+        odd = np.array([p == "" or ENDS_IN_SPACE.search(p) is not None for p in distinct], dtype=bool)[index] if len(index) else np.zeros(0, dtype=bool)
+        cut = np.zeros(len(count), dtype=bool)
+        cut[owner[odd]] = True
+        number = {p: i for i, p in enumerate(distinct)}
+        own = np.split(index, np.cumsum(np.maximum(count, 1))[:-1]) if len(count) else []
+        for i in np.flatnonzero(cut):
+            pieces = AFTER_SIGN.split(texts[int(i)].as_py()) if count[i] else []
+            own[i] = np.array([number.setdefault(p, len(number)) for p in pieces], dtype=np.int64)
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in own], dtype=np.int64)]).astype(np.int64)
+        return list(number), np.concatenate([*own, np.zeros(0, dtype=np.int64)]), starts
 
 
 _BOTH: dict[tuple[str, str], Both] = {}
 
 
 def both(path_a: str, path_b: str) -> Both:
-    """One per Python worker, which keeps what it has learnt from task to task."""
+    """One per Python worker."""
     if (path_a, path_b) not in _BOTH:
         _BOTH[path_a, path_b] = Both(path_a, path_b)
     return _BOTH[path_a, path_b]
 
 
 def tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(doc_id, a, a_ends, b, b_ends): ids and byte ends of both tokenizers."""
-    names = ["doc_id", "a", "a_ends", "b", "b_ends"]
+    """One row for each run of texts (SLICE bytes): `units`, array of (a, a_ends, b, b_ends), ids and byte ends of each distinct unit, and `texts`, array of (doc_id, units)."""
+    schema = "units array<struct<a: array<int>, a_ends: array<int>, b: array<int>, b_ends: array<int>>>, texts array<struct<doc_id: long, units: array<int>>>"
+
+    def listed(starts: np.ndarray, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = both(path_a, path_b)
         for batch in (s for b in batches for s in slices(b, SLICE)):
-            lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, pa.int32())) for values, starts in enc.encode(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=names)
+            units, of_text, starts = enc.units(batch.column(1))
+            sides, good = enc.encode(units)
+            fine = np.add.reduceat(np.append(~good[of_text], False), np.minimum(starts[:-1], len(of_text))) == 0 if len(batch) else np.zeros(0, dtype=bool)
+            fine |= np.diff(starts) == 0
+            keep = np.repeat(fine, np.diff(starts))  # a text with a unit that isn't given back has no tokens
+            starts = np.concatenate([[0], np.cumsum(np.where(fine, np.diff(starts), 0))])
+            fields = [listed(at, pa.array(x, pa.int32())) for ids, ends, at in sides for x in (ids, ends)]
+            unit = pa.StructArray.from_arrays(fields, ["a", "a_ends", "b", "b_ends"])
+            text = pa.StructArray.from_arrays([batch.column(0), listed(starts, pa.array(of_text[keep], pa.int32()))], ["doc_id", "units"])
+            yield pa.RecordBatch.from_arrays([listed([0, len(units)], unit), listed([0, len(batch)], text)], names=["units", "texts"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def holders(ends: str) -> Column:
+def holders(ends: Column) -> Column:
     """For each byte the number of the token that holds it."""
-    return F.flatten(F.transform(F.col(ends), lambda e, i: F.array_repeat(i, e - F.when(i == 0, 0).otherwise(F.get(F.col(ends), i - 1)))))
+    return F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i, e - _before(ends, i, 0))))
+
+
+def _before(values: Column, i: Column, none: int) -> Column:
+    return F.when(i == 0, none).otherwise(F.get(values, i - 1))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _known(u: Column) -> Column:
+    """What groups and links of a unit (a, a_ends, b, b_ends) are read from."""
+    return F.struct(F.array_intersect(u.a_ends, u.b_ends).alias("cuts"), holders(u.a_ends).alias("in_a"), holders(u.b_ends).alias("in_b"))
+
+
+def _links(u: Column, in_b: Column) -> Column:
+    def of_token(end: Column, i: Column) -> Column:
+        high, low, last = F.shiftleft(F.get(u.a, i).cast("long"), 32), F.get(in_b, _before(u.a_ends, i, 0)), F.get(in_b, end - 1)
+        return F.when(low == last, F.array(high + F.get(u.b, low))).otherwise(F.transform(F.sequence(low, last), lambda j: high + F.get(u.b, j)))
+
+    return F.flatten(F.transform(u.a_ends, of_token))
+
+
+def _per_group(k: Column, body: Callable[[Callable, Callable], Column]) -> Column:
+    """body(first and last token of A, those of B) for each group: the holders of its first and last bytes."""
+
+    def one(cut: Column, i: Column) -> Column:
+        ends = lambda holder: (F.get(holder, _before(k.cuts, i, 0)), F.get(holder, cut - 1))
+        return body(ends(k.in_a), ends(k.in_b))
+
+    return F.transform(k.cuts, one)
+
+
+def aligned(u: Column) -> Column:
+    """(groups, links) of a unit (a, a_ends, b, b_ends): arrays of (a, b), arrays of ids, and of A's id x 2^32 + B's id."""
+    run = lambda ids, ends: F.transform(F.sequence(*ends), lambda j: F.get(ids, j))
+    groups = lambda k: _per_group(k, lambda a, b: F.struct(run(u.a, a).alias("a"), run(u.b, b).alias("b")))
+    return _let(_known(u), lambda k: F.struct(groups(k).alias("groups"), _links(u, k.in_b).alias("links")))
+
+
+def unit_row(u: Column) -> Column:
+    """(n_a, n_b, n_groups, line, links) of a unit; line: its groups as text."""
 
+    def run(ids: Column, ends: tuple[Column, Column]) -> Column:
+        first, last = ends
+        text = lambda j: F.get(ids, j).cast("string")
+        return F.when(first == last, text(last)).otherwise(F.array_join(F.transform(F.sequence(first, last), text), ","))
 
-def aligned(found: DataFrame) -> DataFrame:
-    """Adds `groups`, array of (a, b) arrays of ids, and `links`, array of A's id x 2^32 + B's id."""
-    # each row's arrays are bound once, as the lambda's own value, so that no element computes them again
-    bound = F.array(F.struct("a", "b", "a_ends", "b_ends", F.array_intersect("a_ends", "b_ends").alias("cuts"), holders("a_ends").alias("in_a"), holders("b_ends").alias("in_b")))
+    lines = lambda k: F.array_join(_per_group(k, lambda a, b: F.concat(run(u.a, a), F.lit("|"), run(u.b, b))), ";")
+    row = lambda n, line, links: F.struct(F.size(u.a).alias("n_a"), F.size(u.b).alias("n_b"), n.alias("n_groups"), line.alias("line"), links.alias("links"))
+    # most often both cut a unit alike
+    pairs = F.zip_with(u.a, u.b, lambda a, b: F.concat(a.cast("string"), F.lit("|"), b.cast("string")))
+    alike = row(F.size(u.a), F.array_join(pairs, ";"), F.zip_with(u.a, u.b, lambda a, b: F.shiftleft(a.cast("long"), 32) + b))
+    return F.when(u.a_ends == u.b_ends, alike).otherwise(_let(_known(u), lambda k: row(F.size(k.cuts), lines(k), _links(u, k.in_b))))
 
-    def groups(t: Column) -> Column:
-        def one(cut: Column, i: Column) -> Column:
-            begin = F.when(i == 0, 0).otherwise(F.get(t.cuts, i - 1))
-            part = lambda ids, holder: F.slice(ids, F.get(holder, begin) + 1, F.get(holder, cut - 1) - F.get(holder, begin) + 1)
-            return F.struct(part(t.a, t.in_a).alias("a"), part(t.b, t.in_b).alias("b"))
 
-        return F.transform(t.cuts, one)
+def text_rows(found: DataFrame) -> DataFrame:
+    """One row per text of tokens(): doc_id, n_a, n_b, n_groups, groups_text, links. A text's groups are those of its units one after another."""
 
-    def links(t: Column) -> Column:
-        def of_token(end: Column, i: Column) -> Column:
-            high = F.shiftleft(F.get(t.a, i).cast("long"), 32)
-            low = F.get(t.in_b, F.when(i == 0, 0).otherwise(F.get(t.a_ends, i - 1)))
-            return F.transform(F.sequence(low, F.get(t.in_b, end - 1)), lambda j: high + F.get(t.b, j))
+    def of_text(units: Column) -> Callable[[Column], Column]:
+        def one(t: Column) -> Column:
+            total = lambda name: F.aggregate(t.units, F.lit(0).cast("long"), lambda n, i: n + F.get(units, i)[name])
+            line = F.array_join(F.transform(t.units, lambda i: F.get(units, i).line), ";")
+            links = F.flatten(F.transform(t.units, lambda i: F.get(units, i).links))
+            return F.struct(t.doc_id.alias("doc_id"), *[total(n).alias(n) for n in ("n_a", "n_b", "n_groups")], line.alias("groups_text"), links.alias("links"))
 
-        return F.flatten(F.transform(t.a_ends, of_token))
+        return one
 
-    both_ = F.get(F.transform(bound, lambda t: F.struct(groups(t).alias("groups"), links(t).alias("links"))), F.lit(0))
-    return found.withColumn("both", both_).select(*found.columns, "both.groups", "both.links")
+    rows = _let(F.transform("units", unit_row), lambda units: F.transform(F.col("texts"), of_text(units)))
+    return found.select(F.inline(rows))
 
 
 def written_links(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """One row per document with a number of its own: counts, the hash of its groups as text, and links."""
     spark = docs.sparkSession
-    text = F.array_join(F.transform("groups", lambda g: F.concat(F.array_join(g.a.cast("array<string>"), ","), F.lit("|"), F.array_join(g.b.cast("array<string>"), ","))), ";")
-    out = aligned(tokens(docs, path_a, path_b)).select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.size("groups").cast("long").alias("n_groups"),
-        F.when(F.size("groups") > 0, F.sha2(F.encode(text, "UTF-8"), 256)).otherwise("").alias("groups_sha256"), "links",
-    )
+    digest = F.when(F.col("n_groups") > 0, F.sha2(F.encode("groups_text", "UTF-8"), 256)).otherwise("")
+    out = text_rows(tokens(docs, path_a, path_b)).select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "links")
     path = f"{shared_folder(spark)}/links-{uuid4().hex}"
     out.write.option("compression", "zstd").parquet(path)  # with that, row numbers stay
     return spark.read.schema(out.schema).parquet(path)
