@@ -208,22 +208,30 @@ def test_alignment(spark, most_broadcast):
     assert alignment.alignment(docs.filter("false"), default_vocabulary("byte_bpe_50k.json"), default_vocabulary("piece_bpe_32k.model")).collect() == []
 
 
-def test_pieces_give_the_tokens_of_whole_texts():
-    """Texts of random pieces, blanks and signs: what is put together from pieces equals what whole texts give."""
+def test_units_give_the_tokens_of_whole_texts():
+    """Texts of random pieces, blanks and signs: what is put together from units equals what whole texts give."""
     import pyarrow as pa
 
-    r, enc = random.Random(9), alignment.Both(default_vocabulary("byte_bpe_50k.json"), default_vocabulary("piece_bpe_32k.model"), remember=50)
-    bits = [" ", " ", "  ", "\n", " a", " the", "ing", "'s", "é", "北", "1", "99", "...", "-", "\t", "\x1c", " ", "▁", "<s>", "X", "ſ", "🏈"]
-    texts = ["".join(r.choice(bits) for _ in range(r.randrange(12))) for _ in range(3000)]
-    (a, at), (a_ends, _), (b, bt), (b_ends, _) = enc.encode(pa.array(texts))
-    for i, (want_a, want_b) in enumerate(reference_spans(texts)):
-        assert [x[0] for x in want_a] == a[at[i] : at[i + 1]].tolist() and [x[2] for x in want_a] == a_ends[at[i] : at[i + 1]].tolist(), texts[i]
-        assert [x[0] for x in want_b] == b[bt[i] : bt[i + 1]].tolist() and [x[2] for x in want_b] == b_ends[bt[i] : bt[i + 1]].tolist(), texts[i]
+    r, enc = random.Random(9), alignment.Both(default_vocabulary("byte_bpe_50k.json"), default_vocabulary("piece_bpe_32k.model"))
+    bits = [" ", " ", "  ", "\n", " a", " the", "ing", "'s", "é", "北", "1", "99", "...", "-", "\t", "\x1c", "\u00a0", "▁", "<s>", "X", "ſ", "🏈", "<|endoftext|>"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(12))) for _ in range(3000)] + ["y" * 1500 + " z", "é 北" * 700]
+    units, of_text, starts = enc.units(pa.array(texts))
+    sides, good = enc.encode(units)
+    for i, spans in enumerate(reference_spans(texts)):
+        own = of_text[starts[i] : starts[i + 1]]
+        assert "".join(" " + units[u] for u in own) == (" " + texts[i] if texts[i] else "")
+        if not all(good[own]):
+            assert spans == [[], []], texts[i]
+            continue
+        for want, (flat, ends, at) in zip(spans, sides):
+            base = np.cumsum([0, *[len((" " + units[u]).encode()) for u in own]])
+            got = [(x, b + e) for u, b in zip(own, base) for x, e in zip(flat[at[u] : at[u + 1]].tolist(), ends[at[u] : at[u + 1]].tolist())]
+            assert [(x[0], x[2]) for x in want] == got, texts[i]
 
 
 def test_groups_and_links(spark):
     """A cuts ab|c|de, B cuts a|bc|d|e."""
     found = spark.createDataFrame([(1, [10, 11, 12], [2, 3, 5], [20, 21, 22, 23], [1, 3, 4, 5])], "doc_id long, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>")
-    row = alignment.aligned(found).withColumn("pairs", F.transform("links", lambda x: F.concat_ws("-", F.shiftright(x, 32), x.bitwiseAND(F.lit((1 << 32) - 1))))).first()
+    row = found.select(alignment.aligned(F.struct("a", "a_ends", "b", "b_ends")).alias("x")).select("x.*").withColumn("pairs", F.transform("links", lambda x: F.concat_ws("-", F.shiftright(x, 32), x.bitwiseAND(F.lit((1 << 32) - 1))))).first()
     assert [(g.a, g.b) for g in row.groups] == [([10, 11], [20, 21]), ([12], [22, 23])]
     assert row.pairs == ["10-20", "10-21", "11-21", "12-22", "12-23"]
