@@ -44,7 +44,6 @@ LONG = 1000  # characters without a blank that go to the tokenizer that takes no
 MOST_BROADCAST = 400_000  # pairs, some 20 MB of a look-up table
 #: The public pattern by which byte-level BPE cuts texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ENDS_IN_SPACE = re.compile(r"\s\Z")
 AFTER_SIGN = re.compile(r"(?<=\S) ")
 
 
@@ -81,41 +80,72 @@ class Both:
     def _a(self, unit: str) -> list[int]:
         return self.a.encode_ordinary(" " + unit) if len(unit) <= LONG else self.slow_a.encode(" " + unit, add_special_tokens=False).ids
 
-    def encode(self, units: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    def _all_a(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of all units, and where each unit's start. Units that end in a sign are encoded as one text, others one by one."""
+        alone = [i for i, u in enumerate(units) if len(u) > LONG or not u or u[-1].isspace()]
+        flat, counts, at = [], [], 0
+        for i in [*alone, len(units)]:
+            if i > at:
+                joined = self.a.encode_ordinary(" " + " ".join(units[at:i]))
+                bounds = np.cumsum(np.fromiter((1 + len(u.encode()) for u in units[at:i]), dtype=np.int64, count=i - at))
+                total = np.cumsum(self.sizes[0][joined], dtype=np.int64)
+                ends = np.searchsorted(total, bounds) + 1
+                flat.append(joined)
+                counts += np.diff(ends, prepend=0).tolist()
+            if i < len(units):
+                flat.append(self._a(units[i]))
+                counts.append(len(flat[-1]))
+            at = i + 1
+        return np.concatenate([*(np.array(f, dtype=np.int32) for f in flat), np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int64)
+
+    def _all_b(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lone = [self.b.piece_to_id("▁")]  # the blank alone, for which an empty text would get nothing
+        ids = [x if u else lone for x, u in zip(self.b.encode(units, num_threads=1), units)]
+        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))]).astype(np.int64)
+        return np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=starts[-1]), starts
+
+    def encode(self, units: list[str], step: int = 20_000) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
         """For A and B: flat ids, byte ends within the blank and each unit, and where each unit's start; and whether both give back its bytes."""
-        want = [(" " + u).encode() for u in units]
-        out, good = [], np.ones(len(units), dtype=bool)
-        for ids, of, size in zip((list(map(self._a, units)), self.b.encode(units, num_threads=1)), self.bytes, self.sizes):
-            starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))])
-            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=starts[-1])
-            total = np.concatenate([[0], np.cumsum(size[flat], dtype=np.int64)])
-            ends = (total[1:] - np.repeat(total[starts[:-1]], np.diff(starts))).astype(np.int32)
-            good &= np.diff(total[starts]) == np.fromiter(map(len, want), dtype=np.int64, count=len(want))
-            if b"".join(map(of.__getitem__, flat.tolist())) != b"".join(want):  # some unit of these isn't given back
-                good &= np.array([b"".join(of[i] for i in x) == w for x, w in zip(ids, want)], dtype=bool)
-            out.append((flat, ends, starts))
-        return out, good
+        parts, goods = ([], []), [np.zeros(0, dtype=bool)]
+        for at in range(0, len(units), step):
+            some = units[at : at + step]
+            want = [b" " + u.encode() for u in some]
+            length, whole, good = np.fromiter(map(len, want), dtype=np.int64, count=len(want)), b"".join(want), np.ones(len(some), dtype=bool)
+            for side, (flat, starts), of, size in zip(parts, (self._all_a(some), self._all_b(some)), self.bytes, self.sizes):
+                total = np.concatenate([[0], np.cumsum(size[flat], dtype=np.int64)])
+                good &= np.diff(total[starts]) == length
+                if b"".join(map(of.__getitem__, flat.tolist())) != whole:  # some unit of these isn't given back
+                    good &= np.array([b"".join(map(of.__getitem__, flat[i:j].tolist())) == w for i, j, w in zip(starts, starts[1:], want)], dtype=bool)
+                side.append((flat, (total[1:] - np.repeat(total[starts[:-1]], np.diff(starts))).astype(np.int32), np.diff(starts)))
+            goods.append(good)
+        out = []
+        for side in parts:
+            flat, ends, counts = (np.concatenate([np.zeros(0, np.int32), *(x[k] for x in side)]) for k in range(3))
+            out.append((flat.astype(np.int32), ends.astype(np.int32), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)))
+        return out, np.concatenate(goods)
 
     def units(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The distinct units of all texts, each text's units in order, and where each text's start. An empty text has none."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        full = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         split = pc.split_pattern(texts, " ")
         found = split.flatten().dictionary_encode()
-        index, distinct = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_pylist()
+        index, distinct = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
         count = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-        count[pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)] = 0  # one empty piece, dropped below
-        owner = np.repeat(np.arange(len(count)), np.maximum(count, 1))
+        index, count = index[np.repeat(full, count)], np.where(full, count, 0)
         # a piece that is empty or ends in white space doesn't end where the next blank begins: such texts are cut by a pattern
-        odd = np.array([p == "" or ENDS_IN_SPACE.search(p) is not None for p in distinct], dtype=bool)[index] if len(index) else np.zeros(0, dtype=bool)
+        units = distinct.to_pylist()
+        odd = np.array([p == "" or p[-1].isspace() for p in units], dtype=bool)
         cut = np.zeros(len(count), dtype=bool)
-        cut[owner[odd]] = True
-        number = {p: i for i, p in enumerate(distinct)}
-        own = np.split(index, np.cumsum(np.maximum(count, 1))[:-1]) if len(count) else []
-        for i in np.flatnonzero(cut):
-            pieces = AFTER_SIGN.split(texts[int(i)].as_py()) if count[i] else []
-            own[i] = np.array([number.setdefault(p, len(number)) for p in pieces], dtype=np.int64)
-        starts = np.concatenate([[0], np.cumsum([len(x) for x in own], dtype=np.int64)]).astype(np.int64)
-        return list(number), np.concatenate([*own, np.zeros(0, dtype=np.int64)]), starts
+        cut[np.repeat(np.arange(len(count)), count)[odd[index]]] = True
+        if cut.any():
+            number = {p: i for i, p in enumerate(units)}
+            own = np.split(index, np.cumsum(count)[:-1])
+            for i in np.flatnonzero(cut):
+                own[i] = np.array([number.setdefault(p, len(number)) for p in AFTER_SIGN.split(texts[int(i)].as_py())], dtype=np.int64)
+            units, index, count = list(number), np.concatenate(own), np.array([len(x) for x in own], dtype=np.int64)
+        return units, index, np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
 
 
 _BOTH: dict[tuple[str, str], Both] = {}
@@ -148,6 +178,8 @@ def tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             unit = pa.StructArray.from_arrays(fields, ["a", "a_ends", "b", "b_ends"])
             text = pa.StructArray.from_arrays([batch.column(0), listed(starts, pa.array(of_text[keep], pa.int32()))], ["doc_id", "units"])
             yield pa.RecordBatch.from_arrays([listed([0, len(units)], unit), listed([0, len(batch)], text)], names=["units", "texts"])
+            del units, of_text, sides, unit, text, fields, keep
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
