@@ -121,8 +121,9 @@ def test_mix(spark, mixed):
     for r in got:
         taken[r.source] += r["size"] * r.copies
         copies[r.source] += r.copies
-    for s, t in want.items():
-        assert abs(taken[s] - t) <= max(3, 0.02 * t), (s, taken[s], t)
+    largest = {s: max(r["size"] for r in got if r.source == s) for s in size}
+    for s, t in want.items():  # one very long document can only be taken or left
+        assert abs(taken[s] - t) <= max(3, 0.02 * t, largest[s] / 2), (s, taken[s], t)
         assert abs(copies[s] - many[s] * (t / size[s] if size[s] else 0)) <= 4
     again = mixing.mix(docs.repartition(7), block=300)
     assert out.exceptAll(again).count() == 0 == again.exceptAll(out).count()
