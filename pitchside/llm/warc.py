@@ -12,15 +12,15 @@ record go through a shuffle, one task each. `write_records` writes records that
 
 Defined cases: a null block is empty; a block without an HTTP head is all body, with status 0. A null
 target or date leaves its header out. Bodies that are no text, or cannot be decoded (unknown or broken
-content encoding), have no conversion; bytes that are wrong in their charset become U+FFFD. Repeated
-rows give equal records. An empty table gives an empty result. Other columns are ignored.
+content encoding, a chunk without a size, over MOST_BYTES when inflated), have no conversion; bytes that are
+wrong in their charset become U+FFFD, and a charset that is unknown or none of text is UTF-8. A null record_id is the empty
+one. Repeated rows give equal records. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import codecs
-import gzip
 import hashlib
 import re
 import uuid
@@ -36,6 +36,8 @@ from pitchside.llm.common import written
 from pitchside.llm.dom import parse
 
 VERSION = "WARC/1.0"
+#: A body that inflates to more bytes than this has no conversion (it would be a bomb, or no page).
+MOST_BYTES = 256_000_000
 #: Files are split at this text; it never overlaps itself. What follows it at a record start.
 SPLIT, START = b"WARC/1.", re.compile(rb"[0-9]+\r\n")
 RECORD = "record_id string, warc_type string, target_uri string, warc_date string, refers_to string, concurrent_to string, content_type string, payload_digest string, block_digest string, block binary"
@@ -66,9 +68,13 @@ def http_message(block: bytes) -> tuple[int, list[tuple[str, str]], bytes]:
 
 
 def _unchunked(body: bytes) -> bytes:
+    """The chunks of a body. A size is hexadecimal digits alone (no sign, which would lead backwards), else ValueError."""
     out, at = [], 0
     while (end := body.find(b"\r\n", at)) >= 0:
-        size = int(body[at:end].split(b";")[0], 16)
+        size = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,16}", size):
+            raise ValueError("no size of a chunk")
+        size = int(size, 16)
         if not size:
             return b"".join(out)
         out.append(body[end + 2 : end + 2 + size])
@@ -76,17 +82,43 @@ def _unchunked(body: bytes) -> bytes:
     return b"".join(out)
 
 
+def _inflated(body: bytes, bits: int) -> bytes:
+    """The inflated members of a body, one after another; ValueError past MOST_BYTES, before that much is held."""
+    out, total = [], 0
+    while body:
+        one = zlib.decompressobj(bits)
+        out.append(one.decompress(body, MOST_BYTES - total + 1))
+        total += len(out[-1])
+        if total > MOST_BYTES:
+            raise ValueError("inflates to too much")
+        if not one.eof:
+            raise EOFError("ends early")
+        body = one.unused_data if bits > 15 else b""
+        if bits > 15 and not body.strip(b"\0"):  # gzip files may be padded
+            break
+    return b"".join(out)
+
+
+def _charset(name: str) -> str:
+    """The codec of a charset that a page names, UTF-8 where it is unknown or isn't one of text."""
+    try:
+        known = codecs.lookup(name)
+    except (LookupError, ValueError):
+        return "utf-8"
+    return known.name if known._is_text_encoding and known.name not in ("idna", "punycode", "undefined", "unicode_escape", "raw_unicode_escape") else "utf-8"
+
+
 def decoded(fields: list[tuple[str, str]], body: bytes) -> bytes | None:
-    """The body without transfer and content encodings; None if they are unknown or broken."""
+    """The body without transfer and content encodings; None if they are unknown or broken, or give over MOST_BYTES."""
     of = {k.lower(): v.lower() for k, v in fields}
     try:
         if "chunked" in of.get("transfer-encoding", ""):
             body = _unchunked(body)
         coding = of.get("content-encoding", "identity")
         if coding in ("gzip", "x-gzip"):
-            return gzip.decompress(body)
+            return _inflated(body, 31)
         if coding == "deflate":
-            return zlib.decompress(body)
+            return _inflated(body, 15)
         return body if coding in ("identity", "") else None
     except (ValueError, OSError, EOFError, zlib.error):
         return None
@@ -103,9 +135,8 @@ def plain_text(kind: str, data: bytes) -> str | None:
     found = META.search(data, 0, body.start() if body else len(data))
     charset = named.group(1) if named else found.group(1).decode() if found else "utf-8"
     try:
-        codecs.lookup(charset)
-        text = data.decode(charset, "replace")
-    except LookupError:
+        text = data.decode(_charset(charset), "replace")
+    except (UnicodeError, ValueError):  # a codec that doesn't know "replace"
         text = data.decode("utf-8", "replace")
     return text if mime == "text/plain" else "\n".join(t for _, t in parse(text)[1])
 
