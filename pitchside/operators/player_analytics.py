@@ -29,7 +29,8 @@ def constellation(stats: DataFrame, season: int | None = None) -> DataFrame:
 
 
 def sparklines(stats: DataFrame, metric: str = "goals", top: int = 10) -> DataFrame:
-    """Values by game, in order, of the players with the largest sums."""
+    """Values by game, in order, of the players with the largest sums; rows of contests that are `postponed` count in neither."""
+    stats = stats.filter(~F.coalesce("postponed", F.lit(False)))
     best = stats.groupBy("player_id").agg(F.sum(metric).alias("total")).orderBy(F.desc("total"), "player_id").limit(top)
     rows = stats.join(F.broadcast(best), "player_id")  # at most `top` rows
     series = F.sort_array(F.collect_list(F.struct("game_date", "game_id", F.col(metric).alias("v"))))

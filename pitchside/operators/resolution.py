@@ -13,6 +13,7 @@ from pitchside.functions.names import anomaly_token, best_similarity, bonus_key,
 from pitchside.functions.text import slug, split_names, squeeze, team_key
 from pitchside.operators.core import first_per, ranked
 from pitchside.operators.near_names import candidates, one_step_forms, within
+from pitchside.sources.numbering import numbered
 
 
 def resolve_or_create(names: DataFrame, teams: DataFrame, aliases: DataFrame, strict: bool = False) -> DataFrame:
@@ -29,17 +30,15 @@ def resolve_or_create(names: DataFrame, teams: DataFrame, aliases: DataFrame, st
     rest = known.filter("team_id IS NULL AND key <> ''").select("raw", "clean", "key")
     refused = rest.limit(0).select("raw")
     if strict:
-        # names that no key resolves are few; the teams are a dimension
-        some = rest.join(teams.select(F.col("team_id").alias("_t"), team_key(F.col("name")).alias("_k")), partial_match(F.col("key"), F.col("_k")))
+        some = _partly(rest, teams.select(F.col("team_id").alias("_t"), team_key(F.col("name")).alias("_k")))
         unique = some.groupBy("raw").agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("team_id")).filter("n = 1").select("raw", "team_id", F.lit(False).alias("created"))
         found, rest = found.unionByName(unique), rest.join(unique, "raw", "left_anti")
         ghost = F.col("clean").rlike("^[A-Z]{1,3}$") | (F.length("key") < 3)
         refused, rest = rest.filter(ghost).select("raw"), rest.filter(~ghost)
     fresh = first_per(rest, ["key"], [F.col("raw")]).select("key", squeeze(F.col("clean")).alias("name"), slug(F.col("key")).alias("base"))
-    newest = teams.agg(F.coalesce(F.max("team_id"), F.lit(-1)).alias("_max"))
-    nth = F.row_number().over(Window.orderBy("key"))  # one row for each new team
+    newest = teams.agg(F.coalesce(F.max("team_id"), F.lit(-1))).first()[0]
     taken = teams.select(slug(team_key(F.col("name"))).alias("base")).groupBy("base").agg(F.count(F.lit(1)).alias("_taken"))
-    made = fresh.join(newest).withColumn("team_id", F.col("_max") + nth).join(taken, "base", "left")
+    made = numbered(fresh, "key", "_nth").withColumn("team_id", F.col("_nth") + newest + 1).join(taken, "base", "left")
     nth_slug = F.coalesce("_taken", F.lit(0)) + F.row_number().over(Window.partitionBy("base").orderBy("key"))
     made = made.withColumn("slug", F.when(nth_slug == 1, F.col("base")).otherwise(F.concat_ws("-", "base", nth_slug.cast("string")))).select("key", "team_id", "name", "slug")
     new = rest.select("raw", "key").join(made, "key").select("raw", "team_id", "name", "slug", F.lit(True).alias("created"))
@@ -48,6 +47,15 @@ def resolve_or_create(names: DataFrame, teams: DataFrame, aliases: DataFrame, st
     return old.unionByName(new).unionByName(refused.select("raw", none.cast("long").alias("team_id"), none.cast("string").alias("name"), none.cast("string").alias("slug"), F.lit(False).alias("created")))
 
 
+def _partly(names: DataFrame, teams: DataFrame) -> DataFrame:
+    """names (key) with the teams (_t, _k) that they partly match: both begin alike, or their last words do, so they meet by one of these letters."""
+    last = lambda s: F.element_at(F.filter(F.split(s, r"[\s\-]+"), lambda w: w != ""), -1)
+    first = lambda s: F.substring(F.regexp_replace(s, r"^[\s\-]+", ""), 1, 1)
+    ends = lambda s: F.array(F.concat(F.lit("<"), first(s)), F.concat(F.lit(">"), F.coalesce(F.substring(last(s), 1, 1), F.lit(""))))
+    met = names.withColumn("_end", F.explode(ends(F.col("key")))).join(teams.withColumn("_end", F.explode(ends(F.col("_k")))), "_end").drop("_end").distinct()
+    return met.filter(partial_match(F.col("key"), F.col("_k")))
+
+
 def fuzzy_candidates(people: DataFrame, stats: DataFrame, most_edits: int = 2, least_length: int = 5) -> DataFrame:
     """Pairs within a team that may be one person: left_id < right_id, edits, confidence, numbers of stat rows.
 

@@ -44,17 +44,17 @@ PEOPLE = "people AS (SELECT CAST(p_partkey AS BIGINT) AS id, CASE p_size % 5 WHE
 
 
 def _stats(spark, d):
-    return B.table(spark, d, "lineitem").filter("l_partkey % 3 > 0").selectExpr("CAST(l_orderkey AS BIGINT) AS game_id", "CAST(l_partkey AS BIGINT) AS id").distinct()
+    return B.table(spark, d, "lineitem").filter("l_quantity >= 48").selectExpr("CAST(l_orderkey AS BIGINT) AS game_id", "CAST(l_partkey AS BIGINT) AS id").distinct()
 
 
-STATS = "stats AS (SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS game_id, CAST(l_partkey AS BIGINT) AS id FROM lineitem WHERE l_partkey % 3 > 0)"
+STATS = "stats AS (SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS game_id, CAST(l_partkey AS BIGINT) AS id FROM lineitem WHERE l_quantity >= 48)"
 
 
 def _official(spark, d):
-    return B.table(spark, d, "nation").filter("n_nationkey % 3 > 0").selectExpr("CAST(n_nationkey AS BIGINT) AS team_id", "CAST(n_nationkey * 9 AS BIGINT) AS wins", "CAST(n_nationkey * 8 AS BIGINT) AS losses", "CAST(1000 + n_nationkey AS BIGINT) AS points")
+    return B.table(spark, d, "nation").filter("n_regionkey <> 2").selectExpr("CAST(n_nationkey AS BIGINT) AS team_id", "CAST(n_nationkey * 9 AS BIGINT) AS wins", "CAST(n_nationkey * 8 AS BIGINT) AS losses", "CAST(1000 + n_nationkey AS BIGINT) AS points")
 
 
-OFFICIAL = "official AS (SELECT CAST(n_nationkey AS BIGINT) AS team_id, CAST(n_nationkey * 9 AS BIGINT) AS wins, CAST(n_nationkey * 8 AS BIGINT) AS losses, CAST(1000 + n_nationkey AS BIGINT) AS points FROM nation WHERE n_nationkey % 3 > 0)"
+OFFICIAL = "official AS (SELECT CAST(n_nationkey AS BIGINT) AS team_id, CAST(n_nationkey * 9 AS BIGINT) AS wins, CAST(n_nationkey * 8 AS BIGINT) AS losses, CAST(1000 + n_nationkey AS BIGINT) AS points FROM nation WHERE n_regionkey <> 2)"
 
 
 def _commitments(spark, d):
@@ -88,14 +88,14 @@ def _target(spark, d):
 
 
 def _batch(spark, d):
-    """Changes to every second part, each twice with an order of arrival, and as many new keys."""
-    p = B.table(spark, d, "part").filter("p_partkey % 2 = 0").withColumn("at", F.explode(F.array(F.lit(1), F.lit(2))))
+    """Changes to the smaller parts, each twice with an order of arrival, and as many new keys."""
+    p = B.table(spark, d, "part").filter("p_size <= 25").withColumn("at", F.explode(F.array(F.lit(1), F.lit(2))))
     old = p.selectExpr("CAST(p_partkey AS BIGINT) AS k", "CAST(p_size + at AS BIGINT) AS size", "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE concat('B', at) END AS brand", "CAST(p_partkey % 50 AS BIGINT) AS day", "at")
     return old.unionByName(old.withColumn("k", -F.col("k") - 1))
 
 
 BATCH = """t AS (SELECT CAST(p_partkey AS BIGINT) AS k, CAST(p_size AS BIGINT) AS size, p_brand AS brand, CAST(p_partkey % 50 AS BIGINT) AS day FROM part),
-o AS (SELECT k, size + 2 AS size, CASE WHEN k % 4 = 0 THEN NULL ELSE 'B2' END AS brand, day FROM t WHERE k % 2 = 0), b AS (SELECT * FROM o UNION ALL SELECT -k - 1, size, brand, day FROM o)"""
+o AS (SELECT k, size + 2 AS size, CASE WHEN k % 4 = 0 THEN NULL ELSE 'B2' END AS brand, day FROM t WHERE size <= 25), b AS (SELECT * FROM o UNION ALL SELECT -k - 1, size, brand, day FROM o)"""
 
 SUITE = {
     "s08_watermarks": (lambda s, d: D.watermark(B.table(s, d, "events"), "props", "ts", '{"k": 1'), "SELECT max(ts) AS watermark FROM events WHERE props LIKE '{\"k\": 1%'"),
@@ -239,8 +239,8 @@ SUITE = {
         f"WITH {BATCH}, c AS (SELECT k, size, CASE WHEN k % 6 = 0 THEN 'a longer brand' ELSE brand END AS brand, day FROM b) SELECT k, coalesce(c.size, t.size) AS size, CASE WHEN length(c.brand) > length(t.brand) THEN c.brand ELSE coalesce(t.brand, c.brand) END AS brand, coalesce(c.day, t.day) AS day FROM t FULL JOIN c USING (k)",
     ),
     "d06_redirected_stats": (
-        lambda s, d: M.redirect(_stats(s, d), B.table(s, d, "part").filter("p_partkey % 2 = 0 AND p_partkey > 0").selectExpr("CAST(p_partkey AS BIGINT) AS old", "CAST(p_partkey - 1 AS BIGINT) AS new"), "id", ["game_id", "id"], []),
-        f"WITH {STATS} SELECT DISTINCT game_id, CASE WHEN id % 2 = 0 AND id > 0 THEN id - 1 ELSE id END AS id FROM stats",
+        lambda s, d: M.redirect(_stats(s, d), B.table(s, d, "part").filter("p_size <= 25 AND p_partkey > 0").selectExpr("CAST(p_partkey AS BIGINT) AS old", "CAST(p_partkey - 1 AS BIGINT) AS new"), "id", ["game_id", "id"], []),
+        f"WITH {STATS} SELECT DISTINCT game_id, CASE WHEN p_size <= 25 AND id > 0 THEN id - 1 ELSE id END AS id FROM stats JOIN part ON p_partkey = id",
     ),
     "d16_seeded_aliases": (
         lambda s, d: R.seed_aliases(R.mine_aliases(_anomalies(s, d), _schedule(s, d), B.teams(s, d), _aliases(s, d), _people(s, d)).withColumn("rejected", F.expr("CASE WHEN rejected = 'too few posts' THEN NULL ELSE rejected END")), B.teams(s, d), _aliases(s, d), 0.5),

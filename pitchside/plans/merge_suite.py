@@ -57,18 +57,18 @@ def _cases(forms: dict[int, list], part: int | None) -> str:
 
 
 def _words(spark, d):
-    return B.table(spark, d, "part").selectExpr("CAST(p_partkey AS BIGINT) AS k", "p_partkey % 6 AS kind", "translate(CAST(p_partkey AS STRING), '0123456789', 'bdgkmpqvxz') AS w")
+    return B.table(spark, d, "part").selectExpr("CAST(p_partkey AS BIGINT) AS k", "p_partkey % 6 AS kind", "p_size", "translate(CAST(p_partkey AS STRING), '0123456789', 'bdgkmpqvxz') AS w")
 
 
 def _logos(spark, d):
     p = _words(spark, d)
     teams = p.selectExpr("k", f"posexplode(arrays_zip({_cases(TEAM_FORMS, 0)} , {_cases(TEAM_FORMS, 1)})) AS (i, t)").selectExpr("k * 2 + i AS team_id", "t.`0` AS name", "t.`1` AS slug")
     schools = p.selectExpr("k", f"posexplode({_cases(SCHOOL_FORMS, None)}) AS (i, name)").selectExpr("concat('s', k, '-', i) AS school", "name", "concat(k, '.gif') AS logo", "k * 2 + i AS nth")
-    return waterfall.match_logos(teams, schools, p.filter("kind = 5 AND k % 4 = 1").selectExpr("concat('LONE', w) AS name", "concat('s', k, '-0') AS school"))
+    return waterfall.match_logos(teams, schools, p.filter("kind = 5 AND p_size <= 25").selectExpr("concat('LONE', w) AS name", "concat('s', k, '-0') AS school"))
 
 
-LOGOS_SQL = """WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS k, p_partkey % 6 AS kind FROM part), x AS (
-SELECT k, 0 AS t, 0 AS s, CASE kind WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END AS round FROM p WHERE kind < 5 OR k % 4 = 1 UNION ALL SELECT k, 1, CASE kind WHEN 4 THEN 1 ELSE 0 END, CASE kind WHEN 4 THEN 2 ELSE 3 END FROM p WHERE kind IN (2, 3, 4))
+LOGOS_SQL = """WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS k, p_partkey % 6 AS kind, p_size FROM part), x AS (
+SELECT k, 0 AS t, 0 AS s, CASE kind WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END AS round FROM p WHERE kind < 5 OR p_size <= 25 UNION ALL SELECT k, 1, CASE kind WHEN 4 THEN 1 ELSE 0 END, CASE kind WHEN 4 THEN 2 ELSE 3 END FROM p WHERE kind IN (2, 3, 4))
 SELECT k * 2 + t AS team_id, 's' || k || '-' || s AS school, k || '.gif' AS logo, CAST(round AS INTEGER) AS round FROM x"""
 
 # ---- merges (D6, D8)
@@ -117,18 +117,18 @@ def _merged_people(spark, d):
     people = B.table(spark, d, "part").selectExpr("CAST(p_partkey AS BIGINT) AS player_id", "p_name AS name")
     stats = B.table(spark, d, "lineitem").selectExpr("CAST(l_orderkey AS BIGINT) AS game_id", "CAST(l_partkey AS BIGINT) AS player_id").distinct()
     aliases = B.table(spark, d, "supplier").selectExpr("concat('a', s_nationkey) AS alias", "CAST(s_suppkey AS BIGINT) AS player_id", "'seed' AS source", "0.5 AS confidence").withColumn("confidence", F.col("confidence").cast("double"))
-    pairs = B.table(spark, d, "part").filter("p_size % 4 = 0").selectExpr("CAST(p_partkey AS BIGINT) AS left_id", "explode(array(CAST(floor(p_partkey / 3) AS BIGINT), CAST(p_partkey + 1 AS BIGINT))) AS right_id")
+    pairs = B.table(spark, d, "part").filter("p_type = 'PROMO'").selectExpr("CAST(p_partkey AS BIGINT) AS left_id", "explode(array(CAST(floor(p_partkey / 3) AS BIGINT), CAST(p_partkey + 1 AS BIGINT))) AS right_id")
     return cascade.merge_people(people, stats, aliases, cascade.keep_rule(pairs, stats))
 
 
-PAIRS = """n AS (SELECT l_partkey AS id, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1), pairs AS (SELECT p_partkey AS l, unnest([p_partkey // 3, p_partkey + 1]) AS r FROM part WHERE p_size % 4 = 0),
+PAIRS = """n AS (SELECT l_partkey AS id, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1), pairs AS (SELECT p_partkey AS l, unnest([p_partkey // 3, p_partkey + 1]) AS r FROM part WHERE p_type = 'PROMO'),
 sized AS (SELECT l, r, coalesce(a.n, 0) AS ln, coalesce(b.n, 0) AS rn FROM pairs LEFT JOIN n a ON a.id = l LEFT JOIN n b ON b.id = r WHERE l <> r), sides AS (SELECT CASE WHEN ln > rn OR (ln = rn AND l < r) THEN r ELSE l END AS old, CASE WHEN ln > rn OR (ln = rn AND l < r) THEN l ELSE r END AS new, greatest(ln, rn) AS kn FROM sized),
 m AS (SELECT old, arg_max(new, (kn, -new)) AS new FROM sides GROUP BY old HAVING old IN (SELECT p_partkey FROM part) AND arg_max(new, (kn, -new)) IN (SELECT p_partkey FROM part)), ch AS (SELECT old, new FROM m UNION SELECT ch.old, m.new FROM ch JOIN m ON ch.new = m.old), ends AS (SELECT CAST(old AS BIGINT) AS old, CAST(new AS BIGINT) AS new FROM ch WHERE new NOT IN (SELECT old FROM m))"""
 
 SUITE = {
     "d19_workbook_people": (lambda s, d: waterfall.resolve_people(_roster(s, d).select("team_id", F.col("written").alias("name")), _roster(s, d)), PEOPLE_SQL),
     "d18_logos": (lambda s, d: _logos(s, d)[0], LOGOS_SQL),
-    "d18_schools_without_team": (lambda s, d: _logos(s, d)[1], "SELECT 's' || p_partkey || '-' || i AS school FROM part, range(2) t(i) WHERE (p_partkey % 6 = 0 AND i = 1) OR (p_partkey % 6 = 5 AND i = 0 AND p_partkey % 4 <> 1)"),
+    "d18_schools_without_team": (lambda s, d: _logos(s, d)[1], "SELECT 's' || p_partkey || '-' || i AS school FROM part, range(2) t(i) WHERE p_partkey % 6 = 5 AND i = 0 AND p_size > 25"),
     "d08_merge_chains": (lambda s, d: cascade.chains(_team_merges(s, d)), f"WITH RECURSIVE {CHAINS} SELECT old, new FROM ends"),
     "d08_merged_people": (_merged("people"), f"{MERGED} SELECT player_id, team_id, name_key FROM p2 WHERE kept"),
     "d08_merged_games": (_merged("games"), f"{MERGED} SELECT game_id, game_date, home_id, away_id FROM g2 WHERE kept"),

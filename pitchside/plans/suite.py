@@ -81,8 +81,8 @@ SUITE = {
     ),
     "a14_sparklines": (
         lambda s, d: P.sparklines(B.player_stats(s, d)).select("player_id", "total", F.array_join(F.transform("series", lambda x: x.cast("string")), ",").alias("series")),
-        f"""{WITH_STATS}, best AS (SELECT player_id, CAST(sum(goals) AS BIGINT) AS total FROM stats GROUP BY player_id ORDER BY total DESC, player_id LIMIT 10)
-        SELECT player_id, total, string_agg(CAST(goals AS VARCHAR), ',' ORDER BY game_date, game_id) AS series FROM stats JOIN best USING (player_id) GROUP BY player_id, total""",
+        f"""{WITH_STATS}, played AS (SELECT * FROM stats WHERE NOT postponed), best AS (SELECT player_id, CAST(sum(goals) AS BIGINT) AS total FROM played GROUP BY player_id ORDER BY total DESC, player_id LIMIT 10)
+        SELECT player_id, total, string_agg(CAST(goals AS VARCHAR), ',' ORDER BY game_date, game_id) AS series FROM played JOIN best USING (player_id) GROUP BY player_id, total""",
     ),
     "a15_calendar": (lambda s, d: A.calendar(B.game_days(s, d)), f"WITH {B.DAYS_SQL} SELECT game_date, count(*) AS games FROM games GROUP BY game_date"),
     "w12_calendar_grid": (

@@ -22,5 +22,5 @@ def numbered(rows: DataFrame, order: str | Column, name: str) -> DataFrame:
         at += counts[part]
     before = rows.sparkSession.createDataFrame(first, "_part int, _first long")  # one row for each range
     nth = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("_order").asc_nulls_first())) - 1
-    out = placed.withColumn("_nth", nth).join(F.broadcast(before), "_part")
-    return out.withColumn(name, (F.col("_first") + F.col("_nth")).cast("long")).drop("_part", "_first", "_nth", "_order")
+    out = placed.withColumn("_place", nth).join(F.broadcast(before), "_part")
+    return out.withColumn(name, (F.col("_first") + F.col("_place")).cast("long")).drop("_part", "_first", "_place", "_order")
