@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchside.plans import entity_suite, feed_suite, import_suite, leaders, league_suite, merge_suite, page_suite, reports, suite, sync_suite, text_suite
+from pitchside.plans import desk_suite, entity_suite, feed_suite, import_suite, leaders, league_suite, merge_suite, page_suite, reports, suite, sync_suite, text_suite
 
-MODULES = [leaders, suite, reports, league_suite, entity_suite, text_suite, feed_suite, page_suite, merge_suite, sync_suite, import_suite]
+MODULES = [leaders, suite, reports, league_suite, entity_suite, text_suite, feed_suite, page_suite, merge_suite, sync_suite, import_suite, desk_suite]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
