@@ -114,3 +114,27 @@ def revert(target: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
     """target with inserted keys gone and updated ones as they were; keys outside the plan stay."""
     changed = plan.filter("action <> 'same'")
     return target.join(changed, keys, "left_anti").unionByName(changed.filter("action = 'update'").select(*keys, "old.*"))
+
+
+def roster_differences(ours: DataFrame, live: DataFrame) -> DataFrame:
+    """(team, name, side) of names that only one of two rosters (team, name) has; case and white space don't count. side: ours or live."""
+    key = F.trim(F.regexp_replace(F.lower("name"), r"\s+", " "))
+    a, b = (r.groupBy("team", key.alias("key")).agg(F.min("name").alias("name")) for r in (ours, live))
+    only = lambda x, y, side: x.join(y.select("team", "key"), ["team", "key"], "left_anti").select("team", "name", F.lit(side).alias("side"))
+    return only(a, b, "ours").unionByName(only(b, a, "live"))
+
+
+def score_drift(snapshot: DataFrame, ours: DataFrame) -> DataFrame:
+    """snapshot's played contests with `state`: missing, drift or ok against ours, by (game_date, home, away); of several of ours the last by scores."""
+    key = ["game_date", "home", "away"]
+    mine = ours.groupBy(*key).agg(F.max(F.struct("home_score", "away_score")).alias("_o"))
+    played = snapshot.filter((F.col("home_score") > 0) | (F.col("away_score") > 0)).join(mine, key, "left")
+    same = (F.col("_o.home_score") == F.col("home_score")) & (F.col("_o.away_score") == F.col("away_score"))
+    return played.select(*snapshot.columns, F.when(F.col("_o").isNull(), "missing").when(same, "ok").otherwise("drift").alias("state"))
+
+
+def day_signatures(games: DataFrame) -> DataFrame:
+    """(game_date, signature): id:away:home:postponed of a day's contests in the order of ids, joined by |; it changes when any of them does."""
+    one = F.concat_ws(":", F.col("game_id").cast("string"), F.coalesce(F.col("away_score").cast("string"), F.lit("")), F.coalesce(F.col("home_score").cast("string"), F.lit("")), F.coalesce(F.col("postponed"), F.lit(False)).cast("int").cast("string"))
+    listed = F.sort_array(F.collect_list(F.struct("game_id", one.alias("s"))))  # the contests of one day
+    return games.groupBy("game_date").agg(F.array_join(F.transform(listed, lambda x: x["s"]), "|").alias("signature"))

@@ -142,6 +142,28 @@ def ghost_teams(teams: DataFrame, games: DataFrame, people: DataFrame) -> DataFr
     return short.select("team_id", "name", g.alias("games"), p.alias("people"), ((g == 0) & (p == 0)).alias("deletable"))
 
 
+def ghost_repoints(teams: DataFrame, games: DataFrame, people: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, from_team, to_team), (team_id, name, verdict)) for teams whose name is no more than an abbreviation.
+
+    games: game_id, home_id, away_id; people: id, team_id; stats: game_id, id. A ghost without contests and people is deletable. One
+    without contests is repointed, and then deletable, if each of its people has a stat row in a contest of a team whose
+    name the ghost's partly matches (of several the one of the smallest contest, home first). All others are skipped.
+    """
+    ghosts = teams.filter(F.length(F.trim("name")).between(1, 3)).select("team_id", "name")
+    playing = games.select(F.explode(F.array("home_id", "away_id")).alias("team_id")).distinct()
+    idle = ghosts.join(playing, "team_id", "left_anti")
+    members = people.join(idle, "team_id").select("id", "team_id", F.col("name").alias("ghost"))
+    seen = members.join(stats.select("id", "game_id").distinct(), "id").join(games.select("game_id", F.posexplode(F.array("home_id", "away_id")).alias("side", "other")), "game_id").filter("other <> team_id")
+    named = seen.join(teams.select(F.col("team_id").alias("other"), F.col("name").alias("sibling")), "other")
+    met = named.filter(partial_match(team_key(F.col("ghost")), team_key(F.col("sibling")))).groupBy("id", "team_id").agg(F.min(F.struct("game_id", "side", "other")).alias("b"))
+    target = met.select("id", F.col("team_id").alias("from_team"), F.col("b.other").alias("to_team"))
+    whole = members.join(target.select("id", "to_team"), "id", "left").groupBy("team_id").agg(F.count(F.lit(1)).alias("people"), F.count("to_team").alias("found"))
+    judged = ghosts.join(idle.select("team_id").withColumn("_idle", F.lit(True)), "team_id", "left").join(whole, "team_id", "left")
+    verdict = F.when(F.col("_idle").isNull(), "skipped").when(F.col("people").isNull(), "deletable").when(F.col("people") == F.col("found"), "repointed").otherwise("skipped")
+    verdicts = judged.select("team_id", "name", verdict.alias("verdict"))
+    return target.join(verdicts.filter("verdict = 'repointed'").select(F.col("team_id").alias("from_team")), "from_team", "left_semi").select("id", "from_team", "to_team"), verdicts
+
+
 def junk_people(people: DataFrame, stats: DataFrame) -> DataFrame:
     """People whose name is none or a possessive; deletable where they have no stat rows."""
     junk = people.filter(F.col("name").isin("None", "No name provided") | F.col("name").rlike(r"'s$|'s "))

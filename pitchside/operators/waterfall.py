@@ -12,13 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchside.functions.names import player_key
+from pitchside.functions.tables import school_keys
 from pitchside.operators.near_names import candidates, within
 from pitchside.sources.scratch import written
 
 # How sure each way of finding a person is.
 BY_LAST_NAME, BY_INITIAL, BY_EDITS = 0.91, 0.94, 0.9
-# Endings of school names that keys do without.
-ENDINGS = ["senior high school", "senior high", "high school", "high", "school", "academy", "area", "hs", "prep", "preparatory", "college", "township", "hebrew"]
 
 
 def _settled(rows: DataFrame, kind: str, reason: str | None = None, player: Column | None = None, confidence: float | None = None) -> DataFrame:
@@ -87,17 +86,6 @@ def resolve_people(names: DataFrame, people: DataFrame) -> DataFrame:
     return asked.join(reduce(DataFrame.unionByName, done), ["team_id", "key"]).select("team_id", "name", "key", "kind", "player_id", "confidence", "reason")
 
 
-def school_keys(name: Column) -> Column:
-    """The keys of a school's name, strictest first: whole, without endings, and with the other form of a beginning."""
-    base = F.regexp_replace(F.replace(F.replace(F.lower(name), F.lit("&#x27;"), F.lit("'")), F.lit("&amp;"), F.lit("&")), r"\([^)]*\)", "")
-    base = F.trim(F.regexp_replace(base, "[^a-z0-9]+", " "))
-    bare = F.regexp_replace(base, f"(?: (?:{'|'.join(ENDINGS)}))+$", "")
-    turned = lambda short, long: [F.when(F.startswith(bare, F.lit(short)), F.concat(F.lit(long), F.substring(bare, len(short) + 1, 1 << 30)))]
-    west = F.when(F.startswith(bare, F.lit("west chester ")), F.substring(bare, 14, 1 << 30))
-    keys = F.array(base, bare, *turned("wc ", "west chester "), west, *turned("st ", "saint "), *turned("saint ", "st "))
-    return F.array_distinct(F.filter(keys, lambda k: k.isNotNull() & (k != "")))
-
-
 def match_logos(teams: DataFrame, schools: DataFrame, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """((team_id, school, logo, round), schools that no team has): one school for each team as far as keys tell.
 

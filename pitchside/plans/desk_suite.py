@@ -7,7 +7,10 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from pitchside.operators import desk, officials
+from pitchside.operators import reconciliation as Z
+from pitchside.operators import resolution as R
 from pitchside.plans import bindings as B
+from pitchside.sources import sheets
 
 TEAM, OPPONENT, SEASON, TODAY, YEAR = 3, 7, 1996, date(1998, 5, 20), 1998
 
@@ -95,7 +98,56 @@ UNION ALL SELECT 'duplicate player', 'warning', count(*) FROM (SELECT 1 FROM p G
 UNION ALL SELECT 'orphaned stat', 'error', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'duplicate stat', 'error', count(*) FROM (SELECT 1 FROM lineitem WHERE l_partkey IN (SELECT c_custkey FROM customer) GROUP BY l_partkey, l_orderkey HAVING count(*) > 1)
 UNION ALL SELECT 'invalid jersey', 'warning', count(*) FROM p WHERE jersey < 0 OR jersey > 99"""
 
+# ---- sheets (S16, S17): a file for each part, its columns in one of two orders
+
+SHEET = '''CASE WHEN p_size % 2 = 0 THEN concat('"Date","Home Team","Home Score","Game Completed","Visitor Team","Visitor Score"\\n2026-04-01,"', p_name, ', North",', p_size, ',Yes,Elm,\\n\\n2026-4-1,a,1,No,b,2\\n2026-04-02,,1,No,b,2\\n')
+ ELSE concat('Visitor Score,VISITOR TEAM,date,extra,home team\\r\\n', p_size, ',"say ""', p_name, '""",2026-05-01,x,Oak,beyond\\r\\nx,', p_type, ',2026-05-02,,Oak') END'''
+UPLOAD = """CASE WHEN p_size % 2 = 0 THEN concat('Player,Game Date,Vs,G,GBs\\n', p_name, ',4/', 1 + p_size % 28, '/26,Oak,', p_size, ',\\n', p_name, ',later,Oak,1,1\\n,2026-04-01,Elm,1,1\\n')
+ ELSE concat('name;,Date,fo won,SAVES\\n', p_name, ',2026-04-01,', p_size, ',x\\n,,,\\n', p_type, ',2026-04-02,,', p_size) END"""
+
+
+def _texts(form):
+    return lambda s, d: B.table(s, d, "part").selectExpr("CAST(p_partkey AS STRING) AS path", f"{form} AS text")
+
+
+def _ghosts(spark, d):
+    """Suppliers as teams named by two letters, nations as the teams they stand for, customers as people of both."""
+    ghosts = _t(spark, d, "supplier", "CAST(s_suppkey + 100 AS BIGINT) AS team_id", "CASE WHEN s_acctbal < 2000 THEN 'NT' WHEN s_acctbal < 4000 THEN 'QZ' ELSE s_name END AS name")
+    teams = _t(spark, d, "nation", "CAST(n_nationkey AS BIGINT) AS team_id", "concat('Nation ', translate(CAST(n_nationkey AS STRING), '0123456789', 'tabcdefghi')) AS name").unionByName(ghosts)
+    games = _games(spark, d).select("game_id", "home_id", "away_id").unionByName(_t(spark, d, "supplier", "CAST(-s_suppkey - 1 AS BIGINT) AS game_id", "CASE WHEN s_acctbal > 1500 THEN CAST(s_suppkey + 100 AS BIGINT) END AS home_id", "CAST(1 AS BIGINT) AS away_id"))
+    people = _t(spark, d, "part", "CAST(p_partkey AS BIGINT) AS id", "CAST(100 + p_size AS BIGINT) AS team_id")
+    return R.ghost_repoints(teams, games, people, _stats(spark, d).select("game_id", F.col("player_id").alias("id")))
+
+
+GHOSTS = f"""{GAMES}, gh AS (SELECT CAST(s_suppkey + 100 AS BIGINT) AS team_id, CASE WHEN s_acctbal < 2000 THEN 'NT' WHEN s_acctbal < 4000 THEN 'QZ' END AS name, s_acctbal FROM supplier WHERE s_acctbal < 4000), idle AS (SELECT * FROM gh WHERE s_acctbal <= 1500),
+tn AS (SELECT n_nationkey AS t FROM nation WHERE CAST(n_nationkey AS VARCHAR)[1] = '0'), m AS (SELECT CAST(p_partkey AS BIGINT) AS id, team_id, name FROM part JOIN idle ON team_id = 100 + p_size),
+met AS (SELECT m.id, m.team_id AS from_team, arg_min(sides.team_id, (game_id, CASE WHEN sides.team_id = g.home_id THEN 0 ELSE 1 END)) AS to_team FROM m JOIN lineitem ON l_partkey = m.id JOIN g ON game_id = l_orderkey JOIN sides USING (game_id) WHERE m.name = 'NT' AND sides.team_id IN (SELECT t FROM tn) GROUP BY 1, 2),
+w AS (SELECT m.team_id, count(*) AS people, count(to_team) AS found FROM m LEFT JOIN met USING (id) GROUP BY 1), v AS (SELECT gh.team_id, gh.name, CASE WHEN s_acctbal > 1500 THEN 'skipped' WHEN people IS NULL THEN 'deletable' WHEN people = found THEN 'repointed' ELSE 'skipped' END AS verdict FROM gh LEFT JOIN w USING (team_id))"""
+
 SUITE = {
+    "s16_schedule_sheets": (
+        lambda s, d: sheets.schedule_rows(_texts(SHEET)(s, d))[0],
+        """SELECT CAST(p_partkey AS VARCHAR) AS path, CAST(2 AS INTEGER) AS row, '2026-04-01' AS date, p_name || ', North' AS home, 'Elm' AS away, TRUE AS completed, CAST(p_size AS DOUBLE) AS home_score, CAST(NULL AS DOUBLE) AS away_score FROM part WHERE p_size % 2 = 0
+        UNION ALL SELECT CAST(p_partkey AS VARCHAR), 2 + i, '2026-05-0' || (i + 1), 'Oak', CASE i WHEN 0 THEN 'say "' || p_name || '"' ELSE p_type END, FALSE, NULL, CASE i WHEN 0 THEN CAST(p_size AS DOUBLE) END FROM part, range(2) r(i) WHERE p_size % 2 = 1""",
+    ),
+    "s16_malformed_lines": (lambda s, d: sheets.schedule_rows(_texts(SHEET)(s, d))[1], "SELECT CAST(p_partkey AS VARCHAR) AS path, CAST(3 + i AS INTEGER) AS row, CASE i WHEN 0 THEN '2026-4-1,a,1,No,b,2' ELSE '2026-04-02,,1,No,b,2' END AS line, CASE i WHEN 0 THEN 'bad date: \"2026-4-1\"' ELSE 'missing home/away team' END AS reason FROM part, range(2) r(i) WHERE p_size % 2 = 0"),
+    "s17_uploaded_rows": (
+        lambda s, d: sheets.upload_rows(_texts(UPLOAD)(s, d))[0].select("path", "row", "player_name", "game_date", "opponent", "goals", "ground_balls", "saves", "fo_won"),
+        """SELECT CAST(p_partkey AS VARCHAR) AS path, CAST(2 AS INTEGER) AS row, p_name AS player_name, DATE '2026-04-01' + CAST(p_size % 28 AS INTEGER) AS game_date, 'Oak' AS opponent, CAST(p_size AS DOUBLE) AS goals, 0::DOUBLE AS ground_balls, 0::DOUBLE AS saves, 0::DOUBLE AS fo_won FROM part WHERE p_size % 2 = 0
+        UNION ALL SELECT CAST(p_partkey AS VARCHAR), 4, p_type, DATE '2026-04-02', '', 0, 0, CAST(p_size AS DOUBLE), 0 FROM part WHERE p_size % 2 = 1""",
+    ),
+    "s17_upload_errors": (lambda s, d: sheets.upload_rows(_texts(UPLOAD)(s, d))[1], "SELECT CAST(p_partkey AS VARCHAR) AS path, CAST(CASE WHEN p_size % 2 = 1 THEN 2 ELSE 3 + i END AS INTEGER) AS row, CASE WHEN p_size % 2 = 1 THEN 'Invalid saves' WHEN i = 0 THEN 'Invalid game_date' ELSE 'player_name is required' END AS message FROM part, range(2) r(i) WHERE p_size % 2 = 0 OR i = 0"),
+    "d11_repointed_people": (lambda s, d: _ghosts(s, d)[0], f"WITH {GHOSTS} SELECT id, from_team, to_team FROM met WHERE from_team IN (SELECT team_id FROM v WHERE verdict = 'repointed')"),
+    "d11_ghost_verdicts": (lambda s, d: _ghosts(s, d)[1], f"WITH {GHOSTS} SELECT * FROM v"),
+    "j18_roster_differences": (
+        lambda s, d: Z.roster_differences(_t(s, d, "customer", "c_mktsegment AS team", "concat(' Jo  ', c_custkey) AS name"), _t(s, d, "customer", "CASE WHEN c_acctbal < 0 THEN 'MACHINERY' ELSE c_mktsegment END AS team", "concat('JO ', c_custkey) AS name")),
+        "WITH x AS (SELECT * FROM customer WHERE c_acctbal < 0 AND c_mktsegment <> 'MACHINERY') SELECT c_mktsegment AS team, ' Jo  ' || c_custkey AS name, 'ours' AS side FROM x UNION ALL SELECT 'MACHINERY', 'JO ' || c_custkey, 'live' FROM x",
+    ),
+    "j18_score_drift": (
+        lambda s, d: Z.score_drift(*(_t(s, d, "orders", "CAST(o_orderkey AS BIGINT) AS game_id", "to_date(o_orderdate) AS game_date", "CAST(o_orderkey AS STRING) AS home", "CAST(o_custkey AS STRING) AS away", "CAST(o_orderkey % 3 AS BIGINT) AS home_score", f"{away} AS away_score", "o_orderstatus").filter(keep).drop("o_orderstatus") for away, keep in (("CAST(o_custkey % 2 AS BIGINT)", "true"), ("CAST(o_custkey % 2 + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS BIGINT)", "o_orderstatus <> 'P'")))),
+        "SELECT CAST(o_orderkey AS BIGINT) AS game_id, CAST(o_orderdate AS DATE) AS game_date, CAST(o_orderkey AS VARCHAR) AS home, CAST(o_custkey AS VARCHAR) AS away, CAST(o_orderkey % 3 AS BIGINT) AS home_score, CAST(o_custkey % 2 AS BIGINT) AS away_score, CASE o_orderstatus WHEN 'P' THEN 'missing' WHEN 'F' THEN 'drift' ELSE 'ok' END AS state FROM orders WHERE o_orderkey % 3 > 0 OR o_custkey % 2 > 0",
+    ),
+    "w16_day_signatures": (lambda s, d: Z.day_signatures(_games(s, d)), f"WITH {GAMES} SELECT game_date, string_agg(game_id || ':' || coalesce(CAST(aws AS VARCHAR), '') || ':' || hs || ':' || CAST(postponed AS INTEGER), '|' ORDER BY game_id) AS signature FROM g GROUP BY 1"),
     "j06_official_candidates": (lambda s, d: officials.official_candidates(_teams(s, d), _aliases(s, d), _official(s, d)).select("team_id", "official_id"), f"WITH {OFFICIAL} SELECT team_id, CAST(official_id AS BIGINT) AS official_id FROM cand"),
     "j07_official_by_ranking": (lambda s, d: officials.official_of(_teams(s, d), _aliases(s, d), _official(s, d), True).select("team_id", "official_id", "ranking"), f"WITH {OFFICIAL} SELECT team_id, CAST(official_id AS BIGINT) AS official_id, ranking FROM (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY ranking DESC NULLS LAST, official_id) AS rn FROM cand) WHERE rn = 1"),
     "a05_listed_teams": (
