@@ -113,14 +113,14 @@ def _texts(form):
 def _ghosts(spark, d):
     """Suppliers as teams named by two letters, nations as the teams they stand for, customers as people of both."""
     ghosts = _t(spark, d, "supplier", "CAST(s_suppkey + 100 AS BIGINT) AS team_id", "CASE WHEN s_acctbal < 2000 THEN 'NT' WHEN s_acctbal < 4000 THEN 'QZ' ELSE s_name END AS name")
-    teams = _t(spark, d, "nation", "CAST(n_nationkey AS BIGINT) AS team_id", "concat('Nation ', translate(CAST(n_nationkey AS STRING), '0123456789', 'tabcdefghi')) AS name").unionByName(ghosts)
+    teams = _t(spark, d, "nation", "CAST(n_nationkey AS BIGINT) AS team_id", "concat('Nation ', translate(CAST(n_nationkey AS STRING), '0123456789', 'tttttfghij')) AS name").unionByName(ghosts)
     games = _games(spark, d).select("game_id", "home_id", "away_id").unionByName(_t(spark, d, "supplier", "CAST(-s_suppkey - 1 AS BIGINT) AS game_id", "CASE WHEN s_acctbal > 1500 THEN CAST(s_suppkey + 100 AS BIGINT) END AS home_id", "CAST(1 AS BIGINT) AS away_id"))
     people = _t(spark, d, "part", "CAST(p_partkey AS BIGINT) AS id", "CAST(100 + p_size AS BIGINT) AS team_id")
     return R.ghost_repoints(teams, games, people, _stats(spark, d).select("game_id", F.col("player_id").alias("id")))
 
 
 GHOSTS = f"""{GAMES}, gh AS (SELECT CAST(s_suppkey + 100 AS BIGINT) AS team_id, CASE WHEN s_acctbal < 2000 THEN 'NT' WHEN s_acctbal < 4000 THEN 'QZ' END AS name, s_acctbal FROM supplier WHERE s_acctbal < 4000), idle AS (SELECT * FROM gh WHERE s_acctbal <= 1500),
-tn AS (SELECT n_nationkey AS t FROM nation WHERE CAST(n_nationkey AS VARCHAR)[1] = '0'), m AS (SELECT CAST(p_partkey AS BIGINT) AS id, team_id, name FROM part JOIN idle ON team_id = 100 + p_size),
+tn AS (SELECT n_nationkey AS t FROM nation WHERE CAST(n_nationkey AS VARCHAR)[1] < '5'), m AS (SELECT CAST(p_partkey AS BIGINT) AS id, team_id, name FROM part JOIN idle ON team_id = 100 + p_size),
 met AS (SELECT m.id, m.team_id AS from_team, arg_min(sides.team_id, (game_id, CASE WHEN sides.team_id = g.home_id THEN 0 ELSE 1 END)) AS to_team FROM m JOIN lineitem ON l_partkey = m.id JOIN g ON game_id = l_orderkey JOIN sides USING (game_id) WHERE m.name = 'NT' AND sides.team_id IN (SELECT t FROM tn) GROUP BY 1, 2),
 w AS (SELECT m.team_id, count(*) AS people, count(to_team) AS found FROM m LEFT JOIN met USING (id) GROUP BY 1), v AS (SELECT gh.team_id, gh.name, CASE WHEN s_acctbal > 1500 THEN 'skipped' WHEN people IS NULL THEN 'deletable' WHEN people = found THEN 'repointed' ELSE 'skipped' END AS verdict FROM gh LEFT JOIN w USING (team_id))"""
 
