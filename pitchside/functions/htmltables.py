@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from pitchside.functions.names import without_marks
 
+# What a page has that asks to sign in or says that there is no such page.
+WALL = r"(?i)<form[^>]+id=[\"']login[\"']|<title>\s*404|Sign In to MaxPreps"
+
 CELL = "table int, classes string, row int, cell int, column int, header string, text string"
 
 
@@ -98,8 +101,7 @@ def box_scores(pages: DataFrame, key: str, html: str) -> DataFrame:
 
     Pages that ask to sign in or say that there is none have none.
     """
-    wall = F.col(html).rlike(r"(?i)<form[^>]+id=[\"']login[\"']|<title>\s*404|Sign In to MaxPreps")
-    cells = html_cells(pages.filter(~F.coalesce(wall, F.lit(True))), key, html).filter(F.array_contains(F.split("classes", " "), "boxscore"))
+    cells = html_cells(pages.filter(~F.coalesce(F.col(html).rlike(WALL), F.lit(True))), key, html).filter(F.array_contains(F.split("classes", " "), "boxscore"))
     final = cells.filter((F.col("row") == 0) & (F.lower("text") == "final")).groupBy(key, "table").agg(F.min("cell").alias("final"))
     rows = cells.filter("row > 0").join(final, [key, "table"]).groupBy(key, "table", "row")
     rows = rows.agg(F.max(F.when(F.col("cell") == 0, F.col("text"))).alias("team"), F.max(F.when(F.col("cell") == F.col("final"), F.col("text"))).alias("score"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pitchside.functions.text import let
 
-# What marks a bracket as narration, the least number that does, and the most of each count in one contest.
+# How a stat line begins, what marks a bracket as narration, the least number that does, and the most of each count in one contest.
+HEAD = r"(?i)\b([A-Z][A-Za-z'’\-]{1,}(?:\s+[A-Z][A-Za-z'’\-]+)?)\s*[-–.,]?\s*(\d{1,3})\s*(?:g|a|gb|sv|cto|fo|goal|assist|save|ground)\b"
 MARKERS = [
     "career", "season", "school record", "state record", "all[- ]?time", "milestone", "now has", "now with", "set [a-z]+ record", "broke", "broken", "reached", "on (?:his|her|the)", "for (?:his|her|the)", "in (?:his|her|the)",
     "lifetime", "overall", "committed", "commit", "signed", "tied", "ties", "previous", "former", "earlier", "matched", "surpass(?:es|ed)?", "pass(?:es|ed)", "reach(?:es|ed)", "notch(?:es|ed)", "tally", "record-tying", "record-setting", "history",
@@ -20,7 +21,6 @@ CAPS = {"goals": 15, "assists": 15, "ground_balls": 30, "caused_turnovers": 20,
 #: A count of the contest that repeats a number from here on; one that is up to `SMALL` above a number from `SUM` on.
 EQUAL, SUM, SMALL = 5, 20, 10
 
-HEAD = r"(?i)\b([A-Z][A-Za-z'’\-]{1,}(?:\s+[A-Z][A-Za-z'’\-]+)?)\s*[-–.,]?\s*(\d{1,3})\s*(?:g|a|gb|sv|cto|fo|goal|assist|save|ground)\b"
 
 
 def is_summary_post(url: Column, post: Column) -> Column:

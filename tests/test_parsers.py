@@ -108,6 +108,11 @@ def test_label_dates(spark, label, want):
 
 def test_publish_dates(spark):
     check(spark, posts.publish_date, [('<meta property="article:published_time" content="2026-04-01T10:00">', "2026-04-01"), ('<time class="entry-time">May 3, 2025</time>', "2025-05-03"), ("Posted 4/7/26 by x", "2026-04-07"), ("none", None)])
+    more = [
+        ("<meta content='2026-04-02T1' data-x=1 property='article:published_time'>", "2026-04-02"), ('<meta property="og:x" content="2026-01-01"><meta property="article:published_time" content="soon"><p>posted 12 / 31 / 05</p>', "2005-12-31"),
+        ('<time datetime="x" class="a entry-time b">March  9 , 2024 </time>', "2024-03-09"), ('<time class="entry-times">March 9, 2024</time>', None), ("Posted 13/1/26", None),
+    ]
+    check(spark, posts.publish_date, more)
 
 
 def test_categories(spark):
