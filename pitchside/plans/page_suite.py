@@ -109,12 +109,13 @@ SUITE = {
     ),
     "d23_cross_checks": (lambda s, d: cross_checks(_lines(s, d), _contests(s, d), SEASON), CHECKS),
     "d20_roster_matches": (
-        lambda s, d: matching.match_roster(_roster(s, d).select("team_id", F.when(F.col("nth") % 3 == 0, F.concat_ws(" ", "first", "last")).when(F.col("nth") % 3 == 1, F.col("last")).otherwise(F.concat(F.lit("Jon "), "last")).alias("name")), _roster(s, d)).select("athlete_id", "way"),
-        "SELECT CAST(p_partkey AS BIGINT) AS athlete_id, CASE p_partkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'surname' ELSE 'nickname' END AS way FROM part",
+        lambda s, d: matching.match_roster(_roster(s, d).select("team_id", F.expr("CASE nth % 5 WHEN 0 THEN concat(first, ' ', last) WHEN 1 THEN last WHEN 2 THEN concat('Jon ', last) WHEN 3 THEN concat(first, ' ', substr(last, 3)) ELSE concat('Qq ', nth) END").alias("name")), _roster(s, d)).select("athlete_id", "way"),
+        "SELECT CAST(p_partkey AS BIGINT) AS athlete_id, CASE p_partkey % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'surname' WHEN 2 THEN 'nickname' ELSE 'edits' END AS way FROM part WHERE p_partkey % 5 < 4",
     ),
     "f18_opponents": (
-        lambda s, d: matching.pick_opponents(_sheets(s, d), B.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("team_id"), F.col("n_name").alias("name"), F.lower("n_name").alias("slug"), F.array().cast("array<string>").alias("aliases"), F.when(F.col("n_nationkey") == 8, 2).otherwise(1).alias("games"))).filter("confidence = 1"),
-        "SELECT upper(n_name[1]) || lower(n_name[2:]) AS sheet, CASE WHEN n_nationkey <> 8 THEN CAST(n_nationkey AS BIGINT) END AS team_id, 1.0::DOUBLE AS confidence, CASE WHEN n_nationkey = 8 THEN 'several_games' END AS reason FROM nation WHERE n_nationkey % 4 = 0 AND NOT contains(n_name, ' ')",
+        lambda s, d: matching.pick_opponents(_sheets(s, d), B.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("team_id"), F.col("n_name").alias("name"), F.lower("n_name").alias("slug"), F.array().cast("array<string>").alias("aliases"), F.when(F.col("n_nationkey") == 8, 2).otherwise(1).alias("games"))),
+        """SELECT CASE k % 4 WHEN 0 THEN upper(n_name[1]) || lower(n_name[2:]) WHEN 1 THEN n_name || ' game' WHEN 2 THEN n_name[1] || 'z' ELSE 'Q' || k END AS sheet, CASE WHEN k % 4 = 0 AND k <> 8 THEN CAST(k AS BIGINT) END AS team_id,
+        CASE k % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.82 WHEN 2 THEN 0 ELSE 0.64 END AS confidence, CASE WHEN k = 8 THEN 'several_games' WHEN k % 4 = 1 THEN 'ambiguous' WHEN k % 4 = 2 THEN 'none' WHEN k % 4 = 3 THEN 'low' END AS reason FROM (SELECT *, n_nationkey AS k FROM nation)""",
     ),
     "a38_bundle_teams": (
         lambda s, d: bundle.bundle_teams(B.games(s, d), B.teams(s, d), _official(s, d), SEASON),
