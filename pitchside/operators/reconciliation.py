@@ -36,12 +36,31 @@ def score_decision(current: Column, summed: Column, offered: Column, slack: int
     return F.when(offered.isNull(), "no_source").when(current >= summed, "not_suspect").when(offered < summed, "below_sum").when(offered > summed + slack, "above_ceiling").otherwise("apply")
 
 
+# The longest name, and the least and greatest jersey, that a correction may give.
+NAME_LENGTH, JERSEYS = 100, (0, 99)
+
+
 def correction_status(field: Column, old: Column, new: Column) -> Column:
     """outlier over the field's cap or over its multiple of a positive old value, else pending."""
     cap, times = (F.create_map(*[F.lit(x) for pair in m.items() for x in pair])[field] for m in (HARD_CAPS, MULTIPLIERS))
     return F.when((new > cap) | ((old > 0) & (new > old * times)), "outlier").otherwise("pending")
 
 
+def judge_correction(field: Column, old: Column, new: Column) -> Column:
+    """The status of a correction whose values are texts: outlier, pending, or unknown for a field that can't be corrected.
+
+    A name is an outlier if it is blank or has over 100 characters, a jersey if it doesn't begin with a number from 0 to 99, a count
+    or a score by correction_status; a value of these that is no number is an outlier, too.
+    """
+    number = F.regexp_extract(F.trim(new), r"^[+-]?\d+", 0).try_cast("int")
+    bad_name = (F.trim(F.coalesce(new, F.lit(""))) == "") | (F.length(new) > NAME_LENGTH)
+    bad_jersey = ~F.coalesce(number.between(*JERSEYS), F.lit(False))
+    value = new.try_cast("double")
+    status = F.when(value.isNull(), "outlier").otherwise(correction_status(field, old.try_cast("double"), value))
+    flagged = lambda bad: F.when(bad, "outlier").otherwise("pending")
+    return F.when(field == "name", flagged(bad_name)).when(field == "jersey_number", flagged(bad_jersey)).when(field.isin(*HARD_CAPS), status).otherwise("unknown")
+
+
 def existing_games(rows: DataFrame, games: DataFrame) -> DataFrame:
     """rows with the id of the contest of the same day and pair, and whether its sides are swapped; the smallest id of several."""
     low, high = unordered(F.col("home_id"), F.col("away_id"))

@@ -124,6 +124,11 @@ tn AS (SELECT n_nationkey AS t FROM nation WHERE CAST(n_nationkey AS VARCHAR)[1]
 met AS (SELECT m.id, m.team_id AS from_team, arg_min(sides.team_id, (game_id, CASE WHEN sides.team_id = g.home_id THEN 0 ELSE 1 END)) AS to_team FROM m JOIN lineitem ON l_partkey = m.id JOIN g ON game_id = l_orderkey JOIN sides USING (game_id) WHERE m.name = 'NT' AND sides.team_id IN (SELECT t FROM tn) GROUP BY 1, 2),
 w AS (SELECT m.team_id, count(*) AS people, count(to_team) AS found FROM m LEFT JOIN met USING (id) GROUP BY 1), v AS (SELECT gh.team_id, gh.name, CASE WHEN s_acctbal > 1500 THEN 'skipped' WHEN people IS NULL THEN 'deletable' WHEN people = found THEN 'repointed' ELSE 'skipped' END AS verdict FROM gh LEFT JOIN w USING (team_id))"""
 
+CORRECTION = (
+    "CASE k % 4 WHEN 0 THEN 'name' WHEN 1 THEN 'jersey_number' WHEN 2 THEN 'goals' ELSE 'height' END", "CASE k % 4 WHEN 2 THEN '2' ELSE 'x' END",
+    "CASE k % 4 WHEN 0 THEN CASE WHEN c_acctbal < 1000 THEN ' ' WHEN c_acctbal > 9000 THEN repeat('n', 101) ELSE repeat('n', 100) END WHEN 1 THEN CASE WHEN c_acctbal < 0 THEN 'none' ELSE concat(floor(c_acctbal / 90), ' b') END ELSE CASE WHEN c_acctbal < 0 THEN 'many' ELSE CAST(floor(c_acctbal / 500) AS STRING) END END",
+)
+
 SUITE = {
     "s16_schedule_sheets": (
         lambda s, d: sheets.schedule_rows(_texts(SHEET)(s, d))[0],
@@ -147,6 +152,11 @@ SUITE = {
         lambda s, d: Z.score_drift(*(_t(s, d, "orders", "CAST(o_orderkey AS BIGINT) AS game_id", "to_date(o_orderdate) AS game_date", "CAST(o_orderkey AS STRING) AS home", "CAST(o_custkey AS STRING) AS away", "CAST(o_orderkey % 3 AS BIGINT) AS home_score", f"{away} AS away_score", "o_orderstatus").filter(keep).drop("o_orderstatus") for away, keep in (("CAST(o_custkey % 2 AS BIGINT)", "true"), ("CAST(o_custkey % 2 + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS BIGINT)", "o_orderstatus <> 'P'")))),
         "SELECT CAST(o_orderkey AS BIGINT) AS game_id, CAST(o_orderdate AS DATE) AS game_date, CAST(o_orderkey AS VARCHAR) AS home, CAST(o_custkey AS VARCHAR) AS away, CAST(o_orderkey % 3 AS BIGINT) AS home_score, CAST(o_custkey % 2 AS BIGINT) AS away_score, CASE o_orderstatus WHEN 'P' THEN 'missing' WHEN 'F' THEN 'drift' ELSE 'ok' END AS state FROM orders WHERE o_orderkey % 3 > 0 OR o_custkey % 2 > 0",
     ),
+    "d22_corrected_texts": (
+        lambda s, d: _t(s, d, "customer", "CAST(c_custkey AS BIGINT) AS k", "c_acctbal").select("k", Z.judge_correction(*(F.expr(e) for e in CORRECTION)).alias("status")),
+        """SELECT CAST(c_custkey AS BIGINT) AS k, CASE c_custkey % 4 WHEN 0 THEN CASE WHEN c_acctbal < 1000 OR c_acctbal > 9000 THEN 'outlier' ELSE 'pending' END WHEN 1 THEN CASE WHEN c_acctbal < 0 OR floor(c_acctbal / 90) > 99 THEN 'outlier' ELSE 'pending' END
+        WHEN 2 THEN CASE WHEN c_acctbal < 0 OR floor(c_acctbal / 500) > 15 OR floor(c_acctbal / 500) > 10 THEN 'outlier' ELSE 'pending' END ELSE 'unknown' END AS status FROM customer""",
+    ),
     "w16_day_signatures": (lambda s, d: Z.day_signatures(_games(s, d)), f"WITH {GAMES} SELECT game_date, string_agg(game_id || ':' || coalesce(CAST(aws AS VARCHAR), '') || ':' || hs || ':' || CAST(postponed AS INTEGER), '|' ORDER BY game_id) AS signature FROM g GROUP BY 1"),
     "j06_official_candidates": (lambda s, d: officials.official_candidates(_teams(s, d), _aliases(s, d), _official(s, d)).select("team_id", "official_id"), f"WITH {OFFICIAL} SELECT team_id, CAST(official_id AS BIGINT) AS official_id FROM cand"),
     "j07_official_by_ranking": (lambda s, d: officials.official_of(_teams(s, d), _aliases(s, d), _official(s, d), True).select("team_id", "official_id", "ranking"), f"WITH {OFFICIAL} SELECT team_id, CAST(official_id AS BIGINT) AS official_id, ranking FROM (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY ranking DESC NULLS LAST, official_id) AS rn FROM cand) WHERE rn = 1"),
