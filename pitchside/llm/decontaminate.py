@@ -5,9 +5,10 @@ each window length there is a shift table over blocks of two words, which says h
 may jump, buckets of windows by their last block, and a direct comparison of the whole window.
 
 Bounds: the benchmark is cut into blocks of rows of at most ``block_chars`` characters by the
-running sum of their lengths (an item longer than that is a block of its own); one block's tables at a
-time are built and broadcast, some 115 bytes for each character, so about 230 MB for a full block, and
-every document is searched for each block. With several blocks, the hits of a document are merged by its row.
+running sum of their lengths (an item longer than that is a block of its own). One block's tables at a
+time are built and broadcast, some 115 bytes for each character, so about 230 MB for a full block; every document is
+searched for each block, in a job of its own. With several blocks the documents are written once, each
+block's hits are written by row, and the rows meet their hits in the end.
 
 Defined cases: null and empty texts have no words, hence no windows and no hits. Repeated items
 count as one id each time the id differs; equal windows of several items count for all of them. An
@@ -20,12 +21,14 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain, count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import texts
+from pitchside.llm.common import texts, written
 
 WIDTH = 13
 #: A-Z to lower case, all ASCII that is no letter or digit to a space.
@@ -153,34 +156,32 @@ def _arrow(arrays: list, names: list[str], rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _in_blocks(docs: DataFrame, first, second, more, only_clean: bool) -> DataFrame:
-    """Several blocks: each adds its ranges and items to the rows, which keep their order and text."""
-    from itertools import chain
-
+    """Several blocks, one job for each: what it finds is written by row, and its tables are given up before the next ones are built."""
     spark = docs.sparkSession
-    wide = docs.withColumn("_found", F.lit(None).cast("struct<n:bigint,spans:array<bigint>,items:array<string>>"))
+    key, spans, items = (next(n for n in (f"_{name}{i}" for i in count()) if n not in docs.columns) for name in ("row", "spans", "items"))
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "documents")
+    found, schema = [], f"{key} long, {spans} array<long>, {items} array<string>"
     for block in chain([first, second], more):
         shared = spark.sparkContext.broadcast(Searcher(block))
 
-        def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at, out = batch.schema.get_field_index("_found"), []
-                for old, t in zip(batch.column(at).to_pylist(), texts(batch)):
-                    n, spans, items = shared.value.hits(t)
-                    if old:
-                        flat = old["spans"]
-                        spans, items = merged(spans + list(zip(flat[::2], flat[1::2]))), items | set(old["items"])
-                    out.append({"n": n, "spans": [x for s in spans for x in s], "items": sorted(items)})
-                yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+                hits = [(k, *shared.value.hits(t)[1:]) for k, t in zip(batch.column(0).to_pylist(), texts(batch))]
+                hits = [(k, [x for s in where for x in s], sorted(ids)) for k, where, ids in hits if where]
+                yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], t) for i, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())))], names=[key, spans, items])
 
-        wide = wide.mapInArrow(add, wide.schema)
+        found.append(written(rows.select(key, "text").mapInArrow(search, schema), "hits"))
+        shared.destroy()
+    every = reduce(DataFrame.unionByName, found).groupBy(key).agg(F.flatten(F.collect_list(spans)).alias(spans), F.array_distinct(F.flatten(F.collect_list(items))).alias(items))
+    joined = rows.join(every, key, "left").drop(key)
 
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(batch.schema.get_field_index("_found")).to_pylist()
-            rows = [summary(f["n"], list(zip(f["spans"][::2], f["spans"][1::2])), set(f["items"])) for f in found]
+            at = {n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n in (spans, items)}
+            out = [summary(len(words_of(t)), merged(list(zip((s or [])[::2], (s or [])[1::2]))), set(i or [])) for t, s, i in zip(texts(batch), at[spans], at[items])]
             if only_clean:
-                yield batch.drop_columns(["_found"]).filter(pa.array([not r[-1] for r in rows], pa.bool_()))
+                yield batch.drop_columns([spans, items]).filter(pa.array([not r[-1] for r in out], pa.bool_()))
             else:
-                yield _arrow([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())], ["doc_id"], rows)
+                yield _arrow([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())], ["doc_id"], out)
 
-    return wide.mapInArrow(end, docs.schema if only_clean else f"doc_id long, {FIELDS}")
+    return joined.mapInArrow(end, docs.schema if only_clean else f"doc_id long, {FIELDS}")

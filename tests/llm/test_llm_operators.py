@@ -232,6 +232,25 @@ def slow_hits(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
+def test_one_block_of_the_benchmark_at_a_time(spark, docs, corpus, monkeypatch):
+    """Three blocks: one table is alive at a time, and the result's plan searches none of them again."""
+    live, most, begin = [0], [0], decontaminate.Searcher.__init__
+
+    def counted(self, block):
+        begin(self, block)
+        live[0] += 1
+        most[0] = max(most[0], live[0])
+
+    monkeypatch.setattr(decontaminate.Searcher, "__init__", counted)
+    monkeypatch.setattr(decontaminate.Searcher, "__del__", lambda self: live.__setitem__(0, live[0] - 1), raising=False)
+    texts = [t for _, t in corpus if t and len(t.split()) > 60][:3]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id long, text string")
+    out = decontaminate.contamination(docs.withColumn("_row0", docs.doc_id), bench, 50)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 and (most[0], live[0]) == (1, 0)
+    whole = decontaminate.contamination(docs, bench)
+    assert rows_of(out, *out.columns) == rows_of(whole, *out.columns) and sum(r.contaminated for r in out.collect()) >= 3
+
+
 @pytest.mark.parametrize("block_chars", [10_000_000, 300])
 def test_contamination(spark, docs, corpus, empty, block_chars):
     texts = dict(corpus)
