@@ -159,8 +159,8 @@ def both(path_a: str, path_b: str) -> Both:
 
 
 def tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """One row for each run of texts (SLICE bytes): `units`, array of (a, a_ends, b, b_ends), ids and byte ends of each distinct unit, and `texts`, array of (doc_id, units)."""
-    schema = "units array<struct<a: array<int>, a_ends: array<int>, b: array<int>, b_ends: array<int>>>, texts array<struct<doc_id: long, units: array<int>>>"
+    """One row for each run of texts (SLICE bytes): `units`, array of (a, a_ends, b, b_ends), ids and byte ends of each distinct unit, and `texts`, array of (doc_id, n_a, n_b, units)."""
+    schema = "units array<struct<a: array<int>, a_ends: array<int>, b: array<int>, b_ends: array<int>>>, texts array<struct<doc_id: long, n_a: long, n_b: long, units: array<int>>>"
 
     def listed(starts: np.ndarray, values: pa.Array) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), values)
@@ -176,9 +176,11 @@ def tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             starts = np.concatenate([[0], np.cumsum(np.where(fine, np.diff(starts), 0))])
             fields = [listed(at, pa.array(x, pa.int32())) for ids, ends, at in sides for x in (ids, ends)]
             unit = pa.StructArray.from_arrays(fields, ["a", "a_ends", "b", "b_ends"])
-            text = pa.StructArray.from_arrays([batch.column(0), listed(starts, pa.array(of_text[keep], pa.int32()))], ["doc_id", "units"])
+            own = of_text[keep]
+            sizes = [np.diff(np.concatenate([[0], np.cumsum(np.diff(at)[own])])[starts]) for _, _, at in sides]  # tokens of each text
+            text = pa.StructArray.from_arrays([batch.column(0), *(pa.array(n, pa.int64()) for n in sizes), listed(starts, pa.array(own, pa.int32()))], ["doc_id", "n_a", "n_b", "units"])
             yield pa.RecordBatch.from_arrays([listed([0, len(units)], unit), listed([0, len(batch)], text)], names=["units", "texts"])
-            del units, of_text, sides, unit, text, fields, keep
+            del units, of_text, sides, unit, text, fields, keep, own
             pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
@@ -229,7 +231,7 @@ def aligned(u: Column) -> Column:
 
 
 def unit_row(u: Column) -> Column:
-    """(n_a, n_b, n_groups, line, links) of a unit; line: its groups as text."""
+    """(n_groups, line, links) of a unit; line: its groups as text."""
 
     def run(ids: Column, ends: tuple[Column, Column]) -> Column:
         first, last = ends
@@ -237,7 +239,7 @@ def unit_row(u: Column) -> Column:
         return F.when(first == last, text(last)).otherwise(F.array_join(F.transform(F.sequence(first, last), text), ","))
 
     lines = lambda k: F.array_join(_per_group(k, lambda a, b: F.concat(run(u.a, a), F.lit("|"), run(u.b, b))), ";")
-    row = lambda n, line, links: F.struct(F.size(u.a).alias("n_a"), F.size(u.b).alias("n_b"), n.alias("n_groups"), line.alias("line"), links.alias("links"))
+    row = lambda n, line, links: F.struct(n.alias("n_groups"), line.alias("line"), links.alias("links"))
     # most often both cut a unit alike
     pairs = F.zip_with(u.a, u.b, lambda a, b: F.concat(a.cast("string"), F.lit("|"), b.cast("string")))
     alike = row(F.size(u.a), F.array_join(pairs, ";"), F.zip_with(u.a, u.b, lambda a, b: F.shiftleft(a.cast("long"), 32) + b))
@@ -249,10 +251,10 @@ def text_rows(found: DataFrame) -> DataFrame:
 
     def of_text(units: Column) -> Callable[[Column], Column]:
         def one(t: Column) -> Column:
-            total = lambda name: F.aggregate(t.units, F.lit(0).cast("long"), lambda n, i: n + F.get(units, i)[name])
+            groups = F.aggregate(t.units, F.lit(0).cast("long"), lambda n, i: n + F.get(units, i).n_groups)
             line = F.array_join(F.transform(t.units, lambda i: F.get(units, i).line), ";")
             links = F.flatten(F.transform(t.units, lambda i: F.get(units, i).links))
-            return F.struct(t.doc_id.alias("doc_id"), *[total(n).alias(n) for n in ("n_a", "n_b", "n_groups")], line.alias("groups_text"), links.alias("links"))
+            return F.struct(t.doc_id.alias("doc_id"), t.n_a.alias("n_a"), t.n_b.alias("n_b"), groups.alias("n_groups"), line.alias("groups_text"), links.alias("links"))
 
         return one
 
