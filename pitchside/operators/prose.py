@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchside.functions.text import let
@@ -49,13 +49,6 @@ def narration(line: Column) -> Column:
     return F.when(line.rlike(HEAD) & first.isNotNull(), told)
 
 
-def _starts(text: Column, longest: int) -> Column:
-    """All distinct parts of one to `longest` characters."""
-    n = F.length(text)
-    parts = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: text.substr(i, k)))
-    return F.array_distinct(F.flatten(parts))
-
-
 def career_prose(lines: DataFrame, stats: DataFrame) -> DataFrame:
     """One row for each suspect line and each of its stat rows: post, line, who, bracket, marker, numbers, player_id, columns, category.
 
@@ -64,14 +57,16 @@ def career_prose(lines: DataFrame, stats: DataFrame) -> DataFrame:
     bracket from 5 on; over their cap and up to ten above a number from 20 on. category: of the line, not-parsed without a
     stat row, parsed-and-suspect with a suspect column, else parsed-and-clean.
 
-    The surname's first letters (three at most) and the parts of names meet by equality, so a post's lines are not
-    compared with all of its rows.
+    A post's lines meet its rows by the surname's first letters (three at most): a row is repeated for those starts of
+    its post's surnames that its name has, so neither all parts of names nor all pairs of a post are made.
     """
-    told = lines.select("post", "line").distinct().withColumn("t", narration(F.col("line"))).filter("t IS NOT NULL").select("post", "line", "t.*")
+    told = lines.withColumn("t", narration(F.col("line"))).filter("t IS NOT NULL").select("post", "line", "t.*")
     told = told.withColumn("surname", name_key(F.element_at(F.split("who", r"\s+"), -1)))
-    asked = told.select("post", "line", "numbers", "surname", F.substring("surname", 1, 3).alias("start")).filter("surname <> ''")
-    listed = stats.withColumn("start", F.explode(_starts(F.lower("name_key"), 3)))
-    met = asked.join(listed, ["post", "start"]).filter(F.contains(F.lower("name_key"), F.col("surname")))
+    told = told.withColumn("start", F.nullif(F.substring("surname", 1, 3), F.lit(""))).dropDuplicates(["post", "start", "line"])
+    starts = told.groupBy("post").agg(F.collect_set("start").alias("starts"))
+    listed = stats.join(starts, "post").withColumn("start", F.explode(F.filter("starts", lambda s: F.contains(F.lower("name_key"), s)))).drop("starts")
+    met = told.alias("l").join(listed.alias("r"), (F.col("l.post") == F.col("r.post")) & (F.col("l.start") == F.col("r.start")) & F.contains(F.lower("r.name_key"), F.col("l.surname")), "left")
+    met = met.select("l.*", "r.player_id", *[f"r.{c}" for c in CAPS])
 
     def suspect(c: str, cap: int) -> Column:
         v = F.coalesce(c, F.lit(0))
@@ -79,8 +74,8 @@ def career_prose(lines: DataFrame, stats: DataFrame) -> DataFrame:
         return F.when((v > cap) | ((v >= EQUAL) & F.array_contains("numbers", v)) | (near & (v > cap)), F.lit(c))
 
     columns = F.filter(F.array(*[suspect(c, cap) for c, cap in CAPS.items()]), lambda c: c.isNotNull())
-    judged = met.select("post", "line", "player_id", columns.alias("columns"))
-    worst = judged.groupBy("post", "line").agg(F.max(F.size("columns") > 0).alias("any"))
-    category = F.when(F.col("any").isNull(), "not-parsed").when(F.col("any"), "parsed-and-suspect").otherwise("parsed-and-clean")
-    out = told.join(worst, ["post", "line"], "left").join(judged, ["post", "line"], "left")
-    return out.select("post", "line", "who", "bracket", "marker", "numbers", "player_id", "columns", category.alias("category"))
+    judged = met.withColumn("columns", F.when(F.col("player_id").isNotNull(), columns))
+    # a line tells its start, so rows stay where the join put them
+    any_ = F.max(F.size("columns") > 0).over(Window.partitionBy("post", "start", "line"))
+    category = F.when(F.max("player_id").over(Window.partitionBy("post", "start", "line")).isNull(), "not-parsed").when(any_, "parsed-and-suspect").otherwise("parsed-and-clean")
+    return judged.select("post", "line", "who", "bracket", "marker", "numbers", "player_id", "columns", category.alias("category"))
