@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchside.operators.near_names import candidates, within, within_own
+from pitchside.sources.scratch import written
 
 # Scores of equal tokens, of one that begins the other, and of one within the other; the least that is taken.
 EQUAL, BEGINS, WITHIN, LEAST = 100, 82, 64, 75
@@ -84,7 +85,9 @@ def match_roster(names: DataFrame, roster: DataFrame) -> DataFrame:
     fewest edits, at most three or a quarter of the name. The first way that fits counts, then the
     fewest edits, then the place on the roster. `roster` has team_id, athlete_id, nth, first and last.
 
-    Each way is an equi-join (the last two on pieces of names) that only sees names which no earlier one settled.
+    Each way is an equi-join (the last two on pieces of names) that only sees names which no earlier one settled. Edits are
+    tried one by one up to three and then all that the length allows: who is found within few edits is not compared with those
+    farther off, whom the long common parts of a team's names (a frequent first name) would bring along by the square.
     """
     letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
     words = F.split(F.trim("name"), r"\s+")
@@ -107,14 +110,18 @@ def match_roster(names: DataFrame, roster: DataFrame) -> DataFrame:
         begin = F.col("f").substr(F.lit(1), F.least(F.length("f"), F.length("af")) - 1)
         return both.filter((F.levenshtein("f", "af") <= 3) | F.startswith("af", begin)).withColumn("d", F.lit(0))
 
-    def edits(left: DataFrame) -> DataFrame:
-        met = candidates(theirs.select("team_id", F.col("full").alias("text")), left.select("team_id", F.col("key").alias("text")), ["team_id"], *within_own(3, 0.25))
+    def edits(left: DataFrame, bound: tuple) -> DataFrame:
+        met = candidates(theirs.select("team_id", F.col("full").alias("text")), left.select("team_id", F.col("key").alias("text")), ["team_id"], *bound)
         met = met.withColumn("d", F.levenshtein("x", "y")).filter(F.col("d") <= F.greatest(F.lit(3), F.floor(F.length("x") * 0.25).cast("int")))
         return left.join(met.select("team_id", F.col("x").alias("key"), F.col("y").alias("full"), "d"), ["team_id", "key"]).join(theirs, ["team_id", "full"])
 
     done, left = [], mine
-    for way in (exact, surname, nickname, edits):
-        best = way(left).groupBy("team_id", "name").agg(F.min(F.struct("d", "nth", "athlete_id")).alias("b")).select("team_id", "name", F.col("b.athlete_id").alias("athlete_id"), F.lit(way.__name__).alias("way"))
+    steps = [("exact", exact), ("surname", surname), ("nickname", nickname)] + [("edits", lambda left, b=b: edits(left, b)) for b in (within(1), within(2), within(3), within_own(3, 0.25))]
+    for n, (way, step) in enumerate(steps):
+        if n == len(steps) - 1:
+            left = left.filter(F.length("key") >= 16)  # shorter ones have had all of their three edits
+        best = step(left).groupBy("team_id", "name").agg(F.min(F.struct("d", "nth", "athlete_id")).alias("b")).select("team_id", "name", F.col("b.athlete_id").alias("athlete_id"), F.lit(way).alias("way"))
+        best = written(best, "best")
         done.append(best)
-        left = left.join(best.select("team_id", "name"), ["team_id", "name"], "left_anti")
+        left = written(left.join(best.select("team_id", "name"), ["team_id", "name"], "left_anti"), "left")
     return reduce(DataFrame.unionByName, done)
