@@ -94,8 +94,12 @@ def margin_buckets(games: DataFrame) -> DataFrame:
 
 
 def outliers(frame: DataFrame, key: str, value: str, k: float = 3.0, floor: float = 8.0) -> DataFrame:
-    """Rows whose value exceeds both the floor and mean + k sample deviations of its group of three or more."""
+    """Rows whose value exceeds both the floor and mean + k sample deviations of its group of three or more.
+
+    A value at the bound is not above it, whichever way the deviation's last digits fell.
+    """
     w = Window.partitionBy(key)
     x = F.col(value)
     flagged = frame.withColumns({"_n": F.count(x).over(w), "_hi": F.avg(x).over(w) + k * F.coalesce(F.stddev_samp(x).over(w), F.lit(0.0))})
-    return flagged.filter((F.col("_n") >= 3) & (x > F.greatest("_hi", F.lit(floor)))).drop("_n", "_hi")
+    above = x - F.col("_hi") > 1e-12 * F.greatest(F.abs("_hi"), F.lit(1.0))
+    return flagged.filter((F.col("_n") >= 3) & above & (x > floor)).drop("_n", "_hi")
