@@ -52,6 +52,12 @@ class ImportPlan:
     skipped: DataFrame
 
 
+def picked_sheets(rows: DataFrame, opponents: DataFrame) -> DataFrame:
+    """(sheet, game_id, reason) for each sheet but totals: its contest, or why there is none."""
+    sheets = rows.select("sheet").distinct().filter(token(F.col("sheet")) != TOTALS)
+    return pick_opponents(sheets, opponents).join(opponents.select("team_id", "game_id"), "team_id", "left").select("sheet", "game_id", "reason")
+
+
 def plan_import(rows: DataFrame, team_id: int, opponents: DataFrame, people: DataFrame) -> ImportPlan:
     """What the sheets of one team's workbook mean: a sheet for each opponent, a row for each person.
 
@@ -60,8 +66,7 @@ def plan_import(rows: DataFrame, team_id: int, opponents: DataFrame, people: Dat
     the import; a new name is one new person, with an id after all others, however many sheets have it. Of several sheets of
     one contest the last by name counts.
     """
-    sheets = rows.select("sheet").distinct().filter(token(F.col("sheet")) != TOTALS)
-    picked = pick_opponents(sheets, opponents).join(opponents.select("team_id", "game_id"), "team_id", "left").select("sheet", "game_id", "reason")
+    picked = written(picked_sheets(rows, opponents), "sheets")
     last = picked.filter("game_id IS NOT NULL").groupBy("game_id").agg(F.max("sheet").alias("sheet"))
     lines = written(sheet_lines(rows).join(last, "sheet").withColumn("team_id", F.lit(team_id).cast("long")), "lines")
     found = written(resolve_people(lines.select("team_id", "name"), people.filter(F.col("team_id") == team_id)), "resolved")
