@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pitchside.operators import desk, officials
 from pitchside.operators import reconciliation as Z
 from pitchside.operators import resolution as R
+from pitchside.operators.core import spread
 from pitchside.plans import bindings as B
 from pitchside.sources import sheets
 
@@ -107,7 +108,7 @@ UPLOAD = """CASE WHEN p_size % 2 = 0 THEN concat('Player,Game Date,Vs,G,GBs\\n',
 
 
 def _texts(form):
-    return lambda s, d: B.table(s, d, "part").selectExpr("CAST(p_partkey AS STRING) AS path", f"{form} AS text")
+    return lambda s, d: spread(B.table(s, d, "part"), "p_partkey").selectExpr("CAST(p_partkey AS STRING) AS path", f"{form} AS text")
 
 
 def _ghosts(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pitchside.functions import names as N
 from pitchside.functions import parsers, posts, tables
 from pitchside.functions import text as T
+from pitchside.operators.core import spread
 from pitchside.plans import bindings as B
 
 #: The parts of a line, in both languages: two names, two scores, and which of eight forms the line has.
@@ -15,7 +16,7 @@ PARTS = f"SELECT {', '.join(f'{e} AS {c}' for c, e in PART.items())}, p_name, p_
 
 
 def _parts(spark, d):
-    return B.table(spark, d, "part").selectExpr(*[f"{e} AS {c}" for c, e in PART.items()], "p_name", "p_type", "p_brand")
+    return spread(B.table(spark, d, "part").selectExpr(*[f"{e} AS {c}" for c, e in PART.items()], "p_name", "p_type", "p_brand"), "k")
 
 
 def _lines(spark, d, *forms: str):
