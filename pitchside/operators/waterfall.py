@@ -25,10 +25,17 @@ def _settled(rows: DataFrame, kind: str, reason: str | None = None, player: Colu
     return rows.select("team_id", "key", F.lit(kind).alias("kind"), (none if player is None else player).cast("long").alias("player_id"), F.lit(confidence).cast("double").alias("confidence"), F.lit(reason).cast("string").alias("reason"))
 
 
-def _canonical(met: DataFrame, keep: Column) -> DataFrame:
-    """For each name: how many people of `keep` it met, and the only one, or the only one with the most stat rows."""
-    level = met.filter(keep).groupBy("team_id", "key", "stat_rows").agg(F.count(F.lit(1)).alias("n"), F.min("player_id").alias("player_id"))
-    top = level.groupBy("team_id", "key").agg(F.sum("n").alias("met"), F.max(F.struct("stat_rows", "n", "player_id")).alias("top"))
+def _levels(roster: DataFrame, by: list[str]) -> DataFrame:
+    """For each team and name part: how many people have it (met), the most stat rows of one (stat_rows), how many have so many (n), and the first of them."""
+    level = roster.groupBy("team_id", *by, "stat_rows").agg(F.count(F.lit(1)).alias("n"), F.min("player_id").alias("player_id"))
+    top = level.groupBy("team_id", *by).agg(F.sum("n").alias("met"), F.max(F.struct("stat_rows", "n", "player_id")).alias("top"))
+    return top.select("team_id", *by, "met", "top.*")
+
+
+def _canonical(met: DataFrame) -> DataFrame:
+    """For each name, from the _levels that it met: how many people, and the only one, or the only one with the most stat rows."""
+    level = met.groupBy("team_id", "key", "stat_rows").agg(F.sum("met").alias("met"), F.sum("n").alias("n"), F.min("player_id").alias("player_id"))
+    top = level.groupBy("team_id", "key").agg(F.sum("met").alias("met"), F.max(F.struct("stat_rows", "n", "player_id")).alias("top"))
     return top.select("team_id", "key", "met", F.when(F.col("top.n") == 1, F.col("top.player_id")).alias("player_id"))
 
 
@@ -44,6 +51,8 @@ def resolve_people(names: DataFrame, people: DataFrame) -> DataFrame:
     4. several words: people with the same last word and first initial, judged likewise;
     5. keys within two edits: just one: alias; several, of which two are equally near: skipped;
     6. a key within three edits: skipped; else created.
+
+    Names meet distinct last names and keys; people who share one are summed up before, so that pairs don't grow with the square of them.
     """
     asked = names.select("team_id", "name").distinct().withColumn("key", player_key(F.col("name")))
     each = asked.select("team_id", "key").distinct()
@@ -53,28 +62,28 @@ def resolve_people(names: DataFrame, people: DataFrame) -> DataFrame:
     done = [_settled(each.filter("key = ''"), "skipped", "empty")]
     left = each.filter("key <> ''")
 
-    same = roster.groupBy("team_id", F.col("full").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("player_id").alias("player_id")).filter("n = 1")
+    alike = roster.groupBy("team_id", "full").agg(F.count(F.lit(1)).alias("n"), F.min("player_id").alias("player_id"))
+    same = alike.filter("n = 1").select("team_id", F.col("full").alias("key"), "player_id")
     done.append(_settled(left.join(same, ["team_id", "key"]), "existing", player=F.col("player_id")))
     left = left.join(same, ["team_id", "key"], "left_anti")
 
     one = left.filter(F.size(words) == 1)
     near = candidates(roster.select("team_id", F.col("last").alias("text")), one.select("team_id", F.col("key").alias("text")), ["team_id"], *within(2))
     near = near.withColumn("d", F.levenshtein("x", "y")).filter("d <= 2").select("team_id", F.col("x").alias("key"), F.col("y").alias("last"), "d")
-    met = near.join(roster, ["team_id", "last"])
-    by_last = _canonical(met, F.col("d") <= 1)
+    by_last = _canonical(near.filter("d <= 1").join(_levels(roster, ["last"]), ["team_id", "last"]))
     done += [_settled(by_last.filter("player_id IS NOT NULL"), "alias", None, F.col("player_id"), BY_LAST_NAME), _settled(by_last.filter("player_id IS NULL"), "skipped", "several last names")]
     close = near.select("team_id", "key").distinct().join(by_last, ["team_id", "key"], "left_anti")
     done += [_settled(close, "skipped", "close to a last name"), _settled(one.join(near, ["team_id", "key"], "left_anti"), "created")]
 
     left = left.filter(F.size(words) > 1)
     ends = left.withColumns({"last": F.element_at(words, -1), "initial": F.substring("key", 1, 1)})
-    by_initial = _canonical(ends.join(roster, ["team_id", "last", "initial"]), F.lit(True))
+    by_initial = _canonical(ends.join(_levels(roster, ["last", "initial"]), ["team_id", "last", "initial"]))
     done += [_settled(by_initial.filter("player_id IS NOT NULL"), "alias", None, F.col("player_id"), BY_INITIAL), _settled(by_initial.filter("player_id IS NULL"), "skipped", "several of this last name and initial")]
     left = left.join(by_initial, ["team_id", "key"], "left_anti")
 
     near = candidates(roster.select("team_id", F.col("full").alias("text")), left.select("team_id", F.col("key").alias("text")), ["team_id"], *within(3))
     near = near.withColumn("d", F.levenshtein("x", "y")).filter("d <= 3").select("team_id", F.col("x").alias("key"), F.col("y").alias("full"), "d")
-    level = near.join(roster, ["team_id", "full"]).groupBy("team_id", "key", "d").agg(F.count(F.lit(1)).alias("n"), F.min("player_id").alias("player_id"))
+    level = near.join(alike, ["team_id", "full"]).groupBy("team_id", "key", "d").agg(F.sum("n").alias("n"), F.min("player_id").alias("player_id"))
     level = level.groupBy("team_id", "key").agg(F.min(F.struct("d", "n", "player_id")).alias("best"), F.sum(F.when(F.col("d") <= 2, F.col("n")).otherwise(0)).alias("within_two"))
     level = level.withColumn("tie", (F.col("best.d") <= 2) & (F.col("best.n") > 1))
     done += [

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pitchside.operators import imports, matching, prose, team_analytics
+from pitchside.operators import imports, matching, prose, team_analytics, waterfall
 from pitchside.operators.core import spread
 from pitchside.plans import registry, text_suite
 
@@ -47,3 +47,17 @@ def test_sheets_need_no_people(spark, monkeypatch):
 
 def test_lines_are_parsed_by_all_cores(spark):
     assert text_suite._parts(spark, SF).rdd.getNumPartitions() >= 4 and spread(spark.range(1), "id").rdd.getNumPartitions() >= 4
+
+
+def test_names_meet_distinct_last_names_not_people(spark, monkeypatch):
+    met, real = [], waterfall._canonical
+
+    def counted(rows, *rest):
+        met.append(rows.count())
+        return real(rows, *rest)
+
+    monkeypatch.setattr(waterfall, "_canonical", counted)
+    people = spark.range(300).selectExpr("id AS player_id", "1 AS team_id", "concat(IF(id % 2 = 0, 'amy', 'bo'), ' stone') AS name", "id % 40 AS stat_rows")
+    asked = spark.createDataFrame([(1, n) for n in ("stone", "stonee", "stne", "a stone", "b stone")], "team_id int, name string")
+    got = {r.key: (r.kind, r.reason) for r in waterfall.resolve_people(asked, people).collect()}
+    assert set(got.values()) == {("skipped", "several last names"), ("skipped", "several of this last name and initial")} and sum(met) <= 10
