@@ -45,7 +45,7 @@ def _lines(spark, d):
     li, o, p = B.table(spark, d, "lineitem"), B.table(spark, d, "orders"), B.table(spark, d, "part")
     k = F.col("l_partkey").cast("long")
     name = F.when(k % 50 == 0, "Al").when(k % 50 == 1, "Saves").when(k % 50 == 2, "Jo Goalie").otherwise(F.col("p_name"))
-    rows = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+    rows = li.join(o.hint("shuffle_hash"), li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
     return rows.select(k.alias("player_id"), name.alias("player_name"), (k % 25).alias("team_id"), F.col("l_orderkey").alias("game_id"), F.year("o_orderdate").alias("season"), F.col("l_linenumber").cast("long").alias("goals"), F.lit(0).cast("long").alias("assists"))
 
 

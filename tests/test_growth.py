@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from pitchside.operators import imports, matching, prose, team_analytics, waterfall
+from pitchside.operators import cross_checks, imports, matching, prose, team_analytics, waterfall
 from pitchside.operators.core import spread
-from pitchside.plans import registry, text_suite
+from pitchside.plans import page_suite, registry, text_suite
 
 SF = "/root/testdata/sf0.001"
 #: Mean and one and a half deviations make exactly 8 and 7.
@@ -61,3 +61,14 @@ def test_names_meet_distinct_last_names_not_people(spark, monkeypatch):
     asked = spark.createDataFrame([(1, n) for n in ("stone", "stonee", "stne", "a stone", "b stone")], "team_id int, name string")
     got = {r.key: (r.kind, r.reason) for r in waterfall.resolve_people(asked, people).collect()}
     assert set(got.values()) == {("skipped", "several last names"), ("skipped", "several of this last name and initial")} and sum(met) <= 10
+
+
+def test_cross_checks_sort_no_player_rows_or_contests(spark):
+    page = lambda: page_suite.QUERIES["d23_cross_checks"](spark, SF)
+    plan = page()._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "SortAggregate" not in plan
+    games = spark.createDataFrame([(1, 1996, True, 1, 2, 9, 9), (2, 1996, True, 1, 2, 9, 9)], "game_id long, season int, postponed boolean, home_id long, away_id long, home_score long, away_score long")
+    rows = [(5, "amy bee", 1, g, 1996, n, 0) for g, n in ((2, 8), (1, 8), (3, 0))] + [(6, None, 1, 2, 1996, 9, 0), (6, None, 1, 1, 1996, 1, 0), (7, "bo cee", 1, 9, 1996, 12, 0)]
+    stats = spark.createDataFrame(rows, "player_id long, player_name string, team_id long, game_id long, season int, goals long, assists long")
+    got = {tuple(r) for r in cross_checks.cross_checks(stats, games, 1996).filter("strategy LIKE '%concentration'").select("player_id", "game_id", "found", "bound").collect()}
+    assert got == {(6, 2, 9, 10)}
