@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pitchside.functions.names import player_key
 from pitchside.functions.tables import school_keys
+from pitchside.operators.core import spread
 from pitchside.operators.near_names import candidates, within
 from pitchside.sources.scratch import written
 
@@ -95,6 +96,10 @@ def resolve_people(names: DataFrame, people: DataFrame) -> DataFrame:
     return asked.join(reduce(DataFrame.unionByName, done), ["team_id", "key"]).select("team_id", "name", "key", "kind", "player_id", "confidence", "reason")
 
 
+def _met(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    return left.join(right.hint("merge"), on, how)
+
+
 def match_logos(teams: DataFrame, schools: DataFrame, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """((team_id, school, logo, round), schools that no team has): one school for each team as far as keys tell.
 
@@ -104,34 +109,36 @@ def match_logos(teams: DataFrame, schools: DataFrame, overrides: DataFrame | Non
     one team. 1: the first strict key of the school that a team has (of several, the first); of
     several schools the first. 2: schools left over, in order: the first loose key that just one team
     without a school has. 3: teams left over share the school, if one of their keys is that of just one.
+
+    Keys are made once, on all cores, and written. Both sides of every join grow with the input, so none is broadcast.
     """
     by_slug = F.replace("slug", F.lit("-"), F.lit(" "))
-    of_team = teams.select("team_id", school_keys(F.col("name")).alias("n"), school_keys(by_slug).alias("s"))
+    of_team = written(spread(teams, "team_id").select("team_id", school_keys(F.col("name")).alias("n"), school_keys(by_slug).alias("s")), "team-keys")
     strict = of_team.select("team_id", F.explode(F.filter(F.array(F.get("n", F.lit(0)), F.get("s", F.lit(0))), lambda k: k.isNotNull())).alias("key")).groupBy("key").agg(F.min("team_id").alias("team_id"))
     loose = of_team.select("team_id", F.posexplode(F.array_distinct(F.concat("n", "s"))).alias("pos", "key"))
-    of_school = schools.select("school", "nth", F.posexplode(school_keys(F.col("name"))).alias("pos", "key"))
+    of_school = written(spread(schools, "school").select("school", "nth", F.posexplode(school_keys(F.col("name"))).alias("pos", "key")), "school-keys")
 
     def strictly(keyed: DataFrame, by: str) -> DataFrame:
-        return keyed.join(strict, "key").groupBy(by).agg(F.min(F.struct("pos", "team_id")).alias("b")).select(by, F.col("b.team_id").alias("team_id"))
+        return _met(keyed, strict, "key").groupBy(by).agg(F.min(F.struct("pos", "team_id")).alias("b")).select(by, F.col("b.team_id").alias("team_id"))
 
-    first = strictly(of_school, "school").join(schools.select("school", "nth"), "school")
+    first = _met(strictly(of_school, "school"), schools.select("school", "nth"), "school")
     owned = first.groupBy("team_id").agg(F.min(F.struct("nth", "school")).alias("b")).select("team_id", F.col("b.school").alias("school"), F.lit(1).alias("round"))
     if overrides is not None:
         named = overrides.select("name", "school", F.posexplode(school_keys(F.col("name"))).alias("pos", "key"))
         alone = loose.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("team_id").alias("team_id")).filter("n = 1")
         by_strict = strictly(named, "name")
-        by_loose = named.filter("pos = 0").join(alone, "key").join(by_strict, "name", "left_anti").select("name", "team_id")
-        told = by_strict.unionByName(by_loose).join(overrides, "name").join(schools.select("school"), "school").groupBy("team_id").agg(F.max(F.struct("name", "school")).alias("b"))
+        by_loose = _met(_met(named.filter("pos = 0"), alone, "key"), by_strict, "name", "left_anti").select("name", "team_id")
+        told = _met(_met(by_strict.unionByName(by_loose), overrides, "name"), schools.select("school"), "school").groupBy("team_id").agg(F.max(F.struct("name", "school")).alias("b"))
         told = told.select("team_id", F.col("b.school").alias("school"), F.lit(0).alias("round"))
-        owned = told.unionByName(owned.join(told, "team_id", "left_anti"))
+        owned = told.unionByName(_met(owned, told, "team_id", "left_anti"))
     owned = written(owned, "owned")
-    waiting = written(schools.join(first, "school", "left_anti").select("school", "nth"), "waiting")
+    waiting = written(_met(schools, first, "school", "left_anti").select("school", "nth"), "waiting")
     owned, unmatched = _loosely(owned, waiting, of_school, loose)
     # teams that are left may share a school
     alone = of_school.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("school").alias("school")).filter("n = 1")
-    shared = loose.join(owned, "team_id", "left_anti").join(alone, "key").groupBy("team_id").agg(F.min(F.struct("pos", "school")).alias("b")).select("team_id", F.col("b.school").alias("school"), F.lit(3).alias("round"))
-    matched = owned.unionByName(shared).join(schools.select("school", "logo"), "school").select("team_id", "school", "logo", "round")
-    return matched, unmatched.join(matched, "school", "left_anti").select("school")
+    shared = _met(_met(loose, owned, "team_id", "left_anti"), alone, "key").groupBy("team_id").agg(F.min(F.struct("pos", "school")).alias("b")).select("team_id", F.col("b.school").alias("school"), F.lit(3).alias("round"))
+    matched = _met(owned.unionByName(shared), schools.select("school", "logo"), "school").select("team_id", "school", "logo", "round")
+    return matched, _met(unmatched, matched, "school", "left_anti").select("school")
 
 
 def _loosely(owned: DataFrame, waiting: DataFrame, of_school: DataFrame, loose: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -142,15 +149,15 @@ def _loosely(owned: DataFrame, waiting: DataFrame, of_school: DataFrame, loose:
     """
     unmatched = waiting.filter("false").select("school")
     while not waiting.isEmpty():
-        free = loose.join(owned.select("team_id"), "team_id", "left_anti")
-        options = written(waiting.join(of_school.select("school", "pos", "key"), "school").join(free.select("key", "team_id"), "key"), "options")
+        free = _met(loose, owned.select("team_id"), "team_id", "left_anti")
+        options = written(_met(_met(waiting, of_school.select("school", "pos", "key"), "school"), free.select("key", "team_id"), "key"), "options")
         line = options.groupBy("team_id").agg(F.min(F.struct("nth", "school")).alias("f")).select("team_id", F.col("f.school").alias("in_front"))
-        blocked = options.join(line, "team_id").filter("school <> in_front").select("school").distinct()
-        ready = waiting.join(blocked, "school", "left_anti").select("school")
+        blocked = _met(options, line, "team_id").filter("school <> in_front").select("school").distinct()
+        ready = written(_met(waiting, blocked, "school", "left_anti").select("school"), "ready")
         unique = options.groupBy("school", "pos").agg(F.count(F.lit(1)).alias("n"), F.min("team_id").alias("team_id")).filter("n = 1")
-        taken = unique.join(ready, "school").groupBy("school").agg(F.min(F.struct("pos", "team_id")).alias("b")).select(F.col("b.team_id").alias("team_id"), "school", F.lit(2).alias("round"))
+        taken = _met(unique, ready, "school").groupBy("school").agg(F.min(F.struct("pos", "team_id")).alias("b")).select(F.col("b.team_id").alias("team_id"), "school", F.lit(2).alias("round"))
         taken = written(taken, "taken")
-        unmatched = written(unmatched.unionByName(ready.join(taken, "school", "left_anti").select("school")), "unmatched")
-        waiting = written(waiting.join(ready, "school", "left_anti"), "waiting")
+        unmatched = written(unmatched.unionByName(_met(ready, taken, "school", "left_anti").select("school")), "unmatched")
+        waiting = written(_met(waiting, ready, "school", "left_anti"), "waiting")
         owned = written(owned.unionByName(taken), "owned")
     return owned, unmatched

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pitchside.operators import cross_checks, imports, matching, prose, team_analytics, waterfall
 from pitchside.operators.core import spread
-from pitchside.plans import page_suite, registry, text_suite
+from pitchside.plans import merge_suite, page_suite, registry, text_suite
 
 SF = "/root/testdata/sf0.001"
 #: Mean and one and a half deviations make exactly 8 and 7.
@@ -72,3 +72,17 @@ def test_cross_checks_sort_no_player_rows_or_contests(spark):
     stats = spark.createDataFrame(rows, "player_id long, player_name string, team_id long, game_id long, season int, goals long, assists long")
     got = {tuple(r) for r in cross_checks.cross_checks(stats, games, 1996).filter("strategy LIKE '%concentration'").select("player_id", "game_id", "found", "bound").collect()}
     assert got == {(6, 2, 9, 10)}
+
+
+def test_logos_send_no_table_to_the_driver(spark, monkeypatch):
+    plans, real = [], waterfall.written
+
+    def seen(frame, tag):
+        plans.append(frame._jdf.queryExecution().sparkPlan().toString())
+        return real(frame, tag)
+
+    monkeypatch.setattr(waterfall, "written", seen)
+    matched, unmatched = merge_suite._logos(spark, SF)
+    plans += [x._jdf.queryExecution().sparkPlan().toString() for x in (matched, unmatched)]
+    assert not [p for p in plans if "Broadcast" in p]
+    assert sum("RLIKE" in p or "regexp_replace" in p for p in plans) == 3  # keys of teams, of schools and of overrides are made once each
