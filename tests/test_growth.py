@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pitchside.operators import cross_checks, imports, matching, prose, team_analytics, waterfall
+from pitchside.operators import cross_checks, imports, matching, prose, resolution, team_analytics, waterfall
 from pitchside.operators.core import spread
 from pitchside.plans import merge_suite, page_suite, registry, text_suite
 
@@ -86,3 +86,10 @@ def test_logos_send_no_table_to_the_driver(spark, monkeypatch):
     plans += [x._jdf.queryExecution().sparkPlan().toString() for x in (matched, unmatched)]
     assert not [p for p in plans if "Broadcast" in p]
     assert sum("RLIKE" in p or "regexp_replace" in p for p in plans) == 3  # keys of teams, of schools and of overrides are made once each
+
+
+def test_pairs_of_one_key_are_made_by_several_tasks(spark):
+    people = spark.range(120).selectExpr("id", "1L AS team_id", "IF(id % 2 = 0, 'Peirce SMALL', 'Pierce SMALL') AS name")
+    pairs = resolution.fuzzy_candidates(people, spark.range(5).selectExpr("id AS game_id", "id"))
+    tasks = [r[1] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 3600 and len(tasks) >= 3
