@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pitchside.operators import cross_checks, imports, matching, prose, resolution, team_analytics, waterfall
+from pitchside.operators import cross_checks, feeds, imports, matching, prose, resolution, team_analytics, waterfall
 from pitchside.operators.core import spread
 from pitchside.plans import merge_suite, page_suite, registry, text_suite
 
@@ -88,8 +88,15 @@ def test_logos_send_no_table_to_the_driver(spark, monkeypatch):
     assert sum("RLIKE" in p or "regexp_replace" in p for p in plans) == 3  # keys of teams, of schools and of overrides are made once each
 
 
-def test_pairs_of_one_key_are_made_by_several_tasks(spark):
+def test_pairs_of_one_key_are_made_in_shares(spark):
     people = spark.range(120).selectExpr("id", "1L AS team_id", "IF(id % 2 = 0, 'Peirce SMALL', 'Pierce SMALL') AS name")
     pairs = resolution.fuzzy_candidates(people, spark.range(5).selectExpr("id AS game_id", "id"))
-    tasks = [r[1] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
-    assert sum(tasks) == 3600 and len(tasks) >= 3
+    join = [x for x in pairs._jdf.queryExecution().sparkPlan().toString().splitlines() if "SortMergeJoin" in x]
+    assert pairs.count() == 3600 and pairs.select("left_id", "right_id").distinct().count() == 3600 and any("share#" in x for x in join)
+
+
+def test_contests_are_dealt_by_opponent(spark):
+    games = spark.range(400).coalesce(1).selectExpr("id AS game_id", "current_date() AS game_date", "3L AS home_id", "id % 20 AS away_id")
+    teams, aliases = spark.range(20).selectExpr("id AS team_id", "concat('t', id) AS name"), spark.range(60).selectExpr("id % 20 AS team_id", "concat('a', id) AS alias")
+    tasks = [n for n in feeds.opponents_of(games, 3, teams, aliases).select("opponent").rdd.map(lambda r: r[0]).glom().map(lambda x: (len(x), len(set(x)))).collect() if n[0]]
+    assert sum(n for n, _ in tasks) == 1200 and len(tasks) >= 4 and max(t for _, t in tasks) <= 6
