@@ -1,8 +1,7 @@
-"""Context-tree weighting over the bytes of words, decomposed into bits.
+"""Context-tree weighting over the bytes of whole texts, decomposed into bits.
 
-A text is cut into units: the bytes up to and with each white space, and the rest with an end byte.
-The context of a byte is the up to eight bytes before it in its unit, nearest first; what lies before
-the unit is one padding byte, which UTF-8 never has. So a context is a 64-bit number, its suffix of d
+A text is its bytes and an end byte. The context of a byte is the eight bytes before it in its text, nearest first, across words
+and lines; what lies before the text is padding, a byte that UTF-8 never has. So a context is a 64-bit number, its suffix of d
 bytes are its highest d bytes, and whatever comes after the first padding byte adds nothing: below it
 the tree has one child at every depth with the same counts, for which weighting gives the same.
 
@@ -39,15 +38,16 @@ def estimate(a, b, log=np.log):
     return log_gamma(a + 0.5, log) + log_gamma(b + 0.5, log) - float(np.log(np.pi)) - log_gamma(a + b + 1.0, log)
 
 
-def contexts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The context of every byte of units that end (exclusive) at these places of the data."""
-    lengths = np.diff(np.concatenate([[0], ends]))
-    place = np.arange(len(data)) - np.repeat(ends - lengths, lengths)
-    out = np.zeros(len(data), dtype=np.uint64)
-    for d in range(1, DEPTH + 1):
-        before = np.full(len(data), PAD, dtype=np.uint64)
-        before[d:] = np.where(place[d:] >= d, data[:-d], PAD)
-        out = out << np.uint64(8) | before
+SMALL = 1 << 16
+_HALVES, _WHOLES = log_gamma(np.arange(SMALL) + 0.5), log_gamma(np.arange(SMALL) + 1.0)
+
+
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same for arrays of counts; most are small, and looked up."""
+    i, j = a.astype(np.int64), b.astype(np.int64)
+    large = i + j >= SMALL
+    out = _HALVES[np.where(large, 0, i)] + _HALVES[np.where(large, 0, j)] - float(np.log(np.pi)) - _WHOLES[np.where(large, 0, i + j)]
+    out[large] = estimate(a[large], b[large])
     return out
 
 
@@ -72,7 +72,7 @@ class Level:
             held += len(starts)
         self.zeros, self.ones, self.first = np.concatenate(zeros), np.concatenate(ones), np.concatenate(first)
         self.bits = np.repeat(np.arange(8), [len(x) for x in first])
-        self.own = estimate(self.zeros, self.ones)
+        self.own = estimates(self.zeros, self.ones)
         total = self.zeros + self.ones + 1
         self.one_zero, self.one_one = (self.zeros + 0.5) / total, (self.ones + 0.5) / total
 

@@ -6,12 +6,14 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from pitchside.llm import contexttree, decontaminate, htmlcontent, linededup, lmscore, packing, pii, quality, simhash, substrings
+from pitchside.llm import contexttree, decontaminate, htmlcontent, linededup, lmscore, packing, pii, quality, simhash, substrings, textcells
 from pitchside.llm.components import components
 from pitchside.llm.cuttingstock import solve
 from pitchside.llm.dom import parse
@@ -337,27 +339,24 @@ def test_pages(spark):
 # ---- op9
 
 
-def cut(data):
-    """Units: up to and with each white space; the rest with an end byte."""
-    return [m.group() for m in re.finditer(rb"(?s)[^\x20\x09-\x0D]*(?:[\x20\x09-\x0D]|\x00$)", data + b"\0")]
-
-
 def slow_tree(units):
-    """Weighted probabilities by the definition, one node at a time, over bits of one byte after up to eight bytes of its unit.
+    """Weighted probabilities by the definition, one node at a time, over bits of one byte after up to eight bytes of its text.
 
-    A context that reaches the start of its unit ends there, with None.
+    A context that reaches the start of its text ends there, with None.
     """
     counts = defaultdict(lambda: [0, 0])
 
-    def context(u, i):
-        return (*reversed(u[:i]), None)[:8]
+    def context(before):
+        return (*reversed(before), None)[:8]
 
+    cells = Counter()
     for u, n in units.items():
         for i, byte in enumerate(u):
-            ctx = context(u, i)
-            for d in range(len(ctx) + 1):
-                for level in range(8):
-                    counts[(ctx[:d], byte >> (8 - level), level)][byte >> (7 - level) & 1] += n
+            cells[context(u[max(0, i - 8) : i]), byte] += n
+    for (ctx, byte), n in cells.items():
+        for d in range(len(ctx) + 1):
+            for level in range(8):
+                counts[(ctx[:d], byte >> (8 - level), level)][byte >> (7 - level) & 1] += n
 
     def kt(a, b):
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
@@ -384,22 +383,21 @@ def slow_tree(units):
         share = math.exp(kt(a, b) + math.log(0.5) - weighted[key])
         return share * own + (1 - share) * one(ctx, prefix, level, d + 1)
 
-    def score(u):
+    @cache
+    def cell(ctx, byte):
         out = 0.0
-        for i, byte in enumerate(u):
-            for level in range(8):
-                p = one(context(u, i), byte >> (8 - level), level)
-                out += math.log10(p if byte >> (7 - level) & 1 else 1 - p)
+        for level in range(8):
+            p = one(ctx, byte >> (8 - level), level)
+            out += math.log10(p if byte >> (7 - level) & 1 else 1 - p)
         return out
 
-    return score
+    return lambda u: math.fsum(cell(context(u[max(0, i - 8) : i]), byte) for i, byte in enumerate(u))
 
 
-@pytest.mark.parametrize("hot_units,hot_cells,batch_rows", [(500_000, 1_000_000, 100_000), (3, 40, 50), (0, 0, 1)])
-def test_scores(docs, corpus, empty, hot_units, hot_cells, batch_rows):
+@pytest.mark.parametrize("hot_units,run_bytes,wave_bytes,batch_rows", [(500_000, 32_000_000, 8_000_000, 200_000), (3, 20_000, 8000, 3000)])
+def test_scores(docs, corpus, empty, hot_units, run_bytes, wave_bytes, batch_rows):
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    raw = [cut(lower(t).encode()) for _, t in corpus]
-    assert [b"".join(x) for x in raw] == [lower(t).encode() + b"\0" for _, t in corpus]
+    raw = [[lower(t).encode() + b"\0"] for _, t in corpus]  # contexts go on across words to the start of the text
     tokens, units = Counter(), Counter()
     for (i, t), x in zip(corpus, raw):
         if not held(i):
@@ -412,13 +410,39 @@ def test_scores(docs, corpus, empty, hot_units, hot_cells, batch_rows):
     for (i, t), x in zip(corpus, raw):
         w = [*split(lower(t)), None]
         want.append((i, held(i), len(w), sum(tokens[y] > 0 for y in w), total, math.fsum(math.log10((tokens[y] + 1) / (total + kinds + 1)) for y in w), math.fsum(score[u] for u in x)))
-    got = rows_of(lmscore.score_documents(docs, hot_units, hot_cells, batch_rows), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    got = rows_of(lmscore.score_documents(docs, hot_units, run_bytes, wave_bytes, batch_rows), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     order = lambda x: (repr(x[0]), x[2], round(x[5], 6))
     for a, b in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
         assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-8, atol=1e-7), (a, b)
     assert lmscore.score_documents(empty).count() == 0
 
 
+def test_a_word_costs_less_after_the_word_that_it_follows(spark):
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    apart = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, ("red fox", "big cat")[i % 2]) for i in train] + list(zip(apart, ["red fox", "red cat"]))
+    got = {r.doc_id: r.score for r in lmscore.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[apart[0]] - got[apart[1]] > 1  # by words alone both cost the same but for how often each word is there
+
+
+def test_cells_of_texts_are_those_of_the_definition():
+    few, many = pa.array(["ab ab", None, "", "Ab\0b é"]), pa.array(["".join(map(chr, np.random.default_rng(1).integers(1, 0xD000, 60_000)))])
+    for column in (few, many):  # the second has more pairs of bytes than numbers of 63 bits have room for
+        data, sizes = textcells.padded(column)
+        want = Counter()
+        for t in column.to_pylist():
+            raw = lower(t or "").encode() + b"\0"
+            want.update((bytes(raw[i - d] if i >= d else 255 for d in range(1, 9)), raw[i]) for i in range(len(raw)))
+        run, got = textcells.Run(data), Counter()
+        for wave in range(3):
+            ctx, byte, n = textcells.counted(run, np.ones(len(data), dtype=bool), wave, 3)
+            for _, i, j in textcells.by_bucket(ctx):
+                ctx_, byte_, n_ = textcells.unpacked(*textcells.packed(ctx[i:j], byte[i:j], n[i:j]))
+                assert list(zip(ctx_, byte_)) == sorted(zip(ctx_, byte_))
+                got.update({(int(c).to_bytes(8, "big"), int(b)): int(k) for c, b, k in zip(ctx_, byte_, n_)})
+        assert got == want
+
+
 def test_rows_without_ids_are_told_apart(spark):
     texts = [f"word{i}" * (1 + i % 3) for i in range(3000)]
     got = lmscore.score_documents(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string"))
