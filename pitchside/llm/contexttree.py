@@ -43,57 +43,102 @@ _HALVES, _WHOLES = log_gamma(np.arange(SMALL) + 0.5), log_gamma(np.arange(SMALL)
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The same for arrays of counts; most are small, and looked up."""
-    i, j = a.astype(np.int64), b.astype(np.int64)
-    large = i + j >= SMALL
-    out = _HALVES[np.where(large, 0, i)] + _HALVES[np.where(large, 0, j)] - float(np.log(np.pi)) - _WHOLES[np.where(large, 0, i + j)]
-    out[large] = estimate(a[large], b[large])
+    """The same for arrays of whole counts; most are small, and looked up."""
+    large = np.flatnonzero(a + b >= SMALL)
+    i, j = a, b
+    if len(large):
+        i, j = a.copy(), b.copy()
+        i[large] = j[large] = 0
+    out = _HALVES[i]
+    out += _HALVES[j]
+    out -= _WHOLES[i + j]
+    out -= float(np.log(np.pi))
+    if len(large):
+        out[large] = estimate(a[large].astype(np.float64), b[large].astype(np.float64))
     return out
 
 
 class Level:
-    """The bit nodes of one depth: counts, the cell that stands for each node, and each cell's node at each of the eight bits."""
-
-    def __init__(self, node: np.ndarray, following: np.ndarray, n: np.ndarray):
-        cell = node * 256 + following
-        order = np.argsort(cell, kind="stable")
-        cell, n = cell[order], n[order].astype(np.float64)
-        zeros, ones, first, self.at = [], [], [], np.empty((8, len(cell)), dtype=np.int64)
+    """The bit nodes of one depth: counts, the cell that stands for each node, and each cell's node at each of the eight bits.
+
+    Cells are those of this depth: its nodes' distinct next bytes, in order of node and byte. A cell stands for all deeper ones with its
+    byte below its node; `deepest` is one of them, `up` each cell's number at the depth above.
+    """
+
+    def __init__(self, node: np.ndarray, following: np.ndarray, n: np.ndarray, deepest: np.ndarray):
+        self.node, self.following, self.n, self.deepest, self.up = node, following, n, deepest, None
+        key = node << 8 | following
+        differs = np.empty_like(key)  # from the cell before: no bit of the node and byte, the lowest, or higher ones
+        differs[:1], differs[1:] = -1 << 62, key[1:] ^ key[:-1]
+        zeros, total, cell, self.at = [], [], [], np.empty((8, len(key)), dtype=np.int64)
+        sums = np.zeros(len(key) + 1, dtype=np.int64)
+        np.cumsum(n, out=sums[1:])
         held = 0
         for level in range(8):
-            key = cell >> (8 - level)
-            new = np.concatenate([[True], key[1:] != key[:-1]])
+            new = differs >> (8 - level) != 0
             starts = np.flatnonzero(new)
-            bit = cell >> (7 - level) & 1
-            zeros.append(np.add.reduceat(np.where(bit == 0, n, 0.0), starts))
-            ones.append(np.add.reduceat(np.where(bit == 1, n, 0.0), starts))
-            first.append(order[starts])
-            self.at[level, order] = np.cumsum(new) - 1 + held
+            bounds = np.append(starts, len(key))
+            total.append(np.diff(sums[bounds]))
+            # a node's zeros come first; they end where the next bit changes within the node, or with it
+            change = np.flatnonzero(differs >> (7 - level) != 0)
+            place = np.searchsorted(change, starts) if len(change) != len(starts) else np.arange(len(starts))
+            end = np.append(change, len(key))[place + 1]
+            zeros.append(np.where(following[starts] >> (7 - level) & 1, 0, sums[end] - sums[starts]))
+            cell.append(starts)
+            np.cumsum(new, out=self.at[level])
+            self.at[level] += held - 1
             held += len(starts)
-        self.zeros, self.ones, self.first = np.concatenate(zeros), np.concatenate(ones), np.concatenate(first)
-        self.bits = np.repeat(np.arange(8), [len(x) for x in first])
+        self.zeros, self.cell = np.concatenate(zeros), np.concatenate(cell)
+        self.ones = np.concatenate(total) - self.zeros
+        self.bits = np.repeat(np.arange(8), [len(x) for x in cell])
+        self.first = deepest[self.cell]
         self.own = estimates(self.zeros, self.ones)
-        total = self.zeros + self.ones + 1
-        self.one_zero, self.one_one = (self.zeros + 0.5) / total, (self.ones + 0.5) / total
 
     def heap(self, following: np.ndarray) -> np.ndarray:
         """Number of each node's prefix: 1 for none, then the bits behind a leading one."""
-        return 1 << self.bits | following[self.first] >> (8 - self.bits)
+        return 1 << self.bits | following[self.first].astype(np.int64) >> (8 - self.bits)
+
+    def above(self, part: np.ndarray) -> Level:
+        """The level of the depth above. part: each deepest cell's context at that depth."""
+        own = part[self.deepest]
+        node = np.zeros(len(own), dtype=np.int64)
+        np.cumsum(own[1:] != own[:-1], out=node[1:])
+        key = node << 8 | self.following
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        starts = np.flatnonzero(new)
+        self.up = np.empty(len(key), dtype=np.int64)
+        self.up[order] = np.cumsum(new) - 1
+        key = key[starts]
+        return Level(key >> 8, key & 255, np.add.reduceat(self.n[order], starts), self.deepest[order[starts]])
+
+    def parents(self, upper: Level) -> np.ndarray:
+        """Each bit node's node at the depth above."""
+        return upper.at[self.bits, self.up[self.cell]]
 
 
 def grown(ctx: np.ndarray, following: np.ndarray, n: np.ndarray) -> tuple[list[Level], list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Levels of depths TOP to DEPTH; for each but the last, log share of nodes' own estimates and of their children; log weighted at TOP."""
-    levels = []
-    for d in range(TOP, DEPTH + 1):
-        part = ctx >> np.uint64(8 * (DEPTH - d))
-        levels.append(Level(np.cumsum(np.concatenate([[0], part[1:] != part[:-1]])), following, n))
+    """Levels of depths TOP to DEPTH; for each but the last, share of nodes' own estimates and of their children; log weighted at TOP.
+
+    Cells are distinct, those of a context together and in order of next byte.
+    """
+    node = np.zeros(len(ctx), dtype=np.int64)
+    np.cumsum(ctx[1:] != ctx[:-1], out=node[1:])
+    levels = [Level(node, following.astype(np.int64), n.astype(np.int64), np.arange(len(ctx)))]
+    for d in range(DEPTH - 1, TOP - 1, -1):
+        levels.insert(0, levels[0].above(ctx >> np.uint64(8 * (DEPTH - d))))
     own_share, rest_share = [], []
     weighted = levels[-1].own
     for upper, lower in zip(levels[-2::-1], levels[:0:-1]):
-        children = np.bincount(upper.at[lower.bits, lower.first], weights=weighted, minlength=len(upper.own))
-        weighted = np.logaddexp(upper.own, children) + HALF
-        own_share.insert(0, upper.own + HALF - weighted)
-        rest_share.insert(0, children + HALF - weighted)
+        children = np.bincount(lower.parents(upper), weights=weighted, minlength=len(upper.own))
+        less = np.exp(-np.abs(upper.own - children))
+        is_own = upper.own >= children
+        weighted = np.where(is_own, upper.own, children) + np.log1p(less) + HALF
+        high = 1 / (1 + less)
+        less *= high
+        own_share.insert(0, np.where(is_own, high, less))
+        rest_share.insert(0, np.where(is_own, less, high))
     return levels, own_share, rest_share, weighted
 
 
@@ -106,11 +151,16 @@ def log_probabilities(ctx: np.ndarray, following: np.ndarray, n: np.ndarray, abo
     row = order[np.searchsorted(above[0], key, sorter=order)]
     zero, one, rest = (x[row] for x in above[1:])
     for i, (upper, lower) in enumerate(zip(levels, levels[1:])):
-        parent = upper.at[lower.bits, lower.first]
+        parent = lower.parents(upper)
         last = i == len(levels) - 2
-        own = rest[parent] * (1.0 if last else np.exp(own_share[i + 1]))
-        zero, one = zero[parent] + own * lower.one_zero, one[parent] + own * lower.one_one
-        rest = np.zeros_like(own) if last else rest[parent] * np.exp(rest_share[i + 1])
-    bits = following[None, :] >> np.arange(7, -1, -1)[:, None] & 1
-    at = levels[-1].at
-    return np.log10(np.where(bits == 1, one[at], zero[at])).sum(axis=0)
+        own = rest[parent]
+        left = None if last else own * rest_share[i + 1]
+        if not last:
+            own *= own_share[i + 1]
+        own /= lower.zeros + lower.ones + 1
+        zero, one = zero[parent] + own * (lower.zeros + 0.5), one[parent] + own * (lower.ones + 0.5)
+        rest = left
+    out = np.ones(len(ctx))
+    for level, at in enumerate(levels[-1].at):
+        out *= np.where(following >> (7 - level) & 1, one[at], zero[at])  # eight factors, none below 1 in twice the bits of all texts
+    return np.log10(out)

@@ -417,6 +417,28 @@ def test_scores(docs, corpus, empty, hot_units, run_bytes, wave_bytes, batch_row
     assert lmscore.score_documents(empty).count() == 0
 
 
+def test_texts_are_dealt_once_for_counting_and_shuffles_go(spark, monkeypatch):
+    dealt, name = [], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, deal = spark.conf.get(name), lmscore.in_runs
+    monkeypatch.setattr(lmscore, "in_runs", lambda *a: dealt.append(spark.conf.get(name)) or deal(*a))
+    rows = spark.createDataFrame([(i, f"some text {i * i}") for i in range(300)], "doc_id long, text string")
+    assert lmscore.score_documents(rows, run_bytes=2000, wave_bytes=250).filter("score < 0").count() == 300
+    assert dealt == ["true"] and spark.conf.get(name) == before  # eight waves dealt them sixteen times
+
+
+def test_buckets_are_never_cut(spark):
+    bucket, size = np.repeat(np.arange(40), 5), np.tile([3, 0, 4, 1, 2], 40)
+    batches = [pa.RecordBatch.from_arrays([pa.array(bucket[i : i + 7]), pa.array(size[i : i + 7])], names=["bucket", "size"]) for i in range(0, 200, 7)]
+    got = list(lmscore.batched(iter(batches), 25))
+    assert np.array_equal(np.concatenate([t.column("bucket").to_numpy() for t in got]), bucket)
+    assert [t.num_rows for t in got] == [15] * 13 + [5]
+
+
+def test_scores_keep_eleven_digits():
+    x = -np.abs(np.random.default_rng(3).standard_normal(1000)) ** 9
+    assert np.allclose(textcells.unpacked_scores(textcells.packed_scores(x)), x, rtol=1e-11, atol=0)
+
+
 def test_a_word_costs_less_after_the_word_that_it_follows(spark):
     train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
     apart = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
