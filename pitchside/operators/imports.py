@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from pitchside.functions.names import player_key
 from pitchside.functions.posts import face_off_cell
-from pitchside.operators.core import first_per
+from pitchside.functions.text import let
+from pitchside.operators.core import first_per, once
 from pitchside.operators.matching import pick_opponents, token
 from pitchside.operators.waterfall import resolve_people
 from pitchside.sources.numbering import numbered
@@ -25,19 +26,21 @@ TOTALS = "totals"
 COUNTS = ["goals", "assists", "ground_balls", "caused_turnovers", "saves", "fo_won", "fo_taken"]
 
 
-def _cell(row: Column, names: list[str]) -> Column:
-    """The first cell of the row (a map by header) whose header is one of the names, whatever its case and signs."""
-    wanted = F.array(*[F.lit("".join(c for c in n if c.isalnum())) for n in names])
-    return F.get(F.map_values(F.map_filter(row, lambda k, _: F.array_contains(wanted, token(k)))), F.lit(0))
+def _cells(row: Column) -> Column:
+    """A struct: for each column the first cell of the row (a map by header) whose header is one of the column's names, whatever its case and signs; each header is read once."""
+    known = {"".join(a for a in n if a.isalnum()): c for c, names in COLUMNS.items() for n in names}
+    column = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    heads = F.transform(F.map_keys(row), lambda k: F.coalesce(F.try_element_at(column, F.lower(k)), F.try_element_at(column, token(k))))
+    return let(heads, lambda h: F.struct(*[F.get(F.map_values(row), F.array_position(h, F.lit(c)).cast("int") - 1).alias(c) for c in COLUMNS]))
 
 
 def sheet_lines(rows: DataFrame) -> DataFrame:
     """(sheet, name, counts) of sheet rows (sheet, cells map by header) with a name and at least one count; a count is a whole number from 0, a face-off cell won/taken."""
     whole = lambda c: F.greatest(F.coalesce(F.regexp_extract(F.trim(c), r"^[+-]?(\d+\.?\d*|\.\d+)", 0).try_cast("double").cast("long"), F.lit(0)), F.lit(0)).cast("long")
-    cell = {n: _cell(F.col("cells"), names) for n, names in COLUMNS.items()}
-    both = face_off_cell(F.coalesce(cell["face_offs"], F.lit("")))
-    counts = [whole(cell[c]).alias(c) for c in COUNTS[:5]] + [F.greatest(both["won"], F.lit(0)).cast("long").alias("fo_won"), both["taken"].cast("long").alias("fo_taken")]
-    named = rows.select("sheet", F.trim(cell["name"]).alias("name"), *counts)
+    read = once(rows.select("sheet", _cells(F.col("cells")).alias("c"))).select("sheet", "c.*")
+    both = face_off_cell(F.coalesce("face_offs", F.lit("")))
+    counts = [whole(F.col(c)).alias(c) for c in COUNTS[:5]] + [F.greatest(both["won"], F.lit(0)).cast("long").alias("fo_won"), both["taken"].cast("long").alias("fo_taken")]
+    named = once(read.select("sheet", F.trim("name").alias("name"), *counts))
     return named.filter((F.col("name") != "") & (sum((F.col(c) for c in COUNTS[1:]), F.col(COUNTS[0])) > 0))
 
 
@@ -54,7 +57,7 @@ class ImportPlan:
 
 def picked_sheets(rows: DataFrame, opponents: DataFrame) -> DataFrame:
     """(sheet, game_id, reason) for each sheet but totals: its contest, or why there is none."""
-    sheets = rows.select("sheet").distinct().filter(token(F.col("sheet")) != TOTALS)
+    sheets = once(rows.select("sheet").distinct()).filter(token(F.col("sheet")) != TOTALS)
     return pick_opponents(sheets, opponents).join(opponents.select("team_id", "game_id"), "team_id", "left").select("sheet", "game_id", "reason")
 
 

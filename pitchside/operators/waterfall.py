@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pitchside.functions.names import player_key
 from pitchside.functions.tables import school_keys
-from pitchside.operators.core import spread
+from pitchside.operators.core import once, spread
 from pitchside.operators.near_names import candidates, within
 from pitchside.sources.scratch import written
 
@@ -54,39 +54,39 @@ def resolve_people(names: DataFrame, people: DataFrame) -> DataFrame:
     6. a key within three edits: skipped; else created.
 
     Names meet distinct last names and keys; people who share one are summed up before, so that pairs don't grow with the square of them.
+    Keys are made once, on all cores, and what each stage finds is written once: the stages after it and the result read it several times.
     """
-    asked = names.select("team_id", "name").distinct().withColumn("key", player_key(F.col("name")))
+    asked = written(spread(names.select("team_id", "name").distinct(), F.hash("name")).withColumn("key", player_key(F.col("name"))), "asked")
     each = asked.select("team_id", "key").distinct()
     words = F.split("key", " ")
-    roster = people.select("team_id", "player_id", "stat_rows", player_key(F.col("name")).alias("full")).filter("full <> ''")
-    roster = roster.withColumns({"last": F.element_at(F.split("full", " "), -1), "initial": F.substring("full", 1, 1)})
+    roster = once(spread(people, F.hash("player_id")).select("team_id", "player_id", "stat_rows", player_key(F.col("name")).alias("full"))).filter("full <> ''")
+    roster = written(roster.withColumns({"last": F.element_at(F.split("full", " "), -1), "initial": F.substring("full", 1, 1)}), "roster")
     done = [_settled(each.filter("key = ''"), "skipped", "empty")]
     left = each.filter("key <> ''")
 
     alike = roster.groupBy("team_id", "full").agg(F.count(F.lit(1)).alias("n"), F.min("player_id").alias("player_id"))
     same = alike.filter("n = 1").select("team_id", F.col("full").alias("key"), "player_id")
-    done.append(_settled(left.join(same, ["team_id", "key"]), "existing", player=F.col("player_id")))
-    left = left.join(same, ["team_id", "key"], "left_anti")
+    left = written(left.join(same, ["team_id", "key"], "left"), "known")
+    done.append(_settled(left.filter("player_id IS NOT NULL"), "existing", player=F.col("player_id")))
+    left = left.filter("player_id IS NULL").select("team_id", "key")
 
     one = left.filter(F.size(words) == 1)
-    near = candidates(roster.select("team_id", F.col("last").alias("text")), one.select("team_id", F.col("key").alias("text")), ["team_id"], *within(2))
-    near = near.withColumn("d", F.levenshtein("x", "y")).filter("d <= 2").select("team_id", F.col("x").alias("key"), F.col("y").alias("last"), "d")
-    by_last = _canonical(near.filter("d <= 1").join(_levels(roster, ["last"]), ["team_id", "last"]))
+    near = _near(roster.select("team_id", F.col("last").alias("text")), one, 2).withColumnRenamed("y", "last")
+    by_last = written(_canonical(near.filter("d <= 1").join(_levels(roster, ["last"]), ["team_id", "last"])), "by-last")
     done += [_settled(by_last.filter("player_id IS NOT NULL"), "alias", None, F.col("player_id"), BY_LAST_NAME), _settled(by_last.filter("player_id IS NULL"), "skipped", "several last names")]
     close = near.select("team_id", "key").distinct().join(by_last, ["team_id", "key"], "left_anti")
     done += [_settled(close, "skipped", "close to a last name"), _settled(one.join(near, ["team_id", "key"], "left_anti"), "created")]
 
     left = left.filter(F.size(words) > 1)
     ends = left.withColumns({"last": F.element_at(words, -1), "initial": F.substring("key", 1, 1)})
-    by_initial = _canonical(ends.join(_levels(roster, ["last", "initial"]), ["team_id", "last", "initial"]))
+    by_initial = written(_canonical(ends.join(_levels(roster, ["last", "initial"]), ["team_id", "last", "initial"])), "by-initial")
     done += [_settled(by_initial.filter("player_id IS NOT NULL"), "alias", None, F.col("player_id"), BY_INITIAL), _settled(by_initial.filter("player_id IS NULL"), "skipped", "several of this last name and initial")]
-    left = left.join(by_initial, ["team_id", "key"], "left_anti")
+    left = written(left.join(by_initial, ["team_id", "key"], "left_anti"), "left")
 
-    near = candidates(roster.select("team_id", F.col("full").alias("text")), left.select("team_id", F.col("key").alias("text")), ["team_id"], *within(3))
-    near = near.withColumn("d", F.levenshtein("x", "y")).filter("d <= 3").select("team_id", F.col("x").alias("key"), F.col("y").alias("full"), "d")
+    near = _near(roster.select("team_id", F.col("full").alias("text")), left, 3).withColumnRenamed("y", "full")
     level = near.join(alike, ["team_id", "full"]).groupBy("team_id", "key", "d").agg(F.sum("n").alias("n"), F.min("player_id").alias("player_id"))
     level = level.groupBy("team_id", "key").agg(F.min(F.struct("d", "n", "player_id")).alias("best"), F.sum(F.when(F.col("d") <= 2, F.col("n")).otherwise(0)).alias("within_two"))
-    level = level.withColumn("tie", (F.col("best.d") <= 2) & (F.col("best.n") > 1))
+    level = written(level.withColumn("tie", (F.col("best.d") <= 2) & (F.col("best.n") > 1)), "level")
     done += [
         _settled(level.filter("within_two = 1"), "alias", None, F.col("best.player_id"), BY_EDITS),
         _settled(level.filter("tie"), "skipped", "several equally near"),
@@ -96,6 +96,12 @@ def resolve_people(names: DataFrame, people: DataFrame) -> DataFrame:
     return asked.join(reduce(DataFrame.unionByName, done), ["team_id", "key"]).select("team_id", "name", "key", "kind", "player_id", "confidence", "reason")
 
 
+def _near(cut: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(team_id, key, y, d): asked keys (team_id, key) with the texts of their team within k edits; written."""
+    met = candidates(cut, asked.select("team_id", F.col("key").alias("text")), ["team_id"], *within(k)).withColumn("d", F.levenshtein("x", "y", k))
+    return written(met.filter("d >= 0").select("team_id", F.col("x").alias("key"), "y", "d"), "near")
+
+
 def _met(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
     return left.join(right.hint("merge"), on, how)
 
