@@ -77,7 +77,7 @@ def plan_import(rows: DataFrame, team_id: int, opponents: DataFrame, people: Dat
     newest = people.agg(F.coalesce(F.max("player_id"), F.lit(0)).alias("n")).first()[0]
     created = numbered(fresh, "key", "nth").select((F.col("nth") + newest + 1).alias("player_id"), F.lit(team_id).cast("long").alias("team_id"), F.col("new_name").alias("name"), F.col("key").alias("name_key"))
     who = found.join(created.select(F.col("name_key").alias("key"), F.col("player_id").alias("_new")), "key", "left").withColumn("player_id", F.coalesce("player_id", F.when(F.col("kind") == "created", F.col("_new"))))
-    read = lines.join(who.select("name", "kind", "player_id", "reason"), "name")
+    read = lines.join(who.select("name", "kind", "player_id", "reason").hint("shuffle_hash"), "name")  # the lines, many to a name, are not sorted
     stats = read.filter("player_id IS NOT NULL").groupBy("game_id", "player_id").agg(*[F.sum(c).alias(c) for c in COUNTS])
     aliases = who.filter("kind = 'alias'").select(F.col("key").alias("alias"), "player_id", "confidence").distinct()
     return ImportPlan(picked, stats, created, aliases, read.filter("kind = 'skipped'").select("sheet", "name", "reason").distinct())

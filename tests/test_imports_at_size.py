@@ -52,3 +52,12 @@ def test_keys_are_made_for_lengths_that_there_are(spark, monkeypatch):
     got = near_names.candidates(cut, told, ["t"], *near_names.within(2)).collect()
     alone = near_names.candidates(cut, told.filter("text LIKE 'e%'"), ["t"], *near_names.within(2))
     assert [(r.x, r.y) for r in got] == [("bc" * 11, "bc" * 11)] and alone.count() == 0 and rows[2] == 0
+
+
+def test_lines_meet_people_without_a_sort(spark):
+    nations = spark.createDataFrame([(1, "Oaks", "oaks", [], 1, 7)], "team_id long, name string, slug string, aliases array<string>, games int, game_id long")
+    people = spark.createDataFrame([(5, 3, "Amy Bee", 0)], "player_id long, team_id long, name string, stat_rows long")
+    rows = spark.range(6).select(F.lit("Oaks").alias("sheet"), F.create_map(F.lit("Player"), F.when(F.col("id") < 4, "Amy Bee").otherwise("Bo Cee"), F.lit("G"), F.lit("2")).alias("cells"))
+    stats = imports.plan_import(rows, 3, nations, people).stats
+    plan = stats._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((r.player_id, r.goals) for r in stats.collect()) == [(5, 8), (6, 4)] and "ShuffledHashJoin [name" in plan
